@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.functions import text as tx
-from narrata.operators import collect, enrich, tags
+from narrata.operators import blocks, collect, enrich, tags, vectors
+from narrata.operators.blocks import BlockSettings
 from narrata.operators.summary import LABEL, NOISE
-from narrata.settings import CollectSettings
+from narrata.plans.density import cluster_points
+from narrata.settings import ClusterSettings, CollectSettings
 
 
 def collect_posts(
@@ -40,3 +41,38 @@ def label_statistics(labels: DataFrame, run: list[str]) -> DataFrame:
         F.median("n").alias("median"),
         F.avg(F.when(real, F.col("n"))).alias("mean"),
     )
+
+
+def reduce_vectors(stored: DataFrame, s: ClusterSettings) -> DataFrame:
+    return vectors.reduce_vectors(stored, s.components)
+
+
+def core_distances(stored: DataFrame, min_samples: int) -> DataFrame:
+    """Distance of every vector to its ``min_samples``-th nearest one, itself counted."""
+    points = stored.select("post_id", F.col("embedding").cast("array<double>").alias("vec"))
+    index = blocks.build_index(points, BlockSettings())
+    k = min_samples - 1
+    near = blocks.nearest_neighbours(index, k)
+    cores = blocks.core_distances(index, near, k, [min_samples]).select("v", "core")
+    return points.join(index.nodes.select("v", "vec"), "vec").join(cores, "v").select("post_id", "core")
+
+
+def cluster_vectors(stored: DataFrame, s: ClusterSettings) -> DataFrame:
+    """(post_id, cluster_label) of stored vectors: standardise, reduce, cluster."""
+    found = cluster_points(reduce_vectors(stored, s), [(s.min_cluster_size, s.min_samples)])
+    return found.select("post_id", LABEL)
+
+
+# The parameter grid of the sweep; None stands for min_cluster_size.
+SWEEP_SIZES = (5, 10, 15, 20)
+SWEEP_SAMPLES = (None, 5, 10)
+
+
+def sweep(stored: DataFrame, s: ClusterSettings) -> DataFrame:
+    """Cluster statistics for every pair of the parameter grid."""
+    pairs = [(size, samples) for size in SWEEP_SIZES for samples in SWEEP_SAMPLES]
+    found = cluster_points(reduce_vectors(stored, s), [(size, samples or size) for size, samples in pairs])
+    named = [(run, size, samples) for run, (size, samples) in enumerate(pairs)]
+    names = stored.sparkSession.createDataFrame(named, "run int, min_cluster_size int, min_samples int")
+    statistics = label_statistics(found, ["run"]).join(F.broadcast(names), "run")
+    return statistics.select("min_cluster_size", "min_samples", "n_clusters", "n_noise", "largest", "median", "mean")

@@ -52,8 +52,9 @@ def _as_stored(schema: T.StructType, arrays_as_text: bool) -> T.StructType:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; quoted fields may span lines."""
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": None}
-    options = {k: v for k, v in options.items() if v is not None}
+    # An unquoted empty field is null and a quoted one is ''; the null marker is a
+    # character no text holds, so the reader keeps the two apart.
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\0"}
     raw = spark.read.schema(_as_stored(schema, True)).options(**options).csv(path)
     return _typed(raw, schema, arrays_from_json=True)
 
