@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.shared import cut
@@ -11,7 +11,12 @@ from narrata.shared import cut
 SMALL = 50_000  # edge lists up to this many rows are resolved on the driver
 
 
-def _roots(edges: pd.DataFrame, key: str) -> pd.DataFrame:
+def small_table(spark: SparkSession, rows: pd.DataFrame, schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows.itertuples(index=False)], schema)
+
+
+def merge_ids(edges: pd.DataFrame, key: str) -> pd.DataFrame:
+    """(key, v, root) of a short edge list (key, a, b): union by smallest id."""
     parent: dict = {}
 
     def find(x):
@@ -53,9 +58,8 @@ def connected_components(edges: DataFrame, key: str, small: int = SMALL) -> Data
     """
     edges = edges.select(key, "a", "b")
     if edges.limit(small + 1).count() <= small:
-        roots = _roots(edges.toPandas(), key)
-        schema = f"{key} {dict(edges.dtypes)[key]}, v bigint, root bigint"
-        return edges.sparkSession.createDataFrame(roots, schema) if len(roots) else edges.sparkSession.createDataFrame([], schema)
+        roots = merge_ids(edges.toPandas(), key)
+        return small_table(edges.sparkSession, roots, f"{key} int, v bigint, root bigint")
     before = None
     while True:
         edges = cut(_star(_star(edges, key, True), key, False), "stars")

@@ -135,8 +135,9 @@ def _merge_component(min_size: int, run: int, edges: pa.Table, nodes: pa.Table)
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)})
 
 
-def _tier(edges: DataFrame, limit: int, small: int) -> DataFrame | None:
-    """Edges of the next tier with their component ``comp``; None when none are left.
+def _tier(edges: DataFrame, limit: int, small: int) -> tuple[DataFrame, bool] | None:
+    """(edges of the next tier with their component ``comp``, whether it is the last
+    tier); None when no edges are left.
 
     Equal weights stay together. The share of edges taken is halved until every
     component fits; few enough edges always do.
@@ -145,7 +146,7 @@ def _tier(edges: DataFrame, limit: int, small: int) -> DataFrame | None:
     if not counts:
         return None
     if max(counts.values()) <= limit:
-        return edges.withColumn("comp", F.lit(0).cast("bigint"))
+        return edges.withColumn("comp", F.lit(0).cast("bigint")), True
     share = 0.5
     while True:
         cutoffs = edges.groupBy("run").agg(F.percentile_approx("w", share, 10_000).alias("cutoff"), F.count("*").alias("n"))
@@ -156,7 +157,7 @@ def _tier(edges: DataFrame, limit: int, small: int) -> DataFrame | None:
         largest = placed.groupBy("run", "comp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         # A block of equal weights cannot be divided; it is taken whole once nothing lighter is left.
         if largest <= limit or share * max(counts.values()) < 1:
-            return placed
+            return placed, False
         share /= 2
 
 
@@ -185,7 +186,8 @@ def condense(
         run = right.column("run")[0].as_py()
         return _merge_component(sizes[run], run, left, right)
 
-    while (tier := _tier(edges, tier_edges, small)) is not None:
+    while (taken := _tier(edges, tier_edges, small)) is not None:
+        tier, last = taken
         ends = tier.select("run", "comp", F.explode(F.array("a", "b")).alias("v")).distinct()
         group = ["run", "comp"]
         touched = own_columns(nodes.join(ends, ["run", "v"])).groupBy(*group)
@@ -194,9 +196,9 @@ def condense(
         held = rows.where("kind = 'held'").select("run", F.col("id").alias("v"), F.col("top").alias("to"))
         settled.append(at.join(fallen, ["run", "v"]).select("run", "point", "top", "open"))
         links.append(rows.where("kind = 'cluster'").select("run", "id", "top", "open"))
-        left = cut(edges.join(tier.select("run", "e"), ["run", "e"], "left_anti"), "edges")
-        if left.isEmpty():
+        if last:
             break
+        left = edges.join(tier.select("run", "e"), ["run", "e"], "left_anti")
         at = cut(_moved(at.join(fallen, ["run", "v"], "left_anti"), held, "v"), "places")
         made = rows.where("kind = 'node'").select(
             "run", F.col("id").alias("v"), "size", F.lit(0.0).alias("core"), F.col("open").alias("cluster"), "mass", "inner"

@@ -11,15 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.operators.blocks import Index, emit, exact, lower_bounds, matrix, search, squared, values
-from narrata.operators.components import SMALL, connected_components
+from narrata.operators.components import SMALL, connected_components, merge_ids, small_table
 from narrata.shared import cut
 
 _SLACK = 1 - 1e-9
+_RUSH = 4  # merge without searching while at least one in this many components is sure
 
 
 def _outgoing(edges: DataFrame) -> DataFrame:
@@ -100,10 +102,9 @@ def _pivot_edges(index: Index, labels: DataFrame, seekers: DataFrame) -> DataFra
     return found.groupBy("ms", "c").agg(F.min("bound").alias("bound"))
 
 
-def _search_least(index: Index, labels: DataFrame, open_comps: DataFrame) -> DataFrame:
-    """Exact least edge of each component in ``open_comps`` (ms, c, edge)."""
+def _search_least(index: Index, labels: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Exact least edge of each component in ``bounds`` (ms, c, limit); null is no limit."""
     s, pivots, radius = index.settings, index.pivots, index.radius
-    bounds = open_comps.select("ms", "c", F.col("edge.w").alias("limit"))
     vectors = index.nodes.select("v", "vec")
     seekers = labels.join(bounds, ["ms", "c"]).where(
         F.col("limit").isNull() | F.col("kd").isNull() | (F.col("kd") * _SLACK <= F.col("limit"))
@@ -139,6 +140,72 @@ def _search_least(index: Index, labels: DataFrame, open_comps: DataFrame) -> Dat
     return found.groupBy("ms", "c").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("edge"))
 
 
+_TREE = "ms int, lo bigint, hi bigint, w double"
+
+
+def _round(index: Index, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ms, c, edge): the edges one round adds to the tree.
+
+    While many components are sure of their least edge, those are merged. Then
+    the others are searched for, except that the largest component may wait: all
+    others reach out, so the number of components at least halves.
+    """
+    status = cut(_status(labels, edges), "status")
+    counts = status.groupBy("ms").agg(F.count("*").alias("n"), F.count_if("sure").alias("sure")).collect()
+    active = [r for r in counts if r.n > 1]
+    rows = status.where(F.col("ms").isin([r.ms for r in active]))
+    if all(_RUSH * r.sure >= r.n for r in active):
+        return rows.where("sure").select("ms", "c", "edge")
+    last = status.groupBy("ms").agg(F.max_by("c", F.struct("size", "c")).alias("last"))
+    rest = rows.join(F.broadcast(last), "ms").where("c <> last or sure")
+    found = _search_least(index, labels, rest.where("not sure").select("ms", "c", F.col("edge.w").alias("limit")))
+    known = rest.where(F.col("edge").isNotNull()).select("ms", "c", "edge")
+    return known.unionByName(found).groupBy("ms", "c").agg(F.min("edge").alias("edge"))
+
+
+def _short_rounds(index: Index, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The remaining rounds once the components are few.
+
+    The component list lives on the driver (its length has been checked), the
+    points and edges stay in Spark and are relabelled by a broadcast map.
+    """
+    spark = labels.sparkSession
+    base = labels.groupBy("ms", F.col("c").alias("v")).agg(F.count("*").alias("size"), F.min("kd").alias("reach")).toPandas()
+    base["c"], base["reach"] = base["v"], base["reach"].astype(float).fillna(np.inf)
+    tree: list[pd.DataFrame] = []
+    while True:
+        roots = F.broadcast(small_table(spark, base[["ms", "v", "c"]], "ms int, v bigint, root bigint"))
+        if tree:
+            now_labels, now_edges = _relabel(labels, roots, ["c"]), _relabel(edges, roots, ["ca", "cb"])
+        else:
+            now_labels, now_edges = labels, edges
+        comps = base.groupby(["ms", "c"], as_index=False).agg(size=("size", "sum"), reach=("reach", "min"))
+        comps = comps[comps.groupby("ms")["c"].transform("count") > 1]
+        if comps.empty:
+            break
+        known = _outgoing(now_edges).select("ms", "c", "edge.*").toPandas()
+        comps = comps.merge(known, on=["ms", "c"], how="left")
+        comps["sure"] = comps["w"].notna() & (comps["w"] < comps["reach"] * _SLACK)
+        if (comps.groupby("ms")["sure"].mean() * _RUSH >= 1).all():
+            chosen = comps[comps["sure"]]
+        else:
+            last = comps.sort_values(["size", "c"]).groupby("ms")["c"].transform("last").reindex(comps.index)
+            rest = comps[(comps["c"] != last) | comps["sure"]]
+            unsure = rest[~rest["sure"]]
+            limits = [(int(r.ms), int(r.c), None if np.isnan(r.w) else float(r.w)) for r in unsure.itertuples()]
+            bounds = F.broadcast(spark.createDataFrame(limits, "ms int, c bigint, limit double"))
+            found = _search_least(index, now_labels, bounds).select("ms", "c", "edge.*").toPandas()
+            chosen = pd.concat([rest[rest["w"].notna()][found.columns], found])
+            chosen = chosen.sort_values(["w", "lo", "hi"]).drop_duplicates(["ms", "c"])
+        chosen = chosen.astype({"lo": "int64", "hi": "int64", "other": "int64"})
+        tree.append(chosen[["ms", "lo", "hi", "w"]])
+        merged = merge_ids(chosen.rename(columns={"c": "a", "other": "b"}), "ms").rename(columns={"v": "c"})
+        base = base.merge(merged, on=["ms", "c"], how="left")
+        base["c"] = base.pop("root").fillna(base["c"]).astype("int64")
+    rows = pd.concat(tree) if tree else pd.DataFrame(columns=["ms", "lo", "hi", "w"])
+    return small_table(spark, rows, _TREE)
+
+
 def _relabel(df: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
     for name in columns:
         m = roots.select("ms", F.col("v").alias(name), F.col("root").alias("_root"))
@@ -150,48 +217,23 @@ def spanning_edges(index: Index, neighbours: DataFrame, cores: DataFrame, small:
     """(ms, a, b, w): the minimum spanning tree of the nodes for each ``ms``.
 
     Ties are broken by (weight, smaller node, larger node), so trees do not depend
-    on row order. Every component but the largest finds its least edge in every
-    round, which at least halves the number of components.
+    on row order.
     """
     labels = cut(cores.withColumn("c", F.col("v")).select("ms", "v", "core", "kd", "cell", "c"), "components")
     core = cores.select("ms", "v", "core")
     a, b = core.withColumnsRenamed({"v": "a", "core": "core_a"}), core.withColumnsRenamed({"v": "b", "core": "core_b"})
     edges = neighbours.select("a", "b", "d").join(a, "a").join(b, ["ms", "b"])
-    edges = edges.select("ms", "a", "b", F.greatest("d", "core_a", "core_b").alias("w"), F.col("a").alias("ca"), F.col("b").alias("cb"))
-    edges = cut(edges, "edges")
-    first_labels, first_edges, all_roots = labels, edges, None
+    weight = F.greatest("d", "core_a", "core_b").alias("w")
+    edges = cut(edges.select("ms", "a", "b", weight, F.col("a").alias("ca"), F.col("b").alias("cb")), "edges")
     trees = []
-    while True:
-        status = cut(_status(labels, edges), "status")
-        counts = status.groupBy("ms").agg(F.count("*").alias("n"), F.count_if("sure").alias("sure"))
-        counts = [r for r in counts.collect() if r.n > 1]
-        if not counts:
-            break
-        active = [r.ms for r in counts]
-        if all(4 * r.sure >= r.n for r in counts):
-            chosen = status.where(F.col("sure") & F.col("ms").isin(active)).select("ms", "c", "edge")
-        else:
-            # The largest component may wait: the others all reach out.
-            last = status.groupBy("ms").agg(F.max_by("c", F.struct("size", "c")).alias("last"))
-            rest = status.where(F.col("ms").isin(active)).join(F.broadcast(last), "ms").where("c <> last or sure")
-            found = _search_least(index, labels, rest.where("not sure"))
-            known = rest.where(F.col("edge").isNotNull()).select("ms", "c", "edge")
-            chosen = known.unionByName(found).groupBy("ms", "c").agg(F.min("edge").alias("edge"))
-        chosen = cut(chosen, "chosen")
+    while (n := labels.agg(F.count_distinct("ms", "c")).first()[0]) > small and n > labels.select("ms").distinct().count():
+        chosen = cut(_round(index, labels, edges), "chosen")
         trees.append(chosen.select("ms", "edge.lo", "edge.hi", "edge.w"))
         roots = connected_components(chosen.select("ms", F.col("c").alias("a"), F.col("edge.other").alias("b")), "ms", small)
-        if max(r.n for r in counts) <= small:
-            # Few components: keep the first tables and one broadcast map to the current roots.
-            base = first_labels.select("ms", F.col("c").alias("v")).distinct().withColumn("root", F.col("v")) if all_roots is None else all_roots
-            all_roots = cut(_relabel(base.withColumnRenamed("root", "_c"), roots, ["_c"]).withColumnRenamed("_c", "root"), "roots")
-            labels, edges = _relabel(first_labels, all_roots, ["c"]), _relabel(first_edges, all_roots, ["ca", "cb"])
-        else:
-            labels = first_labels = cut(_relabel(labels, roots, ["c"]), "components")
-            edges = first_edges = cut(_relabel(edges, roots, ["ca", "cb"]).where("ca <> cb"), "edges")
-    if not trees:
-        return index.nodes.sparkSession.createDataFrame([], "ms int, a bigint, b bigint, w double")
-    tree = trees[0]
-    for t in trees[1:]:
+        labels = cut(_relabel(labels, roots, ["c"]), "components")
+        edges = cut(_relabel(edges, roots, ["ca", "cb"]).where("ca <> cb"), "edges")
+    tree = _short_rounds(index, labels, edges)
+    for t in trees:
         tree = tree.unionByName(t)
     # Two components may have chosen the same edge.
     return tree.distinct().select("ms", F.col("lo").alias("a"), F.col("hi").alias("b"), "w")

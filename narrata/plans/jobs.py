@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata import schemas
 from narrata.operators import blocks, collect, enrich, tags, vectors
 from narrata.operators.blocks import BlockSettings
 from narrata.operators.summary import LABEL, NOISE
 from narrata.plans.density import cluster_points
-from narrata.settings import ClusterSettings, CollectSettings
+from narrata.plans.report import build_report
+from narrata.settings import ClusterSettings, CollectSettings, Settings
+from narrata.shared import cut
+from narrata.sinks.keyed import read_if_exists, save_comments, save_posts
 
 
 def collect_posts(
@@ -76,3 +80,46 @@ def sweep(stored: DataFrame, s: ClusterSettings) -> DataFrame:
     names = stored.sparkSession.createDataFrame(named, "run int, min_cluster_size int, min_samples int")
     statistics = label_statistics(found, ["run"]).join(F.broadcast(names), "run")
     return statistics.select("min_cluster_size", "min_samples", "n_clusters", "n_noise", "largest", "median", "mean")
+
+
+def embed_posts(posts: DataFrame, path: str, s: ClusterSettings, encoder: vectors.EncoderFactory | None = None) -> DataFrame:
+    return vectors.embed_posts(posts, path, s.vector_size, encoder)
+
+
+def run(
+    spark: SparkSession,
+    path: str,
+    run_id: str,
+    settings: Settings = Settings(),
+    landed: tuple[DataFrame, DataFrame] | None = None,
+    collection_date: str | None = None,
+    cluster: bool = True,
+    report: bool = True,
+    encoder: vectors.EncoderFactory | None = None,
+) -> dict[str, DataFrame]:
+    """Run the chosen stages over the tables under ``path``.
+
+    ``landed`` (posts, comments) adds a collection; without it the saved tables
+    are used. Every stage hands over through a written table: ``posts`` and
+    ``comments`` by key, ``vectors`` by post, ``labels`` and ``report`` by run.
+    """
+    out: dict[str, DataFrame] = {}
+    if landed is not None:
+        posts, comments = collect_posts(*landed, settings.collect, collection_date)
+        save_posts(posts, f"{path}/posts")
+        save_comments(comments, f"{path}/comments")
+    posts = spark.read.parquet(f"{path}/posts")
+    labels_path = f"{path}/labels/run={run_id}"
+    if cluster:
+        stored = embed_posts(enrich.with_comment_text(posts), f"{path}/vectors", settings.cluster, encoder)
+        cluster_vectors(stored, settings.cluster).write.mode("overwrite").parquet(labels_path)
+    if report:
+        labels = read_if_exists(spark, labels_path, schemas.LABELS)
+        if labels is None:
+            labels = spark.createDataFrame([], schemas.LABELS)
+        labelled = cut(attach_labels(posts, labels), "labelled")
+        for name, table in build_report(labelled, settings.report).items():
+            target = f"{path}/report/run={run_id}/{name}"
+            table.write.mode("overwrite").parquet(target)
+            out[name] = spark.read.schema(table.schema).parquet(target)
+    return out

@@ -295,4 +295,15 @@ ORACLES: dict[str, str] = {
           round(ln(1 + length(selftext)), 6) as log_length,
           cast(length(title || ' ' || selftext) as int) as n_text from posts""",
     ),
+    "standardised_vectors": """
+        with cells as (select cast(vec_id as varchar) as post_id, unnest(range(len(embedding))) as i,
+                         cast(unnest(embedding) as double) as x from embeddings),
+        moments as (select i, avg(x) as m, stddev_samp(x) as s from cells group by 1)
+        select post_id, cast(i as int) as dim, round((x - m) / s, 6) as value from cells join moments using (i)""",
+    "core_distances": """
+        with near as (
+          select a.vec_id, list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) as d,
+            row_number() over (partition by a.vec_id order by list_distance(cast(a.embedding as double[]), cast(b.embedding as double[]))) as rn
+          from embeddings a, embeddings b)
+        select cast(vec_id as varchar) as post_id, round(d, 6) as core from near where rn = 5""",
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata import schemas
 from narrata.functions import text as tx
-from narrata.operators import collect, enrich, ranking, suspicion, summary, tags
+from narrata.operators import collect, enrich, ranking, suspicion, summary, tags, vectors
 from narrata.operators.summary import LABEL
 from narrata.plans import jobs, report
 from narrata.settings import ClusterSettings, CollectSettings, ReportSettings, Settings
@@ -271,8 +272,9 @@ def text_vectors(spark, d):
     return jobs.embed_posts(enrich.with_comment_text(texts), new_folder(spark, "vectors"), CLUSTER)
 
 
-def standardised_columns(spark, d):
-    return jobs.column_moments(src.vectors(spark, d))
+def standardised_vectors(spark, d):
+    scaled = vectors.standardise(src.vectors(spark, d)).withColumn("x", vector_to_array("_scaled"))
+    return scaled.select("post_id", F.posexplode("x").alias("dim", "x")).select("post_id", "dim", F.round("x", 6).alias("value"))
 
 
 def reduced_vectors(spark, d):
@@ -280,7 +282,8 @@ def reduced_vectors(spark, d):
 
 
 def core_distances(spark, d):
-    return jobs.core_distances(src.vectors(spark, d), CLUSTER.min_samples)
+    found = jobs.core_distances(src.vectors(spark, d), CLUSTER.min_samples)
+    return found.select("post_id", F.round("core", 6).alias("core"))
 
 
 def density_labels(spark, d):
@@ -291,13 +294,12 @@ def density_sweep(spark, d):
     return jobs.sweep(src.vectors(spark, d), CLUSTER)
 
 
-def narrative_report(spark, d):
-    """Collect, embed, cluster and report, end to end over every post."""
-    out = jobs.run(
-        spark, src.landed_posts(spark, d), src.landed_comments(spark, d),
-        Settings(collect=WHOLE), RUN_DATE, new_folder(spark, "run"),
-    )
-    return out["clusters"]
+def narrative_labels(spark, d):
+    """Labels after collecting, embedding, clustering and reporting on every post."""
+    landed_tables = src.landed_posts(spark, d), src.landed_comments(spark, d)
+    path = new_folder(spark, "run")
+    jobs.run(spark, path, "check", Settings(collect=WHOLE), landed_tables, RUN_DATE)
+    return spark.read.schema(schemas.LABELS).parquet(f"{path}/labels/run=check")
 
 
 QUERIES: dict[str, Query] = {
@@ -309,6 +311,6 @@ QUERIES: dict[str, Query] = {
         keyword_ranks, keywords, sample_text, author_ranks, sample_posts, daily_timeline, cluster_flags, flagged_users,
         flagged_users_without_noise, headline, cluster_records, new_posts, new_comments, orphan_comments, saved_posts,
         saved_comments, json_posts, csv_posts, csv_comments, epoch_times, token_counts, text_lengths, text_vectors,
-        standardised_columns, reduced_vectors, core_distances, density_labels, density_sweep, narrative_report,
+        standardised_vectors, reduced_vectors, core_distances, density_labels, density_sweep, narrative_labels,
     )
 }
