@@ -25,7 +25,7 @@ from narrata.shared import cut, own_columns
 class BlockSettings:
     cell_rows: int = 512  # wanted rows per cell
     max_cells: int = 2048  # bound on pivots, whatever the number of rows
-    block_rows: int = 4096  # bound on rows of one side in one task
+    block_rows: int = 16_384  # bound on rows of one side in one task
     emit_rows: int = 20_000  # routed rows per Arrow batch
 
 
@@ -53,6 +53,13 @@ def values(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return table.column(name).to_numpy() if isinstance(table, pa.Table) else table.column(name).to_numpy(zero_copy_only=False)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a rows x cells matrix stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def squared(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared distances by matrix product, and a bound on their rounding error."""
     qq, xx = (q * q).sum(1), (x * x).sum(1)
@@ -81,12 +88,11 @@ def build_index(points: DataFrame, settings: BlockSettings) -> Index:
     pivots, pivot_ids = matrix(sample) if n else np.zeros((1, 1)), values(sample, "v")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d2, tolerance = squared(matrix(batch), pivots)
-                cell = d2.argmin(1)
-                reach = np.sqrt(d2[np.arange(len(cell)), cell] + tolerance)
-                yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("reach", pa.array(reach))
+        for batch in slices(batches):
+            d2, tolerance = squared(matrix(batch), pivots)
+            cell = d2.argmin(1)
+            reach = np.sqrt(d2[np.arange(len(cell)), cell] + tolerance)
+            yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("reach", pa.array(reach))
 
     schema = "v bigint, rep string, m bigint, vec array<double>, cell int, reach double"
     nodes = cut(nodes.mapInArrow(assign, schema), "cells")
@@ -192,9 +198,7 @@ def nearest_neighbours(index: Index, k: int) -> DataFrame:
     bound = own.groupBy(F.col("a").alias("v")).agg(F.when(F.count("*") == k, F.max("d")).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             cell = values(batch, "cell")
             low, d = lower_bounds(matrix(batch), cell, pivots, radius)
             reach = np.nan_to_num(values(batch, "bound").astype(float), nan=np.inf)

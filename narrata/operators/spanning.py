@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.operators.blocks import Index, emit, exact, lower_bounds, matrix, search, squared, values
+from narrata.operators.blocks import Index, emit, exact, lower_bounds, matrix, search, slices, squared, values
 from narrata.operators.components import SMALL, connected_components, merge_ids, small_table
 from narrata.shared import cut
 
@@ -86,7 +86,7 @@ def _pivot_edges(index: Index, labels: DataFrame, seekers: DataFrame) -> DataFra
     }
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             qm, ms, c, core = matrix(batch), values(batch, "ms"), values(batch, "c"), values(batch, "core")
             out = np.full(len(c), np.inf)
             for one, (pm, pc, pr) in per_ms.items():
@@ -121,9 +121,7 @@ def _search_least(index: Index, labels: DataFrame, bounds: DataFrame) -> DataFra
         uniform[r.ms][r.cell] = r.c0
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             cell, ms, c, core = (values(batch, n) for n in ("cell", "ms", "c", "core"))
             low, _ = lower_bounds(matrix(batch), cell, pivots, radius)
             low[np.arange(len(cell)), cell] = 0.0

@@ -28,28 +28,30 @@ def _any_in(texts: Iterable[Column], terms: Iterable[str]) -> Column:
     return reduce(or_, [t.contains(term) for t in texts for term in terms])
 
 
-def tag_rules() -> list[tuple[str, Column]]:
-    """(tag, condition) pairs in the order tags are listed."""
-    title, body, flair, community, author = (
-        F.lower(tx.or_empty(F.col(c))) for c in ("title", "selftext", "flair", "subreddit", "author")
-    )
+def tag_rules(title: Column, selftext: Column) -> list[tuple[str, Column]]:
+    """(tag, condition) pairs in the order tags are listed; texts are lower-cased and not null."""
+    flair, community, author = (F.lower(tx.or_empty(F.col(c))) for c in ("flair", "subreddit", "author"))
     comments, score = F.col("num_comments"), F.col("score")
-    selftext = tx.or_empty(F.col("selftext"))
     return [
-        ("potential_misinfo", _any_in([title, body], MISINFORMATION_TERMS)),
-        ("conspiracy", _any_in([title, body], CONSPIRACY_TERMS)),
+        ("potential_misinfo", _any_in([title, selftext], MISINFORMATION_TERMS)),
+        ("conspiracy", _any_in([title, selftext], CONSPIRACY_TERMS)),
         ("conspiracy", community == CONSPIRACY_COMMUNITY),
         ("high_engagement", (comments > HIGH_COMMENTS) | (score > HIGH_SCORE)),
         ("low_engagement", (comments < LOW_COMMENTS) & (score < LOW_SCORE)),
         ("deleted_author", author.contains(REMOVED_AUTHOR)),
         ("likely_satire", _any_in([flair], SATIRE_FLAIRS)),
         ("political", (community == POLITICAL_COMMUNITY) | _any_in([flair], POLITICAL_FLAIRS)),
-        # A short text cannot be long after stripping, so most rows skip the expression.
-        ("theory_drop", (F.length(selftext) > LONG_TEXT) & (F.length(tx.strip(selftext)) > LONG_TEXT)),
-        ("url_only", tx.is_blank(selftext)),
+        ("theory_drop", F.length(tx.strip(tx.or_empty(F.col("selftext")))) > LONG_TEXT),
+        ("url_only", tx.is_blank(tx.or_empty(F.col("selftext")))),
     ]
 
 
 def with_tags(posts: DataFrame) -> DataFrame:
-    """Add ``tags``; a tag two rules give is listed twice."""
-    return posts.withColumn("tags", F.array_compact(F.array(*[F.when(cond, F.lit(tag)) for tag, cond in tag_rules()])))
+    """Add ``tags``; a tag two rules give is listed twice.
+
+    The texts are lower-cased in a projection of their own: a dozen conditions
+    read them, and each would lower-case them again.
+    """
+    low = posts.withColumns({"_title": F.lower(tx.or_empty(F.col("title"))), "_text": F.lower(tx.or_empty(F.col("selftext")))})
+    found = [F.when(condition, F.lit(tag)) for tag, condition in tag_rules(F.col("_title"), F.col("_text"))]
+    return low.withColumn("tags", F.array_compact(F.array(*found))).drop("_title", "_text")

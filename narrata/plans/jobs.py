@@ -19,13 +19,16 @@ from narrata.sinks.keyed import read_if_exists, save_comments, save_posts
 def collect_posts(
     landed_posts: DataFrame, landed_comments: DataFrame, s: CollectSettings, collection_date: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Listings to tagged posts with their top comments, and the kept posts' comments."""
-    kept = collect.select_posts(collect.listings(landed_posts, s), s)
-    raw_comments = collect.comments_of_posts(landed_comments, kept, s)
-    comments = collect.project_comments(raw_comments, s, collection_date)
+    """Listings to tagged posts with their top comments, and the kept posts' comments.
+
+    Kept posts and cleaned comments are each needed twice, so both are written
+    once: the wide deduplication and the text cleaning do not run again.
+    """
+    kept = cut(collect.select_posts(collect.listings(landed_posts, s), s), "kept")
+    comments = collect.project_comments(collect.comments_of_posts(landed_comments, kept, s), s, collection_date)
+    comments = cut(comments, "comments")
     posts = collect.project_posts(kept, s, collection_date)
-    posts = tags.with_tags(enrich.attach_top_comments(posts, comments, s.top_comments))
-    return posts, comments
+    return tags.with_tags(enrich.attach_top_comments(posts, comments, s.top_comments)), comments
 
 
 def attach_labels(posts: DataFrame, labels: DataFrame) -> DataFrame:

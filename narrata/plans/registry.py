@@ -14,7 +14,7 @@ from narrata.operators import collect, enrich, ranking, suspicion, summary, tags
 from narrata.operators.summary import LABEL
 from narrata.plans import jobs, report
 from narrata.settings import ClusterSettings, CollectSettings, ReportSettings, Settings
-from narrata.shared import new_folder
+from narrata.shared import cut, new_folder
 from narrata.sinks import files, keyed
 from narrata.sources import driver_tables as src
 from narrata.sources import landed
@@ -36,6 +36,11 @@ def _all_comments(spark: SparkSession, d: str) -> DataFrame:
     return collect.project_comments(src.landed_comments(spark, d), WHOLE, RUN_DATE)
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled posts as the report stage gets them: a written table, read once per aggregate."""
+    return cut(src.posts(spark, d).select("post_id", "seq", "author", "title", "selftext", "created_utc", LABEL), "labelled")
+
+
 def top_listing(spark, d):
     return collect.top_listing(src.landed_posts(spark, d), LISTED).select("subreddit", "listing_rank", "post_id", "score")
 
@@ -166,11 +171,11 @@ def flagged_users_without_noise(spark, d):
 
 
 def headline(spark, d):
-    return suspicion.headline(src.posts(spark, d), REPORT)
+    return suspicion.headline(_labelled(spark, d), REPORT)
 
 
 def cluster_records(spark, d):
-    records = report.cluster_records(src.posts(spark, d), REPORT)
+    records = report.cluster_records(_labelled(spark, d), REPORT)
     days = F.transform("timeline", lambda x: F.concat(x["day"].cast("string"), F.lit("="), x["n"].cast("string")))
     return records.select(
         LABEL, "size", "flagged", "sample_text",
