@@ -208,9 +208,9 @@ def nearest_neighbours(index: Index, k: int) -> DataFrame:
             wanted[np.arange(len(cell)), cell] = False
             yield from emit(batch.drop_columns(["bound", "cell"]), wanted, s.emit_rows)
 
-    routed = data.join(bound, "v", "left").mapInArrow(
-        route, "v bigint, m bigint, vec array<double>, target int"
-    )
+    # Arrow output is matched to the schema by position.
+    asking = data.join(bound, "v", "left").select("v", "m", "vec", "cell", "bound")
+    routed = asking.mapInArrow(route, "v bigint, m bigint, vec array<double>, target int")
     other = search(cut(routed, "routed"), data, [], _nearest(k), _NEAREST, s.block_rows)
     return cut(first_per_group(own.unionByName(other), ["a"], order, k, "rank"), "neighbours")
 

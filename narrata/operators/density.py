@@ -194,7 +194,8 @@ def condense(
         rows = cut(tier.groupBy(*group).cogroup(touched).applyInArrow(merge, _ROW), "merged")
         fallen = rows.where("kind = 'point'").select("run", F.col("id").alias("v"), "top", "open")
         held = rows.where("kind = 'held'").select("run", F.col("id").alias("v"), F.col("top").alias("to"))
-        settled.append(at.join(fallen, ["run", "v"]).select("run", "point", "top", "open"))
+        # After the last tier, a point that never fell out of a cluster is noise.
+        settled.append(at.join(fallen, ["run", "v"], "left" if last else "inner").select("run", "point", "top", "open"))
         links.append(rows.where("kind = 'cluster'").select("run", "id", "top", "open"))
         if last:
             break

@@ -132,6 +132,8 @@ def _search_least(index: Index, labels: DataFrame, bounds: DataFrame) -> DataFra
                 wanted[rows] &= owner[None, :] != c[rows, None]
             yield from emit(batch.drop_columns(["cell", "limit"]), wanted, s.emit_rows)
 
+    # Arrow output is matched to the schema by position.
+    seekers = seekers.select("ms", "v", "c", "core", "vec", "cell", "limit")
     routed = seekers.mapInArrow(route, "ms int, v bigint, c bigint, core double, vec array<double>, target int")
     data = labels.select("ms", "v", "c", "core", "cell").join(vectors, "v")
     found = search(cut(routed, "routed"), data, ["ms"], _least_edges, _EDGE, s.block_rows)
