@@ -209,7 +209,7 @@ def orphan_comments(spark, d):
 def saved_posts(spark, d):
     """The keyed table after the same posts were saved twice."""
     path = new_folder(spark, "posts")
-    posts = _all_posts(spark, d)
+    posts = cut(_all_posts(spark, d), "clean")
     keyed.save_posts(posts, path)
     keyed.save_posts(posts, path)
     return keyed.read_if_exists(spark, path, posts.schema)
@@ -217,7 +217,7 @@ def saved_posts(spark, d):
 
 def saved_comments(spark, d):
     path = new_folder(spark, "comments")
-    comments = _all_comments(spark, d)
+    comments = cut(_all_comments(spark, d), "clean")
     keyed.save_comments(comments, path)
     keyed.save_comments(comments, path)
     return keyed.read_if_exists(spark, path, comments.schema)
