@@ -135,9 +135,9 @@ def _merge_component(min_size: int, run: int, edges: pa.Table, nodes: pa.Table)
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)})
 
 
-def _tier(edges: DataFrame, limit: int, small: int) -> tuple[DataFrame, bool] | None:
-    """(edges of the next tier with their component ``comp``, whether it is the last
-    tier); None when no edges are left.
+def _tier(edges: DataFrame, limit: int, small: int, share: float) -> tuple[DataFrame, float | None] | None:
+    """(edges of the next tier with their component ``comp``, the share of edges taken,
+    null for the last tier); None when no edges are left.
 
     Equal weights stay together. The share of edges taken is halved until every
     component fits; few enough edges always do.
@@ -146,8 +146,7 @@ def _tier(edges: DataFrame, limit: int, small: int) -> tuple[DataFrame, bool] |
     if not counts:
         return None
     if max(counts.values()) <= limit:
-        return edges.withColumn("comp", F.lit(0).cast("bigint")), True
-    share = 0.5
+        return edges.withColumn("comp", F.lit(0).cast("bigint")), None
     while True:
         cutoffs = edges.groupBy("run").agg(F.percentile_approx("w", share, 10_000).alias("cutoff"), F.count("*").alias("n"))
         cutoffs = cutoffs.withColumn("cutoff", F.when(F.col("n") > limit, F.col("cutoff")).otherwise(float("inf")))
@@ -157,7 +156,7 @@ def _tier(edges: DataFrame, limit: int, small: int) -> tuple[DataFrame, bool] |
         largest = placed.groupBy("run", "comp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         # A block of equal weights cannot be divided; it is taken whole once nothing lighter is left.
         if largest <= limit or share * max(counts.values()) < 1:
-            return placed, False
+            return placed, share
         share /= 2
 
 
@@ -186,8 +185,10 @@ def condense(
         run = right.column("run")[0].as_py()
         return _merge_component(sizes[run], run, left, right)
 
-    while (taken := _tier(edges, tier_edges, small)) is not None:
-        tier, last = taken
+    share = 0.5
+    while (taken := _tier(edges, tier_edges, small, share)) is not None:
+        tier, share = taken
+        last = share is None
         ends = tier.select("run", "comp", F.explode(F.array("a", "b")).alias("v")).distinct()
         group = ["run", "comp"]
         touched = own_columns(nodes.join(ends, ["run", "v"])).groupBy(*group)
@@ -199,6 +200,7 @@ def condense(
         links.append(rows.where("kind = 'cluster'").select("run", "id", "top", "open"))
         if last:
             break
+        share = min(0.5, 2 * share)  # what fitted is a better start than one half
         left = edges.join(tier.select("run", "e"), ["run", "e"], "left_anti")
         at = cut(_moved(at.join(fallen, ["run", "v"], "left_anti"), held, "v"), "places")
         made = rows.where("kind = 'node'").select(

@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
     "labelled_posts": _q(_POSTS, select="select post_id, seq, cluster_label from posts"),
     "cluster_count": "select count(distinct label) as n_clusters from embeddings where label - 1 <> -1",
     "label_size_statistics": """
-        select 10 as min_cluster_size, 5 as min_samples, count_if(label <> 0) as n_clusters,
+        select 10 as min_cluster_size, 5 as min_samples, cast(count_if(label <> 0) as bigint) as n_clusters,
           cast(coalesce(sum(n) filter (label = 0), 0) as bigint) as n_noise, max(n) as largest,
           median(n) as median, avg(n) filter (label <> 0) as mean
         from (select label, count(*) as n from embeddings group by 1)""",
