@@ -147,8 +147,7 @@ def search(
         spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         return df.join(sizes, keys).withColumns({f"p{own}": hashed, f"p{other}": spread}).drop("_q", "_x")
 
-    q = place(queries.withColumnRenamed("target", "cell") if "cell" not in queries.columns
-              else queries.drop("cell").withColumnRenamed("target", "cell"), "_q", "_x")
+    q = place(queries.drop("cell").withColumnRenamed("target", "cell"), "_q", "_x")
     x = own_columns(place(data, "_x", "_q"))
     group = [*keys, "p_q", "p_x"]
     return q.groupBy(*group).cogroup(x.groupBy(*group)).applyInArrow(find, schema)

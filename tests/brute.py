@@ -43,10 +43,7 @@ def _components(nodes: list[int], w: np.ndarray, below: float) -> list[list[int]
 
 
 def labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> list[frozenset[int]]:
-    """Chosen clusters, from the top down: cut at each distance, follow the parts.
-
-    ``tree_weights`` are the only distances at which the parts change.
-    """
+    """Chosen clusters, from the top down: cut at each distance, follow the parts."""
     w = reachability(x, min_samples)
     floor = 1e-12
 
