@@ -4,8 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrata.llm import simhash, substrings
-from narrata.llm.base import table
+from narrata.llm import quality, simhash, substrings, suffix_tree, toxicity
+from narrata.llm.base import fold, table
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    judged = toxicity.with_judgement(docs, field, "judged")
+    return judged.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "judged.score", "judged.spans").select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans"
+    )
+
+
+def op3_suffix_tree_lm(spark, sf_dir):
+    scored = suffix_tree.score_documents(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_simhash_near_dedup(spark, sf_dir):
@@ -18,5 +32,12 @@ def op6_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_substring_dedup)}
+def op8_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, model, "score")
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_suffix_tree_lm, op5_simhash_near_dedup, op6_substring_dedup, op8_quality_classifier)}
 ORACLES: dict[str, str] = {}
