@@ -34,7 +34,7 @@ GRAM = 16
 LONGEST = 256  # windows of a passage
 SLICE_WORDS = 1 << 20  # words hashed at once
 SHARD_PASSAGES = 1024
-KEY_PASSAGES = 64  # different passages one value may file in a shard; beyond, windows are compared by hash
+KEY_PASSAGES = 512  # different passages one value may file in a shard; beyond, windows are compared by hash
 
 _A, _B, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x5851F42D4C957F2D
 NO_ID = (1 << 63) - 1
