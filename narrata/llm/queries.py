@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from narrata.llm import quality, simhash, substrings, suffix_tree, toxicity
+from narrata.llm import embedding_dedup, packing, quality, simhash, substrings, suffix_tree, toxicity
 from narrata.llm.base import fold, table
 
 
@@ -39,5 +40,17 @@ def op8_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_suffix_tree_lm, op5_simhash_near_dedup, op6_substring_dedup, op8_quality_classifier)}
+def op9_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op10_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_toxicity, op3_suffix_tree_lm, op5_simhash_near_dedup, op6_substring_dedup, op8_quality_classifier, op9_embedding_near_dedup, op10_best_fit_packing)
+}
 ORACLES: dict[str, str] = {}
