@@ -36,6 +36,7 @@ SYMBOLS = 252  # byte values that can occur: all but the six white-space ones, a
 END = 10
 SLICE_BYTES = 8 << 20
 WORDS_HELD = 400_000
+KINDS = "w bigint, word string, n bigint"
 FREQUENT_BYTES = 24  # longest word in the table of frequent words
 
 
@@ -74,10 +75,45 @@ def _windows(stream: np.ndarray, real: np.ndarray, depth: int) -> tuple[np.ndarr
     return np.unique(key[real[depth:]], return_counts=True)
 
 
-def _counter(depth: int):
+class Tally:
+    """Numbers of packed keys, merged now and then; handed out when there are very many."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        if len(self.parts) > 1 and sum(len(k) for k, _ in self.parts) > 3_000_000:
+            self.parts = [self.merged()]
+
+    def full(self) -> bool:
+        return sum(len(k) for k, _ in self.parts) > 2_000_000
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([n for _, n in self.parts])).astype(np.int64)
+
+    def rows(self) -> pa.RecordBatch:
+        keys, times = self.merged()
+        self.parts = []
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.string()), pa.array(times)], names=["w", "word", "n"])
+
+
+def _packed(stream: np.ndarray, length: int) -> np.ndarray:
+    """Every ``length`` consecutive bytes as one number."""
+    n = len(stream) - length + 1
+    key = np.zeros(n, np.int64)
+    for i in range(length):
+        key = (key << 8) | stream[i : i + n]
+    return key
+
+
+def _count_shallow(depth: int):
+    """Words, and every byte with the ``depth`` bytes before it."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        keys, times, held = [], [], 0
+        tally = Tally()
 
         def words_out():
             n = len(words)
@@ -85,14 +121,6 @@ def _counter(depth: int):
             words.clear()
             return out
 
-        def merged():
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, np.concatenate(times)).astype(np.int64)
-
-        def windows_out():
-            k, t = merged()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(k), pa.string()), pa.array(t)], names=["w", "word", "n"])
-
         for batch in batches:
             for _, lines in _lines(batch):
                 for w in lines:
@@ -100,20 +128,41 @@ def _counter(depth: int):
                 if len(words) > WORDS_HELD:
                     yield words_out()
                 stream, _, real = _stream(lines, depth)
-                k, t = _windows(stream, real, depth)
-                keys.append(k)
-                times.append(t)
-                held += len(k)
-                if held > 3_000_000:
-                    k, t = merged()
-                    keys, times, held = [k], [t], len(k)
-                    if held > 2_000_000:
-                        yield windows_out()
-                        keys, times, held = [], [], 0
+                tally.add(_packed(stream, depth + 1)[real[depth:]])
+                if tally.full():
+                    yield tally.rows()
         if words:
             yield words_out()
-        if keys:
-            yield windows_out()
+        if tally.parts:
+            yield tally.rows()
+
+    return count
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+
+def _count_deep(depth: int, common):
+    """Every byte after a string of ``depth - 1`` bytes that may be common, with the byte before that string if the two make one
+    that may be common up to its last byte, else with 255 for it (no text has that byte)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, may = Tally(), np.zeros(1 << 22, bool)
+        may[_slots(common.value)] = True
+        for batch in batches:
+            for _, lines in _lines(batch):
+                stream, _, real = _stream(lines, depth)
+                hit = may[_slots(_packed(stream, depth - 1))]
+                keys = _packed(stream, depth + 1)
+                n = len(keys)
+                late, early = hit[1 : n + 1], hit[:n]
+                keys = np.where(early, keys, keys | np.int64(255 << 8 * depth))
+                tally.add(keys[late & real[depth:]])
+                if tally.full():
+                    yield tally.rows()
+        if tally.parts:
+            yield tally.rows()
 
     return count
 
@@ -186,15 +235,28 @@ class Automaton:
         return out.T.ravel()[: len(stream)]
 
 
-def fit_tree(windows: DataFrame, depth: int, least_share: float, divergence: float) -> Automaton:
-    """``windows``: (w, n), contexts of ``depth`` bytes with the byte after them."""
+def fit_tree(windows: DataFrame, train: DataFrame, depth: int, least_share: float, divergence: float) -> Automaton:
+    """``windows``: (w, n), bytes with the ``depth - 2`` before them.
+
+    A string is common only if its parts are, so the deepest two levels are counted, in a second pass, after
+    common strings only.
+    """
     total = windows.agg(F.sum("n")).first()[0] or 0
     if not total:
         return Automaton({b"": {}})
-    cuts = F.array(*[F.struct(F.lit(j).alias("j"), F.col("w").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("pair")) for j in range(depth + 1)])
-    pairs = windows.select("n", F.explode(cuts).alias("e")).groupBy("e.j", "e.pair").agg(F.sum("n").alias("n"))
+    shallow, least = depth - 2, max(1.0, least_share * total)
+    often = windows.where(F.col("n") >= least).select("w").toLocalIterator()  # at most 1 / least_share rows
+    often = train.sparkSession.sparkContext.broadcast(np.fromiter((r["w"] for r in often), np.int64))
+    deep = train.select("text").mapInArrow(_count_deep(depth, often), KINDS).groupBy("w").agg(F.sum("n").alias("n"))
+
+    def cuts(levels):
+        return F.array(*[F.struct(F.lit(j).alias("j"), F.col("w").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("pair")) for j in levels])
+
+    ends = windows.select("n", F.explode(cuts(range(shallow + 1))).alias("e")).unionByName(deep.select("n", F.explode(cuts((depth - 1, depth))).alias("e")))
+    ends = ends.where((F.col("e.j") < depth) | (F.shiftright("e.pair", 8 * depth) != 255))
+    pairs = ends.groupBy("e.j", "e.pair").agg(F.sum("n").alias("n"))
     pairs = cut(pairs.withColumn("context", F.shiftright("pair", 8)), "pairs")
-    common = pairs.groupBy("j", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= max(1.0, least_share * total))
+    common = pairs.groupBy("j", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
     pairs = cut(pairs.join(common, ["j", "context"]), "common")
     mask = F.expr("shiftleft(1L, 8 * j) - 1")
     parent = pairs.select((F.col("j") + 1).alias("j"), F.col("pair").alias("short"), F.col("n").alias("n_short"), F.col("total").alias("total_short"))
@@ -240,11 +302,12 @@ def _scorer(tree, frequent, depth: int, norm: float):
     return score
 
 
-def score_texts(docs: DataFrame, train: DataFrame, depth: int = 6, least_share: float = 1e-5, divergence: float = 1.0, frequent: int = 50_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: DataFrame, depth: int = 6, least_share: float = 1e-5, divergence: float = 1.0, frequent: int = 150_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``, learned from ``train``."""
     spark = docs.sparkSession
-    counted = cut(train.select("text").mapInArrow(_counter(depth), "w bigint, word string, n bigint"), "counted")
-    tree = fit_tree(counted.where("w is not null").groupBy("w").agg(F.sum("n").alias("n")), depth, least_share, divergence)
+    counted = cut(train.select("text").mapInArrow(_count_shallow(depth - 2), KINDS), "counted")
+    windows = cut(counted.where("w is not null").groupBy("w").agg(F.sum("n").alias("n")), "windows")
+    tree = fit_tree(windows, train, depth, least_share, divergence)
     words = cut(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
