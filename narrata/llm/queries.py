@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from narrata.llm import embedding_dedup, packing, quality, simhash, substrings, suffix_tree, toxicity
+from narrata.llm import ann, embedding_dedup, packing, quality, simhash, substrings, suffix_tree, toxicity
 from narrata.llm.base import fold, table
 
 
+def op1_balanced_posting_lists(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -51,6 +55,6 @@ def op10_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op3_suffix_tree_lm, op5_simhash_near_dedup, op6_substring_dedup, op8_quality_classifier, op9_embedding_near_dedup, op10_best_fit_packing)
+    for f in (op1_balanced_posting_lists, op2_toxicity, op3_suffix_tree_lm, op5_simhash_near_dedup, op6_substring_dedup, op8_quality_classifier, op9_embedding_near_dedup, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}
