@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from narrata.llm import ann, embedding_dedup, packing, quality, simhash, substrings, suffix_tree, toxicity
+from narrata.llm import ann, embedding_dedup, packing, quality, sampled_pieces, simhash, substrings, suffix_tree, toxicity, urls
 from narrata.llm.base import fold, table
 
 
@@ -27,6 +27,13 @@ def op3_suffix_tree_lm(spark, sf_dir):
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_sampled_sentencepiece(spark, sf_dir):
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sampled_pieces.encode(table(spark, sf_dir, "documents"), vocabulary, heat=0.5, seed=4)
+    decoded = sampled_pieces.decode_rows(encoded, vocabulary)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,7 +41,15 @@ def op5_simhash_near_dedup(spark, sf_dir):
 
 def op6_substring_dedup(spark, sf_dir):
     kept = substrings.strip_repeats(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return kept.select("row.doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]  # fixed values
+
+
+def op7_url_filter(spark, sf_dir):
+    judged = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op8_quality_classifier(spark, sf_dir):
@@ -55,6 +70,17 @@ def op10_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_balanced_posting_lists, op2_toxicity, op3_suffix_tree_lm, op5_simhash_near_dedup, op6_substring_dedup, op8_quality_classifier, op9_embedding_near_dedup, op10_best_fit_packing)
+    for f in (
+        op1_balanced_posting_lists,
+        op2_toxicity,
+        op3_suffix_tree_lm,
+        op4_sampled_sentencepiece,
+        op5_simhash_near_dedup,
+        op6_substring_dedup,
+        op7_url_filter,
+        op8_quality_classifier,
+        op9_embedding_near_dedup,
+        op10_best_fit_packing,
+    )
 }
 ORACLES: dict[str, str] = {}

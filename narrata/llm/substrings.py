@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.fmindex import FMIndex
@@ -168,9 +168,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*same, pa.array(hashes.view(np.int64)), pa.array(at, pa.int64())], names=["d", "value", "content", "hash", "first"])
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
+def _with_keys(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("x"), text.alias("text"))
+    return docs.select(*more, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("x"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -220,23 +220,29 @@ def _removed(n: int, spans: list | None) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            words = text.encode().split()
-            gone = _removed(len(words), spans)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if spans else words)
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if spans else text))
-        columns = zip(*out) if out else [()] * 4
-        made = [pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def strip_column():
+    """A column function of text and spans: (n_words, n_removed, kept_sha256, kept_text)."""
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, all_spans in batches:
+            out = []
+            for text, spans in zip(texts.to_pylist(), all_spans.to_pylist()):
+                words = (text or "").encode().split()
+                gone = _removed(len(words), spans)
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if spans else words)
+                out.append({"n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode() if spans else text})
+            yield pa.array(out, kind)
+
+    of.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(of, "struct<n_words:bigint,n_removed:bigint,kept_sha256:string,kept_text:string>")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) per row.
+    """(row, cut) per row of ``docs``: the row as it was, and (n_words, n_removed, kept_sha256, kept_text).
 
     ``kept_text`` is the text as it was where nothing goes, else the kept words joined by one space.
     """
-    joined = _with_keys(docs).join(repeated_spans(docs), ["d", "x"], "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(_strip, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    rows = _with_keys(docs, F.struct(*docs.columns).alias("row")).drop("text")
+    joined = rows.join(repeated_spans(docs), ["d", "x"], "left")
+    return joined.select("row", strip_column()(F.col("row.text"), F.col("spans")).alias("cut"))
