@@ -1,6 +1,6 @@
 """Language-model scores from a probabilistic suffix tree.
 
-A text is its lower-cased words joined by one space, and an end. The tree's symbols are the bytes
+A text is its lower-cased words, each closed by one space, and an end. The tree's symbols are the bytes
 of that line, so every word has a probability, known or not. Contexts are up to ``depth`` bytes long. A context
 is considered if it makes up at least ``least_share`` of the training symbols (so there are
 at most ``depth / least_share`` of them, however large the corpus) and retained if
@@ -10,7 +10,8 @@ of all symbols. Distributions are smoothed towards the next shorter retained con
 by the number of different symbols seen (Witten and Bell). A symbol is scored
 in the state of the longest retained suffix of what precedes it.
 
-Beside it each text gets an add-one unigram score over words. Words that are frequent in training are looked
+A token's probability is last smoothed with its add-one share of the training tokens: ``share`` of that and the rest
+of the product of the tree's symbols. The sum of the logarithms of the add-one shares alone is the base score. Words that are frequent in training are looked
 up in a table of at most ``frequent`` rows; the others are joined.
 
 Defined results: a null text is an empty one (its end is scored). Rows without
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
 def _stream(lines: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as one byte array, each after ``depth`` spaces; where each begins, and which bytes are scored."""
     pad = b" " * depth
-    parts = [pad + b" ".join(w) + b"\n" for w in lines]
+    parts = [pad + b" ".join([*w, b"\n"]) for w in lines]  # a space closes every word, then the end
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes) - sizes
     real = np.ones(int(sizes.sum()), bool)
@@ -271,38 +273,42 @@ def fit_tree(windows: DataFrame, train: DataFrame, depth: int, least_share: floa
     return Automaton(counts)
 
 
-def _scorer(tree, frequent, depth: int, norm: float):
+def _scorer(tree, frequent, depth: int, size: int, ends: int, share: float):
+    """Sums of each text over its end and its frequent words; of each other word the tree's probability."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = tree.value, frequent.value
+        kind = pa.list_(pa.struct([("word", pa.string()), ("log", pa.float64())]))
         for batch in batches:
             for at, lines in _lines(batch):
-                stream, starts, real = _stream(lines, depth)
-                logs = np.where(real, model.logs(stream, depth), 0.0)
-                scores = np.add.reduceat(logs, starts)
-                base, hits, rest = [], [], []
-                for words in lines:
-                    found = [known[w] for w in words if w in known]
-                    base.append(math.fsum(found) - norm * (len(words) + 1))
-                    hits.append(len(found))
-                    rest.append([(w.decode(), n) for w, n in Counter(w for w in words if w not in known).items()] if len(found) < len(words) else [])
+                stream, _, real = _stream(lines, depth)
+                sums = np.cumsum(np.where(real, model.logs(stream, depth), 0.0))
+                closes = np.flatnonzero(real & ((stream == 32) | (stream == END)))
+                logs = np.diff(sums[closes], prepend=0.0)  # of every token, words and ends
+                counts = np.array([len(w) + 1 for w in lines])
+                starts = np.cumsum(counts) - counts
+                flat = [t for w in lines for t in (*w, None)]
+                c = np.fromiter(map(known.get, flat, repeat(-1.0)), np.float64, len(flat))
+                c[starts + counts - 1] = ends
+                there = c >= 0
+                prior = (np.maximum(c, 0) + 1) / size
+                base = np.add.reduceat(np.where(there, np.log10(prior), 0.0), starts)
+                mixed = np.add.reduceat(np.where(there, np.log10(share * prior + (1 - share) * 10.0**logs), 0.0), starts)
+                hits = np.add.reduceat(c > 0, starts, dtype=np.int64)
+                rest: list[list] = [[] for _ in lines]
+                away = np.flatnonzero(~there)
+                for r, i, x in zip((np.searchsorted(starts, away, side="right") - 1).tolist(), away.tolist(), logs[away].tolist()):
+                    rest[r].append({"word": flat[i].decode(), "log": x})
                 n = len(lines)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("rid").slice(at, n),
-                        batch.column("doc_id").slice(at, n),
-                        pa.array([len(w) + 1 for w in lines], pa.int64()),
-                        pa.array(hits, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(scores, pa.float64()),
-                        pa.array([[{"word": w, "n": c} for w, c in r] for r in rest], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-                    ],
-                    names=["rid", "doc_id", "n_tokens", "hits", "base", "score", "rest"],
-                )
+                columns = [pa.array(counts, pa.int64()), pa.array(hits), pa.array(base), pa.array(mixed), pa.array(rest, kind)]
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(at, n), batch.column("doc_id").slice(at, n), *columns], names=["rid", "doc_id", "n_tokens", "hits", "base", "mixed", "rest"])
 
     return score
 
 
-def score_texts(docs: DataFrame, train: DataFrame, depth: int = 6, least_share: float = 1e-5, divergence: float = 1.0, frequent: int = 150_000) -> DataFrame:
+def score_texts(
+    docs: DataFrame, train: DataFrame, depth: int = 6, least_share: float = 1e-5, divergence: float = 1.0, frequent: int = 150_000, share: float = 0.5
+) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``, learned from ``train``."""
     spark = docs.sparkSession
     counted = cut(train.select("text").mapInArrow(_count_shallow(depth - 2), KINDS), "counted")
@@ -312,24 +318,26 @@ def score_texts(docs: DataFrame, train: DataFrame, depth: int = 6, least_share:
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    norm = math.log10(n + v + 1)
+    size = n + v + 1
     short = F.octet_length("word") <= FREQUENT_BYTES
     top = cut(words.where(short).orderBy(F.desc("c"), "word").limit(frequent), "frequent")
-    known = {r["word"].encode(): math.log10(r["c"] + 1) for r in top.toLocalIterator()}
+    known = {r["word"].encode(): float(r["c"]) for r in top.toLocalIterator()}
     send = spark.sparkContext.broadcast
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    kinds = "rid bigint, doc_id bigint, n_tokens bigint, hits bigint, base double, score double, rest array<struct<word:string,n:bigint>>"
-    scored = cut(own.mapInArrow(_scorer(send(tree), send(known), depth, norm), kinds), "scored")
-    rest = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.word", F.col("r.n").alias("times"))
-    found = rest.join(words, "word").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain"))
-    end = math.log10(ends + 1)
+    kinds = "rid bigint, doc_id bigint, n_tokens bigint, hits bigint, base double, mixed double, rest array<struct<word:string,log:double>>"
+    scored = cut(own.mapInArrow(_scorer(send(tree), send(known), depth, size, ends, share), kinds), "scored")
+    rest = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.word", "r.log").join(words, "word", "left")
+    prior = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(size))
+    found = rest.groupBy("rid").agg(
+        F.count("c").alias("more"), F.sum(F.log10(prior)).alias("base_more"), F.sum(F.log10(share * prior + (1 - share) * F.pow(F.lit(10.0), F.col("log")))).alias("mixed_more")
+    )
     return scored.drop("rest").join(found, "rid", "left").select(
         "doc_id",
         "n_tokens",
-        (F.col("hits") + F.coalesce("more", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
+        (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) + end).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
+        (F.col("mixed") + F.coalesce("mixed_more", F.lit(0.0))).alias("score"),
     )
 
 
