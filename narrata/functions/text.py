@@ -45,6 +45,10 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(NOT_SPACE)
 
 
+def _replaced_if(text: Column, may: Column, pattern: str) -> Column:
+    return F.when(may, F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
 def clean_text(text: Column) -> Column:
     """Lower-case and remove URLs, link markup and mentions; null gives ''.
 
@@ -52,14 +56,13 @@ def clean_text(text: Column) -> Column:
     occur in lower-cased text; there is no step for it.
     """
     low = F.lower(or_empty(text))
-    # Most texts hold no URL, and looking for the two words is far cheaper than the pattern.
-    has_url = low.contains("http") | low.contains("www")
-    out = F.when(has_url, F.regexp_replace(low, URL, "")).otherwise(low)
-    out = F.regexp_replace(out, MARKDOWN_LINK, "")
+    # Looking for a few letters is far cheaper than the patterns, and most texts hold none of them.
+    out = _replaced_if(low, low.contains("http") | low.contains("www"), URL)
+    out = _replaced_if(out, out.contains("]("), MARKDOWN_LINK)
     out = F.regexp_replace(out, LOOSE_MARKDOWN, "")
     out = F.regexp_replace(out, r"\n\n+", "\n")
-    out = F.regexp_replace(out, COMMUNITY_MENTION, "")
-    out = F.regexp_replace(out, USER_MENTION, "")
+    out = _replaced_if(out, out.contains("r/"), COMMUNITY_MENTION)
+    out = _replaced_if(out, out.contains("u/"), USER_MENTION)
     out = F.regexp_replace(out, f"{SPACE}{{2,}}", " ")
     return strip(out)
 

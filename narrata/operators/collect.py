@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,28 +20,44 @@ def of_communities(landed: DataFrame, communities: tuple[str, ...] | None) -> Da
     return landed if communities is None else landed.where(F.col("subreddit").isin(*communities))
 
 
+def _latest(df: DataFrame) -> list[Column]:
+    """The order in which copies of one landed row are preferred: last landed first, where the table says when."""
+    landed = [F.desc_nulls_last("landed_at")] if "landed_at" in df.columns else []
+    return [*landed, F.desc("score"), F.asc("created_utc")]
+
+
+def _month_until(instant: str, created: str) -> tuple[Column, Column]:
+    """First and last value of the month that ends at ``instant``, as constants of the stored type, so that files can be skipped."""
+    last = dt.datetime.fromisoformat(instant)
+    year, month = (last.year, last.month - 1) if last.month > 1 else (last.year - 1, 12)
+    first = last.replace(year=year, month=month, day=min(last.day, calendar.monthrange(year, month)[1]))
+    if created == "timestamp_ntz":
+        return F.lit(first), F.lit(last)
+    return tuple(F.lit(t.replace(tzinfo=dt.timezone.utc).timestamp()) for t in (first, last))
+
+
 def top_listing(landed: DataFrame, s: CollectSettings) -> DataFrame:
-    """Best-scored posts of the last month, ``top_limit`` per community.
+    """Best-scored posts of the month that ends at ``as_of``, ``top_limit`` per community.
 
-    Ranking reads only the score columns. The score each community's last
-    admitted post has then thins the wide rows before they are sorted, so post
-    text is neither sorted nor shuffled for posts that cannot be listed.
+    A post landed several times has one place, by its latest landing. Ranking
+    reads only the score columns, and the chosen rows' text follows by id, so
+    text is neither sorted nor shuffled for posts that are not listed.
     """
     rows = of_communities(landed, s.communities).where(F.col("listing") == "top")
     if s.as_of:
-        since = F.lit(s.as_of).cast("timestamp_ntz") - F.expr("INTERVAL 1 MONTH")
-        rows = rows.where(_created(rows) >= since)
+        first, last = _month_until(s.as_of, dict(rows.dtypes)["created_utc"])
+        rows = rows.where(F.col("created_utc").between(first, last))
     if s.top_limit is None:
         return rows.withColumn("listing_rank", -F.col("score").cast("bigint"))
     order = [F.desc("score"), F.asc("post_id")]
-    narrow = first_per_group(rows.select("subreddit", "score"), ["subreddit"], [F.desc("score")], s.top_limit)
-    floor = narrow.groupBy("subreddit").agg(F.min("score").alias("_floor"))
-    # One row per community: a list in the settings bounds it, otherwise Spark sizes it.
-    floor = F.broadcast(floor) if s.communities is not None else floor
-    near = rows.join(floor, "subreddit").where(F.col("score") >= F.col("_floor")).drop("_floor", "listing_rank")
-    return first_per_group(near, ["subreddit"], order, s.top_limit, "listing_rank").select(
-        *[c for c in near.columns], F.col("listing_rank").cast("bigint").alias("listing_rank")
-    )
+    keys = [c for c in ("subreddit", "post_id", "score", "created_utc", "landed_at") if c in rows.columns]
+    once = first_per_group(rows.select(*keys), ["subreddit", "post_id"], _latest(rows), 1)
+    chosen = first_per_group(once, ["subreddit"], order, s.top_limit, "listing_rank")
+    chosen = chosen.select("subreddit", "post_id", F.col("listing_rank").cast("bigint").alias("listing_rank"))
+    # ``top_limit`` rows per community: a list in the settings bounds them, otherwise Spark sizes them.
+    chosen = F.broadcast(chosen) if s.communities is not None else chosen
+    near = rows.drop("listing_rank").join(chosen, ["subreddit", "post_id"])
+    return first_per_group(near, ["subreddit", "post_id"], _latest(rows), 1)
 
 
 def hot_listing(landed: DataFrame, s: CollectSettings) -> DataFrame:
@@ -108,15 +127,16 @@ def project_posts(raw: DataFrame, s: CollectSettings, collection_date: str) -> D
 def comments_of_posts(comments: DataFrame, posts: DataFrame, s: CollectSettings) -> DataFrame:
     """The first ``max_comments_per_post`` comments of each kept post.
 
-    The limit runs first: it bounds what a single busy post can send to one
-    task, and the join reuses its partitioning. Kept posts are unique by id, so
-    the join only filters, and gives a comment its post's community.
+    Kept posts are unique by id, so the join only filters, and gives a comment
+    its post's community; it comes first, so comments of other posts are not
+    sorted. A comment landed several times is one, by its latest landing. Both
+    limits on ranks also run before their shuffles, so a busy post stays small.
     """
-    if s.max_comments_per_post is not None:
-        comments = first_per_group(
-            comments, ["post_id"], [F.asc("comment_seq"), F.asc("comment_id")], s.max_comments_per_post
-        )
-    return comments.drop("subreddit").join(posts.select("post_id", "subreddit"), "post_id")
+    kept = comments.drop("subreddit").join(posts.select("post_id", "subreddit"), "post_id")
+    kept = first_per_group(kept, ["post_id", "comment_id"], [*_latest(comments)[:-2], F.asc("comment_seq"), F.desc("score")], 1)
+    if s.max_comments_per_post is None:
+        return kept
+    return first_per_group(kept, ["post_id"], [F.asc("comment_seq"), F.asc("comment_id")], s.max_comments_per_post)
 
 
 def project_comments(raw: DataFrame, s: CollectSettings, collection_date: str) -> DataFrame:

@@ -31,6 +31,8 @@ def _hashed(texts: DataFrame, size: int, model_path: str, refit: bool) -> DataFr
     """Unit TF-IDF vectors. The document frequencies are fitted once and stored, so
     vectors made by later runs stay comparable with the stored ones."""
     tf = _term_frequencies(texts, size)
+    if refit and tf.isEmpty():
+        return texts.sparkSession.createDataFrame([], schemas.VECTORS)
     if refit:
         IDF(inputCol="_tf", outputCol="_idf").fit(tf).write().overwrite().save(model_path)
     weighted = IDFModel.load(model_path).transform(tf)
@@ -63,7 +65,8 @@ def embed_posts(
     texts = posts.where(F.col("comment_text") != "").select("post_id", "comment_text")
     stored = None if overwrite else read_if_exists(spark, table, schemas.VECTORS)
     missing = texts if stored is None else without_vector(texts, stored)
-    made = _encoded(missing, encoder) if encoder else _hashed(missing, size, model, refit=stored is None)
+    # a table without rows has no model yet
+    made = _encoded(missing, encoder) if encoder else _hashed(missing, size, model, refit=stored is None or stored.isEmpty())
     made.write.mode("overwrite" if stored is None else "append").parquet(table)
     return spark.read.schema(schemas.VECTORS).parquet(table)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ def collect_posts(
     Kept posts and cleaned comments are each needed twice, so both are written
     once: the wide deduplication and the text cleaning do not run again.
     """
+    if s.month_window and s.as_of is None and collection_date is not None:
+        s = replace(s, as_of=collection_date)
     kept = cut(collect.select_posts(collect.listings(landed_posts, s), s), "kept")
     comments = collect.project_comments(collect.comments_of_posts(landed_comments, kept, s), s, collection_date)
     comments = cut(comments, "comments")
@@ -65,7 +69,12 @@ def core_distances(stored: DataFrame, min_samples: int) -> DataFrame:
 
 
 def cluster_vectors(stored: DataFrame, s: ClusterSettings) -> DataFrame:
-    """(post_id, cluster_label) of stored vectors: standardise, reduce, cluster."""
+    """(post_id, cluster_label) of stored vectors: standardise, reduce, cluster.
+
+    Fewer vectors than ``min_samples`` have no density, so all are noise.
+    """
+    if stored.limit(s.min_samples).count() < s.min_samples:
+        return stored.select("post_id", F.lit(NOISE).cast("int").alias(LABEL))
     found = cluster_points(reduce_vectors(stored, s), [(s.min_cluster_size, s.min_samples)])
     return found.select("post_id", LABEL)
 
@@ -85,8 +94,10 @@ def sweep(stored: DataFrame, s: ClusterSettings) -> DataFrame:
     return statistics.select("min_cluster_size", "min_samples", "n_clusters", "n_noise", "largest", "median", "mean")
 
 
-def embed_posts(posts: DataFrame, path: str, s: ClusterSettings, encoder: vectors.EncoderFactory | None = None) -> DataFrame:
-    return vectors.embed_posts(posts, path, s.vector_size, encoder)
+def embed_posts(
+    posts: DataFrame, path: str, s: ClusterSettings, encoder: vectors.EncoderFactory | None = None, overwrite: bool = False
+) -> DataFrame:
+    return vectors.embed_posts(posts, path, s.vector_size, encoder, overwrite)
 
 
 def run(
@@ -99,12 +110,15 @@ def run(
     cluster: bool = True,
     report: bool = True,
     encoder: vectors.EncoderFactory | None = None,
+    overwrite: bool = False,
 ) -> dict[str, DataFrame]:
     """Run the chosen stages over the tables under ``path``.
 
     ``landed`` (posts, comments) adds a collection; without it the saved tables
     are used. Every stage hands over through a written table: ``posts`` and
     ``comments`` by key, ``vectors`` by post, ``labels`` and ``report`` by run.
+    ``overwrite`` makes all vectors anew, with a model fitted anew. Empty and
+    tiny inputs give labels of noise and a report without clusters.
     """
     out: dict[str, DataFrame] = {}
     if landed is not None:
@@ -114,7 +128,7 @@ def run(
     posts = spark.read.parquet(f"{path}/posts")
     labels_path = f"{path}/labels/run={run_id}"
     if cluster:
-        stored = embed_posts(enrich.with_comment_text(posts), f"{path}/vectors", settings.cluster, encoder)
+        stored = embed_posts(enrich.with_comment_text(posts), f"{path}/vectors", settings.cluster, encoder, overwrite)
         cluster_vectors(stored, settings.cluster).write.mode("overwrite").parquet(labels_path)
     if report:
         labels = read_if_exists(spark, labels_path, schemas.LABELS)

@@ -8,6 +8,7 @@ compared with brute force in the tests.
 from __future__ import annotations
 
 from narrata.functions.stopwords import ENGLISH_STOP_WORDS
+from narrata.operators import tags
 
 _LISTED_COMMUNITIES = "('politics', 'conspiracy', 'worldnews', 'Conservative')"
 _STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + ")"
@@ -69,7 +70,8 @@ _IN_CLUSTER = "cluster_label is not null and cluster_label <> -1"
 def _listed(communities: bool, top_limit: int | None, hot_limit: int | None, as_of: bool) -> str:
     """CTE ``listed``: both listings with their order key."""
     where = f"subreddit in {_LISTED_COMMUNITIES}" if communities else "true"
-    since = "created_utc >= timestamp '2024-02-02 00:00:00' - interval '1' month" if as_of else "true"
+    month = "created_utc between timestamp '2024-02-02 00:00:00' - interval '1' month and timestamp '2024-02-02 00:00:00'"
+    since = month if as_of else "true"
     position = (
         "case subreddit when 'politics' then 1 when 'conspiracy' then 2 when 'worldnews' then 3 else 4 end"
         if communities else "0"
@@ -109,15 +111,15 @@ def _tag_list(source: str) -> str:
     both = ("title", "selftext")
     strip = _strip("coalesce(selftext, '')")
     rules = (
-        ("potential_misinfo", _contains(both, ("5g", "plandemic", "bioweapon", "graphene", "cancer cure", "chemtrails"))),
-        ("conspiracy", _contains(both, ("deep state", "hoax", "false flag", "great reset", "illuminati"))),
+        ("potential_misinfo", _contains(both, tags.MISINFORMATION_TERMS)),
+        ("conspiracy", _contains(both, tags.CONSPIRACY_TERMS)),
         ("conspiracy", "lower(subreddit) = 'conspiracy'"),
         ("high_engagement", "(num_comments > 300 or score > 1000)"),
         ("low_engagement", "(num_comments < 5 and score < 5)"),
         ("deleted_author", _contains(("author",), ("[deleted]",))),
-        ("likely_satire", _contains(("flair",), ("satire", "joke"))),
+        ("likely_satire", _contains(("flair",), tags.SATIRE_FLAIRS)),
         ("political", "(lower(subreddit) = 'politics' or "
-                      + _contains(("flair",), ("dem", "gop", "liberal", "conservative")) + ")"),
+                      + _contains(("flair",), tags.POLITICAL_FLAIRS) + ")"),
         ("theory_drop", f"length({strip}) > 1000"),
         ("url_only", f"{strip} = ''"),
     )
@@ -175,7 +177,43 @@ _FILE_POSTS = _q(
     select="select * replace (array_to_string(tags, ',') as tags) from tagged",
 )
 
+_THINNED = """
+thinned as (select * replace (case n when 1 then '[deleted]' when 2 then '[removed]' else raw_body end as raw_body,
+    coalesce(case when n = 3 then null else author end, 'None') as author, score + 2 as score)
+  from (select *, (cast(post_id as bigint) * 8 + comment_seq) % 7 as n from comments))"""
+_INJECTED = [t.upper() for t in (*tags.MISINFORMATION_TERMS, *tags.CONSPIRACY_TERMS)]
+_PUT_IN = f"""
+put_in as (select * replace (concat_ws(' ', title, {_INJECTED}[cast(seq % {len(_INJECTED) + 5} as int) + 1]) as title,
+    case when seq % {len(_INJECTED) + 5} = {len(_INJECTED) + 1} then 4 else score end as score,
+    case when seq % {len(_INJECTED) + 5} = {len(_INJECTED) + 1} then 4 else num_comments end as num_comments) from posts)"""
+
 ORACLES: dict[str, str] = {
+    "limited_comments": _q(
+        _POSTS, _COMMENTS, _THINNED,
+        select="""select comment_id, post_id, author, raw_body, score, comment_seq from
+          (select *, row_number() over (partition by post_id order by comment_seq) as rn from thinned)
+          where rn <= 3 and post_id in (select post_id from posts where num_comments >= 10 and score >= 10)""",
+    ),
+    "limited_top_comments": _q(
+        _COMMENTS, _THINNED, f"cleaned as (select *, {_clean('raw_body')} as body from thinned)",
+        select="""select post_id, cast(rank as int) as rank, comment_id, round(score_len, 6) as score_len from
+          (select *, row_number() over (partition by post_id order by score_len desc, comment_id) as rank from
+            (select *, score * ln(1 + length(body)) as score_len from cleaned where raw_body not in ('[deleted]', '[removed]')))
+          where rank <= 3""",
+    ),
+    "injected_tags": _q(_POSTS, _PUT_IN, _tag_list("put_in"), select="select post_id, array_to_string(tags, ',') as tags from tagged"),
+    "relanded_listing": _q(
+        _POSTS,
+        select=f"""select subreddit, listing_rank, post_id, score, 3 as landed_at from
+          (select subreddit, post_id, score - 21 as score, row_number() over (partition by subreddit order by score desc, post_id) as listing_rank
+           from posts where subreddit in {_LISTED_COMMUNITIES}
+             and created_utc between timestamp '2024-02-02 00:00:00' - interval '1' month and timestamp '2024-02-02 00:00:00')
+          where listing_rank <= 3""",
+    ),
+    "landed_rejects": """
+        select case when (conv_id * 8 + turn) % 5 = 0 then 'rejected' else 'good' end as kind, count(*) as n,
+          count(distinct case when (conv_id * 8 + turn) % 5 = 0 then null else conv_id end) as posts
+        from conversations group by 1""",
     "top_listing": _q(_POSTS, _DEFAULT, select="select subreddit, listing_rank, post_id, score from top_rows"),
     "hot_listing": _q(_POSTS, _DEFAULT, select="select subreddit, listing_rank, post_id from hot_rows"),
     "listings": _q(_POSTS, _DEFAULT, select="select seq, post_id, listing from listed"),

@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-02-02 00:00:00"
 RUN_DATE = "2024-02-02 00:00:00"
 LISTED = CollectSettings(as_of=AS_OF)
-WHOLE = CollectSettings(communities=None, top_limit=None, hot_limit=None)
+WHOLE = CollectSettings(communities=None, top_limit=None, hot_limit=None, month_window=False)
 REPORT = ReportSettings()
 
 
@@ -307,6 +307,65 @@ def narrative_labels(spark, d):
     return spark.read.schema(schemas.LABELS).parquet(f"{path}/labels/run=check")
 
 
+TIGHT = CollectSettings(communities=None, top_limit=None, hot_limit=None, max_comments_per_post=3, top_comments=3, literal_none_author=True)
+# Rules that ordinary texts never meet: every term of the tag rules, in posts chosen by their id.
+INJECTED = [*tags.MISINFORMATION_TERMS, *tags.CONSPIRACY_TERMS]
+
+
+def _limited_comments(spark, d):
+    """All comments landed twice; of some the text or the author was taken away."""
+    rows = src.landed_comments(spark, d)
+    n = (F.col("post_id").cast("bigint") * 8 + F.col("comment_seq")) % 7
+    body = F.when(n == 1, "[deleted]").when(n == 2, "[removed]").otherwise(F.col("body"))
+    rows = rows.withColumns({"body": body, "author": F.when(n != 3, F.col("author"))})
+    return rows.withColumn("landed_at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("score", F.col("score") + F.col("landed_at"))
+
+
+def limited_comments(spark, d):
+    """The first three comments of each kept post, whatever was landed twice."""
+    posts = collect.select_posts(src.posts(spark, d), TIGHT)
+    kept = collect.comments_of_posts(_limited_comments(spark, d), posts, TIGHT)
+    return collect.project_comments(kept, TIGHT, RUN_DATE).select("comment_id", "post_id", "author", "raw_body", "score", "comment_seq")
+
+
+def limited_top_comments(spark, d):
+    """The three most informative comments of each post, leaving out removed ones."""
+    comments = collect.project_comments(_limited_comments(spark, d).where("landed_at = 2"), TIGHT, RUN_DATE)
+    ranked = enrich.ranked_top_comments(comments, TIGHT.top_comments)
+    return ranked.select("post_id", "rank", "comment_id", F.round("score_len", 6).alias("score_len"))
+
+
+def injected_tags(spark, d):
+    """Tags of posts into which terms were put and from which engagement was taken."""
+    rows = src.posts(spark, d)
+    at = F.col("seq") % (len(INJECTED) + 5)
+    term = F.get(F.array(*[F.lit(t.upper()) for t in INJECTED]), at.cast("int"))
+    low = at == len(INJECTED) + 1
+    few = {c: F.when(low, F.lit(4)).otherwise(F.col(c)).cast("int") for c in ("score", "num_comments")}
+    rows = rows.withColumns({"title": F.concat_ws(" ", "title", term), **few})
+    return tags.with_tags(rows).select("post_id", F.array_join("tags", ",").alias("tags"))
+
+
+def relanded_listing(spark, d):
+    """The top listing of posts that were landed three times, each time with another score."""
+    rows = src.landed_posts(spark, d).withColumn("landed_at", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    rows = rows.withColumn("score", F.col("score") - 7 * F.col("landed_at"))
+    tight = CollectSettings(as_of=AS_OF, top_limit=3)
+    return collect.top_listing(rows, tight).select("subreddit", "listing_rank", "post_id", "score", "landed_at")
+
+
+def landed_rejects(spark, d):
+    """Good and rejected records of landed text, in which every fifth record is broken."""
+    path = new_folder(spark, "landed")
+    comments = src.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    line = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("comment_id"), F.col("conv_id").cast("string").alias("post_id"), F.col("text").alias("body")))
+    broken = (F.col("conv_id") * 8 + F.col("turn")) % 5 == 0
+    comments.select(F.when(broken, F.concat(F.lit("x"), line)).otherwise(line)).write.text(path)
+    good, rejects = landed.read_landed(spark, path, schemas.COMMENT_LANDED)
+    counted = good.select(F.lit("good").alias("kind"), "post_id").unionByName(rejects.select(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("post_id")))
+    return counted.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("post_id").alias("posts"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -317,5 +376,6 @@ QUERIES: dict[str, Query] = {
         flagged_users_without_noise, headline, cluster_records, new_posts, new_comments, orphan_comments, saved_posts,
         saved_comments, json_posts, csv_posts, csv_comments, epoch_times, token_counts, text_lengths, text_vectors,
         standardised_vectors, reduced_vectors, core_distances, density_labels, density_sweep, narrative_labels,
+        limited_comments, limited_top_comments, injected_tags, relanded_listing, landed_rejects,
     )
 }

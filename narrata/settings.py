@@ -20,8 +20,10 @@ class CollectSettings:
     min_score: int = 10
     max_comments_per_post: int | None = 50
     top_comments: int = 10
-    # Instant the one-month window of the top listing ends at; None = no window.
+    # Instant the one-month window of the top listing ends at. None: jobs take the collection date.
     as_of: str | None = None
+    # False lists over all time.
+    month_window: bool = True
     # True writes the literal 'None' for a missing author, pooling them as one user.
     literal_none_author: bool = False
 

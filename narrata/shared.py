@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_own: dict[str, str] = {}  # application -> folder, where none is configured
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder named in ``spark.checkpoint.dir``, or one in the warehouse where it is unset.
+
+    A warehouse on the local disk is one folder to all tasks only if they run
+    in this process, so elsewhere the setting is required then.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
-        path = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="narrata-")
-        _own[app] = path
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/narrata-scratch"
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        scheme = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return path.rstrip("/")
 
 
@@ -35,7 +37,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._narrata_folder = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Remove the table that ``cut`` wrote for ``df``, once nothing reads it any more: a loop moves on, say."""
+    path = getattr(df, "_narrata_folder", None)
+    if path:
+        spark = df.sparkSession
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def own_columns(df: DataFrame) -> DataFrame:
