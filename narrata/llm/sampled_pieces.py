@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-SLICE = 1 << 20  # characters segmented at once
+SLICE = 4 << 20  # characters segmented at once
 LONG = 64  # characters of a word handled at once; longer words are cut
 
 
@@ -153,12 +154,13 @@ class Lattice:
 
 def words_of(text: str) -> list[str]:
     """The marked line, cut before every mark that stands for a space, and words that are very long again."""
+    words = (MARK + text.replace(" ", " " + MARK)).split(" ")
+    if max(map(len, words)) <= LONG:
+        return words
     out = []
-    for word in text.split(" "):
-        for i in range(0, len(word) + 1, LONG - 1) if len(word) >= LONG else (0,):
-            part = word[i : i + LONG - 1]
-            if i == 0 or part:
-                out.append((MARK if i == 0 else "") + part)
+    for word in words:
+        out.append(word[:LONG])
+        out.extend(word[i : i + LONG - 1] for i in range(LONG, len(word), LONG - 1))
     return out
 
 
@@ -166,11 +168,11 @@ def segment(texts: list[str | None], keys: np.ndarray, pieces: Pieces, seed: int
     """Piece ids of each text."""
     words = [words_of(t or "") for t in texts]
     counts = np.array([len(w) for w in words])
-    known: dict[str, int] = {}
-    word = np.fromiter((known.setdefault(x, len(known)) for w in words for x in w), np.int64, int(counts.sum()))
+    flat = list(chain.from_iterable(words))
+    kinds = list(dict.fromkeys(flat))
+    word = np.fromiter(map(dict(zip(kinds, range(len(kinds)))).__getitem__, flat), np.int64, len(flat))
     key = np.repeat(keys, counts)
     place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-    kinds = list(known)
     sizes = np.array([len(k) for k in kinds])
     row, at, ids = [], [], []
     # words of like length share a lattice
