@@ -51,6 +51,17 @@ def test_packing(spark):
     assert check(rows, got, 1024) <= math.ceil(sum(r["length"] for r in got) / 1024) * 1.02 + 1
 
 
+def test_fast_ids_are_those_of_the_library():
+    encoder = packing.Encoder(BPE)
+    assert encoder.fast is not None
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(letters), 400):
+        text = "".join(f"a{c}1{c}, {c}{c} '{c}\n" for c in letters[i : i + 400])
+        assert encoder.encode(text) == encoder.by_library(text)
+    for text in ("x" * 50_000, " " * 50_000, "\t\n" * 3000 + "x", "ab " * 20_000):
+        assert encoder.encode(text) == encoder.by_library(text)
+
+
 def test_plan_is_best_fit_decreasing():
     draw = np.random.default_rng(6)
     for size in (10, 37, 200):
