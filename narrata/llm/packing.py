@@ -46,14 +46,15 @@ class Encoder:
 
     They are the ids that the library of the vocabulary file gives. If the file is a plain byte-level one whose merges are
     numbered in their order, tiktoken finds the same ids from its merges in a quarter of the time; other files, and
-    texts that hold very long runs without a space or of white space, are read by that library.
+    texts that hold an added token's string or very long runs without a space or of white space, are read by that library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
-            self.fast = self._plain(json.load(f))
+            file = json.load(f)
+        self.fast, self.special = self._plain(file), [t["content"] for t in file.get("added_tokens", ())]
 
     @staticmethod
     def _plain(file: dict):
@@ -80,11 +81,10 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or (len(text) > LONGEST_RUN and not self._spaced(text)):
+        if self.fast is None or any(t in text for t in self.special) or (len(text) > LONGEST_RUN and not self._spaced(text)):
             return self.by_library(text)
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 

@@ -22,7 +22,6 @@ ODD = ["a\n \nb", " lead", "trail ", "two  spaces", "a \n b", "tab\t x", "\u00a0
 
 def slow(text, size):
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
     first = (len(ids) - 1) % size + 1
     bounds = [0, *range(first, len(ids) + 1, size)]
