@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-SLICE = 4 << 20  # characters segmented at once
+SLICE = 1 << 20  # characters segmented at once
+KINDS = 4096  # different words whose lattices are held at once
 LONG = 64  # characters of a word handled at once; longer words are cut
 
 
@@ -179,8 +180,8 @@ def segment(texts: list[str | None], keys: np.ndarray, pieces: Pieces, seed: int
     edges = [0, 6, 10, 16, 32, LONG + 1]
     for low, high in zip(edges, edges[1:]):
         mine = np.flatnonzero((sizes > low) & (sizes <= high))
-        for k in range(0, len(mine), 4096):
-            part = mine[k : k + 4096]
+        for k in range(0, len(mine), KINDS):
+            part = mine[k : k + KINDS]
             renumber = np.full(len(kinds), -1)
             renumber[part] = np.arange(len(part))
             where = np.flatnonzero(renumber[word] >= 0)
@@ -227,7 +228,9 @@ def _encoder(path: str, heat: float, seed: int):
             keys = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             for start, stop in _slices(texts):
                 ids = segment(texts[start:stop], keys[start:stop], pieces, seed)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), lists], names=["doc_id", "ids"])
 
     return of
 
@@ -237,7 +240,7 @@ def _decoder(path: str):
         pieces = Pieces(path, 1.0)
         for batch in batches:
             ids = batch.column("ids")
-            values, ends = ids.flatten().to_numpy(), np.cumsum(np.array([len(x) for x in ids], np.int64))
+            values, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             parts = np.split(values, ends[:-1]) if len(ends) else []
             texts = [decode(x, pieces).decode() for x in parts]
             sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in parts]
