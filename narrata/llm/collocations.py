@@ -10,8 +10,9 @@ Everything is counted per language. Documents are cut into shards of words that
    symbol leads to and its count are the longer phrase's backward interval, and the smaller symbols' counts move the
    forward one.
 3. One round per phrase length: shards extend the intervals of phrases that are frequent over all shards, counts are summed
-   by (phrase, next word), and the frequent ones go back to the shards that have them. The forward interval tells what
-   precedes a phrase: a phrase that one same word always precedes or follows, in all shards, says less than the longer one.
+   by (phrase, next word), and the frequent ones go back to the shards that have them, in one shuffle: the rows that are
+   summed carry their shard and intervals. The forward interval tells what precedes a phrase: a phrase that one same word
+   always precedes or follows, in all shards, says less than the longer one.
 
 Tables of frequent phrases hold ids: the phrase without its last word, the last word, the phrase without its first word.
 Nothing that grows with the data is broadcast, and no task holds more than a shard, or a piece longer than one.
@@ -134,7 +135,7 @@ def _index(left: pa.Table, right: pa.Table) -> pa.Table:
     text = text[(text > 0) | (np.concatenate(([1], text[:-1])) > 0)]  # one break is enough
     columns = []
     for way in (text, text[::-1]):
-        rows = suffix_order_to(way, MOST_WORDS + 1)
+        rows = suffix_order_to(way, MOST_WORDS)
         columns.append(pa.array([packed(way[rows - 1])], pa.binary()))
     return pa.table({
         "shard": left.column("shard"), "ids": pa.ListArray.from_arrays([0, len(order)], pa.array(names[order], pa.int64())),
@@ -146,11 +147,11 @@ def suffix_order_to(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols at least, taken round the end; ties by place."""
     rank, width = text, 1
     while True:
-        if width >= depth:
-            return np.argsort(rank, kind="stable")
         pairs = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -width)
-        rank = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
         width *= 2
+        if width >= depth:
+            return np.argsort(pairs, kind="stable")
+        rank = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
 
 
 def build_index(shards: DataFrame, words: DataFrame, tasks: int) -> DataFrame:
@@ -184,18 +185,19 @@ def _inside(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - first[which] + low[which]
 
 
-_EXTENDED = "kind int, shard bigint, prefix bigint, word bigint, n bigint, low bigint, back bigint, left_word bigint, right_word bigint"
+_EXTENDED = "prefix bigint, word bigint, shard bigint, n bigint, place bigint"
+_LEFT, _RIGHT = -1, -2  # in place of a word: ``n`` is then the one word that always precedes or follows the phrase, or -1
 
 
 def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Longer phrases (kind 0) of the phrases ``right`` in the shard ``left``, and what surrounds each phrase (kind 1).
+    """Phrases one word longer than the phrases ``right`` in the shard ``left``, and what surrounds each phrase.
 
-    ``left_word`` and ``right_word`` are the one word that always stands there, or -1.
+    ``place`` holds where the phrase's two intervals begin, 32 bits each.
     """
     ids = np.concatenate(([-1], left.column("ids").combine_chunks().flatten().to_numpy()))
     forward, backward = (unpacked(left.column(c)[0].as_py()) for c in ("forward", "backward"))
-    phrase, low, back, size = (right.column(c).to_numpy() for c in ("phrase", "low", "back", "n"))
-    shard = left.column("shard")[0].as_py()
+    phrase, size, place = (right.column(c).to_numpy() for c in ("phrase", "n", "place"))
+    low, back = place >> 32, place & ((1 << 32) - 1)
 
     def only(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         starts = np.cumsum(size) - size
@@ -203,10 +205,6 @@ def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
         least, most = np.minimum.reduceat(seen, starts), np.maximum.reduceat(seen, starts)
         return np.where((least == most) & (least > 0), ids[least], -1)
 
-    around = {
-        "kind": np.ones(len(phrase), np.int32), "shard": np.full(len(phrase), shard), "prefix": phrase, "word": np.full(len(phrase), -1),
-        "n": size, "low": low, "back": back, "left_word": only(forward, low), "right_word": only(backward, back),
-    }
     # Where each row of the backward transform leads to: the place of its phrase, one word longer.
     leads = np.empty(len(backward), np.int64)
     leads[np.argsort(backward, kind="stable")] = np.arange(len(backward))
@@ -221,12 +219,14 @@ def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
     smaller -= smaller[np.searchsorted(of, np.arange(len(phrase)))][of]
     longer = symbol > 0
     of, symbol, count, smaller, first = (x[longer] for x in (of, symbol, count, smaller, first))
-    none = np.full(len(of), -1)
-    found = {
-        "kind": np.zeros(len(of), np.int32), "shard": np.full(len(of), shard), "prefix": phrase[of], "word": ids[symbol], "n": count,
-        "low": low[of] + smaller, "back": leads[first], "left_word": none, "right_word": none,
-    }
-    return pa.table({n: np.concatenate([around[n], found[n]]).astype(np.int32 if n == "kind" else np.int64) for n in around})
+    nothing = np.zeros(len(phrase), np.int64)
+    return pa.table({
+        "prefix": np.concatenate((phrase[of], phrase, phrase)),
+        "word": np.concatenate((ids[symbol], nothing + _LEFT, nothing + _RIGHT)),
+        "shard": np.full(len(of) + 2 * len(phrase), left.column("shard")[0].as_py()),
+        "n": np.concatenate((count, only(forward, low), only(backward, back))),
+        "place": np.concatenate(((low[of] + smaller) << 32 | leads[first], nothing, nothing)),
+    })
 
 
 def _words_in(table: pa.Table) -> pa.Table:
@@ -234,7 +234,7 @@ def _words_in(table: pa.Table) -> pa.Table:
     ids = table.column("ids").combine_chunks().flatten().to_numpy()
     starts = np.concatenate(([0], np.cumsum(np.bincount(unpacked(table.column("forward")[0].as_py()), minlength=len(ids) + 1))))
     low, n = starts[1:-1], np.diff(starts)[1:]
-    return pa.table({"shard": pa.array(np.full(len(ids), table.column("shard")[0].as_py()), pa.int64()), "phrase": ids, "low": low, "back": low, "n": n})
+    return pa.table({"shard": pa.array(np.full(len(ids), table.column("shard")[0].as_py()), pa.int64()), "phrase": ids, "n": n, "place": low << 32 | low})
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most_words: int = MOST_WORDS, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
@@ -255,7 +255,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
             for i in range(batch.num_rows):
                 yield from _words_in(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
 
-    live = index.mapInArrow(list_words, "shard bigint, phrase bigint, low bigint, back bigint, n bigint")
+    live = index.mapInArrow(list_words, "shard bigint, phrase bigint, n bigint, place bigint")
     counts = F.array("f")
     nothing = F.lit(None).cast("bigint")
     table = words.select(
@@ -267,15 +267,18 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         if length == most_words:  # what surrounds the longest phrases is not asked for
             tables.append(cut(table.withColumns({"left_bound": F.lit(False), "right_bound": F.lit(False)}), "phrases"))
             break
-        rows = cut(_by_shard(index, live, tasks, _extend, _EXTENDED), "extended")
-        around = rows.where("kind = 1").groupBy(F.col("prefix").alias("id")).agg(
-            *[((F.min(c) == F.max(c)) & (F.min(c) >= 0)).alias(b) for c, b in (("left_word", "left_bound"), ("right_word", "right_bound"))]
+        rows = _by_shard(index, live, tasks, _extend, _EXTENDED)
+        group = Window.partitionBy("prefix", "word")
+        rows = rows.withColumns({"f": F.sum("n").over(group), "least": F.min("n").over(group), "most": F.max("n").over(group), "head": F.min("shard").over(group)})
+        rows = rows.where((F.col("word") >= 0) & (F.col("f") >= least) | (F.col("word") < 0) & (F.col("shard") == F.col("head")))
+        rows = cut(rows.select("prefix", "word", "shard", "n", "place", "f", ((F.col("least") == F.col("most")) & (F.col("least") >= 0)).alias("bound")), "extended")
+        around = rows.where("word < 0").groupBy(F.col("prefix").alias("id")).agg(
+            F.bool_or(F.col("bound") & (F.col("word") == _LEFT)).alias("left_bound"), F.bool_or(F.col("bound") & (F.col("word") == _RIGHT)).alias("right_bound")
         )
         tables.append(cut(table.join(around, "id"), "phrases"))
-        longer = rows.where("kind = 0")
-        found = longer.groupBy("prefix", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        found = cut(found.withColumn("id", F.monotonically_increasing_id()), "found")
-        live = longer.join(found.select("prefix", "word", F.col("id").alias("phrase")), ["prefix", "word"]).select("shard", "phrase", "low", "back", "n")
+        longer = rows.where("word >= 0")
+        found = cut(longer.groupBy("prefix", "word").agg(F.min("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), "found")
+        live = longer.join(found.select("prefix", "word", F.col("id").alias("phrase")), ["prefix", "word"]).select("shard", "phrase", "n", "place")
         table = _described(found, tables[-1], tables[0])
     return tables, totals
 

@@ -126,7 +126,7 @@ with pieces as (
     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
   from documents
 ), split as (
-  select lang, list_filter(string_split_regex(piece, '[ \\t]+'), x -> x <> '') as w from pieces
+  select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from pieces
 ), totals as (
   select lang, cast(sum(len(w)) as bigint) as n from split group by lang
 ), starts as (
@@ -142,14 +142,14 @@ with pieces as (
 ), kept as (
   select c.* from candidates c where not exists (select 1 from held h where h.lang = c.lang and h.ws = c.ws and h.f >= c.f)
 ), cuts as (
-  select lang, k, ws, f as a, unnest(range(1, k)) as at from kept
+  select lang, k, ws, f as a, unnest(range(1, k)) as "at" from kept
 ), scores as (
-  select c.lang, c.ws, c.at, c.a, x.f as l, y.f as r, t.n,
+  select c.lang, c.ws, c.k, c."at", c.a, x.f as l, y.f as r, t.n,
     cast((cast(1000 as hugeint) * c.a * t.n) // (cast(x.f as hugeint) * y.f) as bigint) as score
-  from cuts c join counts x on x.lang = c.lang and x.ws = c.ws[1:c.at] join counts y on y.lang = c.lang and y.ws = c.ws[c.at + 1:c.k]
+  from cuts c join counts x on x.lang = c.lang and x.ws = c.ws[1:c."at"] join counts y on y.lang = c.lang and y.ws = c.ws[c."at" + 1:c.k]
   join totals t on t.lang = c.lang
 ), lowest as (
-  select *, array_to_string(ws, ' ') as phrase from scores qualify row_number() over (partition by lang, ws order by score, at) = 1
+  select *, array_to_string(ws, ' ') as phrase from scores qualify row_number() over (partition by lang, ws order by score, "at") = 1
 )
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
 from lowest qualify rank <= 2000""",
