@@ -9,13 +9,15 @@ Everything is counted per language. Documents are cut into shards of words that
    intervals of equal size, one in each. The symbols in its backward interval are what may follow it; the least place a
    symbol leads to and its count are the longer phrase's backward interval, and the smaller symbols' counts move the
    forward one.
-3. One round per phrase length: shards extend the intervals of phrases that are frequent over all shards, counts are summed
-   by (phrase, next word), and the frequent ones go back to the shards that have them, in one shuffle: the rows that are
-   summed carry their shard and intervals. The forward interval tells what precedes a phrase: a phrase that one same word
-   always precedes or follows, in all shards, says less than the longer one.
+3. One round per phrase length: shards extend the intervals of phrases that are frequent over all shards and send the local
+   counts of (phrase, next word) to buckets of such pairs; a bucket sums them and replies to each shard which of its pairs
+   are frequent. Messages are sorted, packed arrays, a few bytes a pair. The forward interval tells what precedes a phrase:
+   a phrase that one same word always precedes or follows, in all shards, says less than the longer one.
 
 Tables of frequent phrases hold ids: the phrase without its last word, the last word, the phrase without its first word.
-Nothing that grows with the data is broadcast, and no task holds more than a shard, or a piece longer than one.
+Nothing that grows with the data is broadcast, and no task holds more than a shard (or a piece longer than one) or the
+messages of a bucket. Shards and buckets are equally many, so a round has at most their product of messages; ``shard_words``
+should grow with the square root of the corpus to keep messages worth their row.
 
 Defined results: a null text is empty, a null language is ``und`` and counts together with that name. Repeated rows count
 each time. Ties are settled by phrase. Only the text and the language are read of other columns. An empty table has no
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from narrata.shared import cut, own_columns
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 21
 MOST_WORDS = 5
 
 # What divides pieces and words.
@@ -164,15 +166,28 @@ def build_index(shards: DataFrame, words: DataFrame, tasks: int) -> DataFrame:
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
+def bundled(*arrays: np.ndarray) -> bytes:
+    """Equally long arrays of numbers, the first one as differences, byte by byte of equal weight, compressed."""
+    table = np.stack([np.diff(arrays[0], prepend=0), *arrays[1:]]).astype("<i8")
+    return len(arrays).to_bytes(1, "little") + zlib.compress(table.view(np.uint8).reshape(table.size, 8).T.tobytes(), 1)
+
+
+def unbundled(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(8, -1)
+    table = np.ascontiguousarray(flat.T).view("<i8").reshape(data[0], -1).astype(np.int64)
+    table[0] = np.cumsum(table[0])
+    return table
+
+
 def _by_shard(one: DataFrame, many: DataFrame, tasks: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``work`` on each shard's row of ``one`` and its rows of ``many``; shards without rows in both give nothing.
+    """``work`` on each shard's row of ``one`` and its rows of ``many``.
 
     Packed shards are small for the work they are, so the number of tasks is not left to their size.
     """
     nothing = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in schema.split(", "))]).empty_table()
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left, right) if left.num_rows and right.num_rows else nothing
+        return work(left, right) if left.num_rows else nothing
 
     one, many = (own_columns(df).repartition(tasks, "shard").groupBy("shard") for df in (one, many))
     return one.cogroup(many).applyInArrow(both, schema)
@@ -185,63 +200,149 @@ def _inside(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - first[which] + low[which]
 
 
-_EXTENDED = "prefix bigint, word bigint, shard bigint, n bigint, place bigint"
-_LEFT, _RIGHT = -1, -2  # in place of a word: ``n`` is then the one word that always precedes or follows the phrase, or -1
-
-
-def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Phrases one word longer than the phrases ``right`` in the shard ``left``, and what surrounds each phrase.
-
-    ``place`` holds where the phrase's two intervals begin, 32 bits each.
+class _Shard:
+    """A shard's index, and the phrases that go through it as rows of (phrase, n, low, back)."""
+
+    def __init__(self, row: pa.Table):
+        self.ids = np.concatenate(([-1], row.column("ids").combine_chunks().flatten().to_numpy()))
+        self.forward, self.backward = (unpacked(row.column(c)[0].as_py()) for c in ("forward", "backward"))
+        # Where each row of the backward transform leads to: the place of its phrase, one word longer.
+        self.leads = np.empty(len(self.backward), np.int64)
+        self.leads[np.argsort(self.backward, kind="stable")] = np.arange(len(self.backward))
+
+    def words(self) -> np.ndarray:
+        starts = np.concatenate(([0], np.cumsum(np.bincount(self.forward, minlength=len(self.ids)))))
+        return np.stack((self.ids[1:], np.diff(starts)[1:], starts[1:-1], starts[1:-1]))
+
+    def longer(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(prefix, word) and (n, low, back) of all phrases one word longer than ``live``."""
+        phrase, size, low, back = live
+        which, rows = _inside(back, size)
+        key = which * (len(self.ids) + 1) + self.backward[rows]
+        order = np.argsort(key, kind="stable")
+        heads = np.nonzero(np.diff(key[order], prepend=-1))[0]
+        count = np.diff(np.append(heads, len(key)))
+        of, first = which[order][heads], rows[order][heads]
+        symbol = self.backward[first]
+        # Rows of smaller symbols come first in the forward interval of the same phrase.
+        smaller = np.cumsum(count) - count
+        smaller -= smaller[np.searchsorted(of, np.arange(len(phrase)))][of]
+        some = symbol > 0
+        of, symbol, count, smaller, first = (x[some] for x in (of, symbol, count, smaller, first))
+        return np.stack((phrase[of], self.ids[symbol])), np.stack((count, low[of] + smaller, self.leads[first]))
+
+    def around(self, live: np.ndarray) -> np.ndarray:
+        """(phrase, left, right): the one word that always stands there, or -1."""
+        phrase, size, low, back = live
+        sides, starts = [], np.cumsum(size) - size
+        for symbols, at in ((self.forward, low), (self.backward, back)):
+            seen = symbols[_inside(at, size)[1]]
+            least, most = np.minimum.reduceat(seen, starts), np.maximum.reduceat(seen, starts)
+            sides.append(np.where((least == most) & (least > 0), self.ids[least], -1))
+        return np.stack((phrase, *sides))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = keys[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[1].astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, places) for every value, places in order."""
+    order = np.argsort(values, kind="stable")
+    starts = np.nonzero(np.diff(values[order], prepend=-1))[0]
+    for a, b in zip(starts, np.append(starts[1:], len(order))):
+        yield int(values[order[a]]), order[a:b]
+
+
+_MESSAGE = "shard bigint, bucket bigint, pairs binary, around binary"
+_STATE = "shard bigint, bucket bigint, pairs binary"
+_ID_BITS = 32  # a phrase's id is its bucket, then its number there
+
+
+def _extend(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """Messages of one shard; under bucket -1 the phrases they extend.
+
+    ``right`` holds those of the last round and the buckets' replies; without it the shard's words are extended.
     """
-    ids = np.concatenate(([-1], left.column("ids").combine_chunks().flatten().to_numpy()))
-    forward, backward = (unpacked(left.column(c)[0].as_py()) for c in ("forward", "backward"))
-    phrase, size, place = (right.column(c).to_numpy() for c in ("phrase", "n", "place"))
-    low, back = place >> 32, place & ((1 << 32) - 1)
-
-    def only(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        starts = np.cumsum(size) - size
-        seen = symbols[_inside(at, size)[1]]
-        least, most = np.minimum.reduceat(seen, starts), np.maximum.reduceat(seen, starts)
-        return np.where((least == most) & (least > 0), ids[least], -1)
-
-    # Where each row of the backward transform leads to: the place of its phrase, one word longer.
-    leads = np.empty(len(backward), np.int64)
-    leads[np.argsort(backward, kind="stable")] = np.arange(len(backward))
-    which, rows = _inside(back, size)
-    key = which * (len(ids) + 1) + backward[rows]
-    order = np.argsort(key, kind="stable")
-    heads = np.nonzero(np.diff(key[order], prepend=-1))[0]
-    count = np.diff(np.append(heads, len(key)))
-    of, symbol, first = which[order][heads], backward[rows][order][heads], rows[order][heads]
-    # Rows of smaller symbols come first in the forward interval of the same phrase.
-    smaller = np.cumsum(count) - count
-    smaller -= smaller[np.searchsorted(of, np.arange(len(phrase)))][of]
-    longer = symbol > 0
-    of, symbol, count, smaller, first = (x[longer] for x in (of, symbol, count, smaller, first))
-    nothing = np.zeros(len(phrase), np.int64)
-    return pa.table({
-        "prefix": np.concatenate((phrase[of], phrase, phrase)),
-        "word": np.concatenate((ids[symbol], nothing + _LEFT, nothing + _RIGHT)),
-        "shard": np.full(len(of) + 2 * len(phrase), left.column("shard")[0].as_py()),
-        "n": np.concatenate((count, only(forward, low), only(backward, back))),
-        "place": np.concatenate(((low[of] + smaller) << 32 | leads[first], nothing, nothing)),
-    })
-
-
-def _words_in(table: pa.Table) -> pa.Table:
-    """Every word of a shard as a phrase with its two intervals."""
-    ids = table.column("ids").combine_chunks().flatten().to_numpy()
-    starts = np.concatenate(([0], np.cumsum(np.bincount(unpacked(table.column("forward")[0].as_py()), minlength=len(ids) + 1))))
-    low, n = starts[1:-1], np.diff(starts)[1:]
-    return pa.table({"shard": pa.array(np.full(len(ids), table.column("shard")[0].as_py()), pa.int64()), "phrase": ids, "n": n, "place": low << 32 | low})
+    shard, messages = _Shard(left), {}
+    state = dict(zip(right.column("bucket").to_pylist(), right.column("pairs").to_pylist()))
+    if state:
+        keys, values = shard.longer(unbundled(state[-1]))
+        made = [np.empty((4, 0), np.int64)]
+        for bucket, places in _grouped(_bucket(keys, buckets)):
+            if bucket in state:
+                place, number = unbundled(state[bucket])
+                made.append(np.vstack(((bucket << _ID_BITS) + number, values[:, places[place]])))
+        live = np.concatenate(made, axis=1)
+        for bucket, places in _grouped(live[0] >> _ID_BITS):
+            messages[bucket] = [None, bundled(*shard.around(live[:, places]))]
+    else:
+        live = shard.words()
+    keys, values = shard.longer(live)
+    for bucket, places in _grouped(_bucket(keys, buckets)):
+        messages.setdefault(bucket, [None, None])[0] = bundled(*keys[:, places], values[0, places])
+    messages[-1] = [bundled(*live), None]
+    of = left.column("shard")[0].as_py()
+    rows = [(of, bucket, *parts) for bucket, parts in messages.items()]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["shard", "bucket", "pairs", "around"])
+
+
+_REPLY = "shard bigint, bucket bigint, pairs binary, prefix array<bigint>, word array<bigint>, f array<bigint>, bounds array<bigint>"
+
+
+def _sum_bucket(table: pa.Table, least: int) -> pa.Table:
+    """Replies of a bucket to its shards and, in a row without a shard, its frequent pairs and what bounds older phrases.
+
+    A reply lists the places of frequent pairs in the shard's message and their numbers in the bucket. ``bounds`` has 1
+    where one word always precedes a phrase, 2 where one always follows it, by the phrase's number.
+    """
+    bucket, shards = table.column("bucket")[0].as_py(), table.column("shard").to_pylist()
+    rows, found, bounds = [], np.empty((3, 0), np.int64), np.empty(0, np.int64)
+    around = [unbundled(m) for m in table.column("around").to_pylist() if m]
+    if around:
+        number, sides = np.concatenate([m[0] for m in around]) & ((1 << _ID_BITS) - 1), np.concatenate([m[1:] for m in around], axis=1)
+        bounds = np.zeros(int(number.max()) + 1, np.int64)
+        for bit, side in zip((1, 2), sides):
+            low, high = np.full(len(bounds), np.iinfo(np.int64).max), np.full(len(bounds), -1)
+            np.minimum.at(low, number, side)
+            np.maximum.at(high, number, side)
+            bounds += np.where((low == high) & (low >= 0), bit, 0)
+    sent = [(of, unbundled(m)) for of, m in zip(shards, table.column("pairs").to_pylist()) if m]
+    if sent:
+        prefix, word, n = np.concatenate([m for _, m in sent], axis=1)
+        order = np.lexsort((word, prefix))
+        new = np.concatenate(([True], (np.diff(prefix[order]) != 0) | (np.diff(word[order]) != 0)))
+        total = np.add.reduceat(n[order], np.nonzero(new)[0])
+        number = np.where(total >= least, np.cumsum(total >= least) - 1, -1)
+        pair = np.empty(len(order), np.int64)
+        pair[order] = number[np.cumsum(new) - 1]
+        firsts = order[new][total >= least]
+        found = np.stack((prefix[firsts], word[firsts], total[total >= least]))
+        ends = np.cumsum([m.shape[1] for _, m in sent])
+        for (of, _), part in zip(sent, np.split(pair, ends[:-1])):
+            places = np.nonzero(part >= 0)[0]
+            if len(places):
+                rows.append((of, bucket, bundled(places, part[places]), None, None, None, None))
+    rows.append((None, bucket, None, *found.tolist(), bounds.tolist()))
+    types = [_TYPES[c.split()[1]] for c in _REPLY.split(", ")]
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _REPLY.split(", ")])
+
+
+def _identified(replies: DataFrame, values: list[str]) -> DataFrame:
+    """The buckets' lists as rows, each with the phrase's id."""
+    rows = replies.where("shard is null").select("bucket", F.posexplode(F.arrays_zip(*values)).alias("nth", "v"))
+    return rows.select((F.shiftleft("bucket", _ID_BITS) + F.col("nth")).alias("id"), *[F.col(f"v.{c}").alias(c) for c in values])
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most_words: int = MOST_WORDS, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """Tables of frequent phrases of 1, 2, ... words, and (lang, n).
 
     A table has id, lang, phrase, f, ``heads`` (counts of the phrase's first 1, 2, ... words), ``tails`` (counts of its last
-    1, 2, ... words), and whether one same word always precedes (``left_bound``) or follows (``right_bound``) it.
+    1, 2, ... words), and, between the shortest and the longest phrases, whether one same word always precedes
+    (``left_bound``) or follows (``right_bound``) it.
     """
     if not 1 <= most_words <= MOST_WORDS:
         raise ValueError(f"most_words must be 1 to {MOST_WORDS}")
@@ -250,36 +351,34 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     tasks = max(1, shards.count())
     index = cut(build_index(shards, words, tasks), "index")
 
-    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from _words_in(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
-
-    live = index.mapInArrow(list_words, "shard bigint, phrase bigint, n bigint, place bigint")
     counts = F.array("f")
     nothing = F.lit(None).cast("bigint")
     table = words.select(
         "id", "lang", F.col("word").alias("phrase"), "f", nothing.alias("prefix"), F.col("id").alias("word"), nothing.alias("suffix"),
         counts.alias("heads"), counts.alias("tails"),
     )
-    tables = []
-    for length in range(1, most_words + 1):
-        if length == most_words:  # what surrounds the longest phrases is not asked for
-            tables.append(cut(table.withColumns({"left_bound": F.lit(False), "right_bound": F.lit(False)}), "phrases"))
-            break
-        rows = _by_shard(index, live, tasks, _extend, _EXTENDED)
-        group = Window.partitionBy("prefix", "word")
-        rows = rows.withColumns({"f": F.sum("n").over(group), "least": F.min("n").over(group), "most": F.max("n").over(group), "head": F.min("shard").over(group)})
-        rows = rows.where((F.col("word") >= 0) & (F.col("f") >= least) | (F.col("word") < 0) & (F.col("shard") == F.col("head")))
-        rows = cut(rows.select("prefix", "word", "shard", "n", "place", "f", ((F.col("least") == F.col("most")) & (F.col("least") >= 0)).alias("bound")), "extended")
-        around = rows.where("word < 0").groupBy(F.col("prefix").alias("id")).agg(
-            F.bool_or(F.col("bound") & (F.col("word") == _LEFT)).alias("left_bound"), F.bool_or(F.col("bound") & (F.col("word") == _RIGHT)).alias("right_bound")
-        )
-        tables.append(cut(table.join(around, "id"), "phrases"))
-        longer = rows.where("word >= 0")
-        found = cut(longer.groupBy("prefix", "word").agg(F.min("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), "found")
-        live = longer.join(found.select("prefix", "word", F.col("id").alias("phrase")), ["prefix", "word"]).select("shard", "phrase", "n", "place")
-        table = _described(found, tables[-1], tables[0])
+    no_bounds = {"left_bound": F.lit(False), "right_bound": F.lit(False)}
+    tables = [cut(table.withColumns(no_bounds), "phrases")]
+    state = docs.sparkSession.createDataFrame([], _STATE)
+
+    def extend(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _extend(left, right, tasks)
+
+    def sum_bucket(table: pa.Table) -> pa.Table:
+        return _sum_bucket(table, least)
+
+    for length in range(2, most_words + 1):
+        messages = cut(_by_shard(index, state, tasks, extend, _MESSAGE), "messages")
+        replies = messages.where("bucket >= 0").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(sum_bucket, _REPLY)
+        replies = cut(replies, "replies")
+        if length > 2:
+            bounds = _identified(replies, ["bounds"])
+            bounds = bounds.select("id", *[(F.col("bounds").bitwiseAND(bit) > 0).alias(b) for bit, b in ((1, "left_bound"), (2, "right_bound"))])
+            tables[-1] = cut(tables[-1].drop(*no_bounds).join(bounds, "id"), "phrases")
+        state = messages.where("bucket < 0").select("shard", "bucket", "pairs")
+        state = state.unionByName(replies.where("shard is not null").select("shard", "bucket", "pairs"))
+        table = _described(_identified(replies, ["prefix", "word", "f"]), tables[-1], tables[0])
+        tables.append(cut(table.withColumns(no_bounds), "phrases"))
     return tables, totals
 
 

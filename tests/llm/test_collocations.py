@@ -67,10 +67,10 @@ def test_table_equals_counts(spark):
 
 
 def test_bounds_tell_what_always_surrounds_a_phrase(spark):
-    df = spark.createDataFrame([("x a b y",), ("x a b",), ("a c",), ("x a c",)], "text string").selectExpr("text", "'l' as lang")
-    tables, _ = collocations.phrases(df, least=1, most_words=2, shard_words=1)
-    words = {r.phrase: (r.f, r.left_bound, r.right_bound) for r in tables[0].collect()}
-    assert words["b"] == (2, True, False) and words["a"] == (4, False, False) and words["x"] == (3, False, True)
+    df = spark.createDataFrame([("x a b y",), ("x a b",), ("a c d",), ("x a c e",)], "text string").selectExpr("text", "'l' as lang")
+    tables, _ = collocations.phrases(df, least=1, most_words=3, shard_words=1)
+    pairs = {r.phrase: (r.f, r.left_bound, r.right_bound) for r in tables[1].collect()}
+    assert pairs["a b"] == (2, True, False) and pairs["x a"] == (3, False, False) and pairs["a c"] == (2, False, False) and pairs["c d"] == (1, True, False)
 
 
 def test_products_may_pass_64_bits(spark):
@@ -95,4 +95,5 @@ def test_order_round_the_end():
     ring = [tuple(np.roll(text, -i)) for i in range(len(text))]
     assert rows.tolist() == sorted(range(len(text)), key=lambda i: ring[i])
     for symbols in (np.array([], np.int64), np.array([5, 0, 70_000])):
+        assert collocations.unbundled(collocations.bundled(symbols, -symbols)).tolist() == [symbols.tolist(), (-symbols).tolist()]
         assert collocations.unpacked(collocations.packed(symbols)).tolist() == symbols.tolist()
