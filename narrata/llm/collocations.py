@@ -3,12 +3,11 @@
 Everything is counted per language. Documents are cut into shards of words that one task indexes:
 
 1. One pass lower-cases, splits texts into pieces and words, and writes shards of encoded pieces with the words of each
-   and their counts. Summed over shards these give the frequent words; rarer ones divide pieces, since no frequent phrase
-   holds them.
-2. Each shard is sorted by its next words, forwards and backwards: two FM-indexes, written once. A phrase is a pair of
-   intervals of equal size, one in each. The symbols in its backward interval are what may follow it; the least place a
-   symbol leads to and its count are the longer phrase's backward interval, and the smaller symbols' counts move the
-   forward one.
+   and their counts. Summed over shards these give every word its count and a number.
+2. Each shard is sorted by its next words, forwards and backwards: two FM-indexes, written once, in a table bucketed by
+   shard, so later rounds read them where they lie. A phrase is a pair of intervals of equal size, one in each. The symbols
+   in its backward interval are what may follow it; the least place a symbol leads to and its count are the longer phrase's
+   backward interval, and the smaller symbols' counts move the forward one.
 3. One round per phrase length: shards extend the intervals of phrases that are frequent over all shards and send the local
    counts of (phrase, next word) to buckets of such pairs; a bucket sums them and replies to each shard which of its pairs
    are frequent. Messages are sorted, packed arrays, a few bytes a pair. The forward interval tells what precedes a phrase:
@@ -26,6 +25,7 @@ phrase.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.shared import cut, own_columns
+from narrata.shared import cut, new_folder, own_columns
 
 SHARD_WORDS = 1 << 21
 MOST_WORDS = 5
@@ -51,13 +51,14 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def packed(symbols: np.ndarray) -> bytes:
-    """Symbols in two or four bytes each, compressed."""
-    wide = int(symbols.max(initial=0)) >= 1 << 16
-    return bytes([wide]) + zlib.compress(symbols.astype("<u4" if wide else "<u2").tobytes(), 1)
+    """Symbols in two or four bytes each, byte by byte of equal weight, compressed."""
+    width = 4 if int(symbols.max(initial=0)) >= 1 << 16 else 2
+    return bytes([width]) + zlib.compress(symbols.astype(f"<u{width}").view(np.uint8).reshape(len(symbols), width).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), "<u4" if data[0] else "<u2").astype(np.int64)
+    flat = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(flat.T).view(f"<u{data[0]}").ravel().astype(np.int64)
 
 
 class _Numbers(dict):
@@ -114,20 +115,27 @@ def encode_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard
     return asked.mapInArrow(encode, _SHARD)
 
 
-def frequent_words(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, word, f, id) of words that stand ``least`` times in their language, and (lang, n) of all words."""
+def count_words(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, word, f, id) of all words, and (lang, n) of all their occurrences."""
     words = shards.select(F.explode("words").alias("w")).select("w.lang", "w.word", "w.n")
-    counts = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    totals = cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    kept = counts.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
-    return cut(kept, "frequent"), totals
+    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).withColumn("id", F.monotonically_increasing_id())
+    counts = cut(counts, "words")
+    return counts, cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+
+
+def sorting(keys: np.ndarray) -> np.ndarray:
+    """Places in the order of not negative ``keys``, ties by place: a plain sort of (key, place) where both fit one number."""
+    bits = int(len(keys)).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << bits | np.arange(len(keys))) & ((1 << bits) - 1)
 
 
 _INDEX = "shard bigint, ids array<bigint>, forward binary, backward binary"
 
 
 def _index(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The two transforms of a shard in which words without an id divide pieces; symbol i > 0 is ``ids[i - 1]``."""
+    """The two transforms of a shard; symbol i > 0 is the word ``ids[i - 1]``."""
     numbers, names = right.column("nth").to_numpy(), right.column("id").to_numpy()
     order = np.argsort(numbers)
     symbols = unpacked(left.column("symbols")[0].as_py())
@@ -152,15 +160,17 @@ def suffix_order_to(text: np.ndarray, depth: int) -> np.ndarray:
         pairs = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -width)
         width *= 2
         if width >= depth:
-            return np.argsort(pairs, kind="stable")
-        rank = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+            return sorting(pairs)
+        order = sorting(pairs)
+        rank = np.empty(len(pairs), np.int64)
+        rank[order] = np.cumsum(np.diff(pairs[order], prepend=pairs[order[:1]]) != 0)
 
 
 def build_index(shards: DataFrame, words: DataFrame, tasks: int) -> DataFrame:
-    """The index of every shard that has a frequent word."""
+    """The index of every shard."""
     listed = shards.select("shard", F.posexplode("words").alias("nth", "w")).select("shard", (F.col("nth") + 1).alias("nth"), "w.lang", "w.word")
     named = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", F.col("nth").cast("bigint").alias("nth"), "id")
-    return _by_shard(shards.select("shard", "symbols"), named, tasks, _index, _INDEX)
+    return _by_shard(shards.select("shard", "symbols").repartition(tasks, "shard"), named, tasks, _index, _INDEX)
 
 
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
@@ -189,8 +199,15 @@ def _by_shard(one: DataFrame, many: DataFrame, tasks: int, work: Callable[[pa.Ta
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return work(left, right) if left.num_rows else nothing
 
-    one, many = (own_columns(df).repartition(tasks, "shard").groupBy("shard") for df in (one, many))
-    return one.cogroup(many).applyInArrow(both, schema)
+    many = own_columns(many).repartition(tasks, "shard").groupBy("shard")
+    return own_columns(one).groupBy("shard").cogroup(many).applyInArrow(both, schema)
+
+
+def _kept_by_shard(df: DataFrame, tasks: int) -> tuple[DataFrame, str]:
+    """``df`` as a table bucketed by shard, which is read without a shuffle, and its name."""
+    spark, name = df.sparkSession, f"narrata_shards_{uuid.uuid4().hex}"
+    df.write.bucketBy(tasks, "shard").option("path", new_folder(spark, "shards")).saveAsTable(name)
+    return spark.table(name), name
 
 
 def _inside(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +225,7 @@ class _Shard:
         self.forward, self.backward = (unpacked(row.column(c)[0].as_py()) for c in ("forward", "backward"))
         # Where each row of the backward transform leads to: the place of its phrase, one word longer.
         self.leads = np.empty(len(self.backward), np.int64)
-        self.leads[np.argsort(self.backward, kind="stable")] = np.arange(len(self.backward))
+        self.leads[sorting(self.backward)] = np.arange(len(self.backward))
 
     def words(self) -> np.ndarray:
         starts = np.concatenate(([0], np.cumsum(np.bincount(self.forward, minlength=len(self.ids)))))
@@ -219,7 +236,7 @@ class _Shard:
         phrase, size, low, back = live
         which, rows = _inside(back, size)
         key = which * (len(self.ids) + 1) + self.backward[rows]
-        order = np.argsort(key, kind="stable")
+        order = sorting(key)
         heads = np.nonzero(np.diff(key[order], prepend=-1))[0]
         count = np.diff(np.append(heads, len(key)))
         of, first = which[order][heads], rows[order][heads]
@@ -250,7 +267,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, places) for every value, places in order."""
-    order = np.argsort(values, kind="stable")
+    order = sorting(values)
     starts = np.nonzero(np.diff(values[order], prepend=-1))[0]
     for a, b in zip(starts, np.append(starts[1:], len(order))):
         yield int(values[order[a]]), order[a:b]
@@ -346,11 +363,12 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     """
     if not 1 <= most_words <= MOST_WORDS:
         raise ValueError(f"most_words must be 1 to {MOST_WORDS}")
+    spark = docs.sparkSession
     shards = cut(encode_shards(docs, text, lang, shard_words), "shards")
-    words, totals = frequent_words(shards, least)
+    words, totals = count_words(shards)
     tasks = max(1, shards.count())
-    index = cut(build_index(shards, words, tasks), "index")
-
+    index, name = _kept_by_shard(build_index(shards, words, tasks), tasks)
+    words = words.where(F.col("f") >= least)
     counts = F.array("f")
     nothing = F.lit(None).cast("bigint")
     table = words.select(
@@ -359,7 +377,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     )
     no_bounds = {"left_bound": F.lit(False), "right_bound": F.lit(False)}
     tables = [cut(table.withColumns(no_bounds), "phrases")]
-    state = docs.sparkSession.createDataFrame([], _STATE)
+    state = spark.createDataFrame([], _STATE)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         return _extend(left, right, tasks)
@@ -379,6 +397,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         state = state.unionByName(replies.where("shard is not null").select("shard", "bucket", "pairs"))
         table = _described(_identified(replies, ["prefix", "word", "f"]), tables[-1], tables[0])
         tables.append(cut(table.withColumns(no_bounds), "phrases"))
+    spark.sql(f"drop table {name}")
     return tables, totals
 
 
