@@ -1,247 +1,11 @@
-"""Density clusters from a minimum spanning tree.
-
-The tree's edges are merged from the lightest up. Edges are taken in tiers: a
-tier's threshold is chosen so that every component of its edges is small enough
-for one task, the components are merged in parallel, and each becomes a single
-node of the next tier. The hierarchy is condensed while it is merged: a part
-below ``min_cluster_size`` falls out of the cluster it joins, two or more larger
-parts end where they meet, and a cluster is preferred to those inside it when its
-stability is at least theirs together (excess of mass). The root is never chosen.
-
-References: Campello et al. (2013); McInnes and Healy (2017).
-"""
+"""Cluster numbers from the merge tree of ``hierarchy``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.operators.blocks import values
-from narrata.operators.components import SMALL, connected_components
-from narrata.shared import cut, own_columns
-
-TIER_EDGES = 100_000  # bound on the edges of one component in one task
-_FLOOR = 1e-12  # least merge distance, so copies have a finite density
-
-_ROW = "kind string, run int, id bigint, top bigint, open bigint, size bigint, mass double, inner double"
-
-
-@dataclass
-class _Part:
-    """A component while it grows."""
-
-    size: int
-    core: float = 0.0
-    cluster: int | None = None
-    mass: float = 0.0
-    inner: float = 0.0
-    waiting: list[int] = field(default_factory=list)  # nodes not yet in any cluster
-
-
-class _Merger:
-    """Merges one component's edges and records what falls out, ends and stays open."""
-
-    def __init__(self, min_size: int) -> None:
-        self.min_size = min_size
-        self.parent: dict[int, int] = {}  # ended cluster -> cluster it ended in
-        self.chosen: set[int] = set()
-        self.fallen: list[tuple[int, int]] = []  # (node, cluster)
-
-    def _end(self, p: _Part, density: float, into: int) -> float:
-        stability = p.mass - p.size * density
-        if stability >= p.inner:
-            self.chosen.add(p.cluster)
-        self.parent[p.cluster] = into
-        return max(stability, p.inner)
-
-    def merge(self, parts: list[_Part], w: float, name: int) -> _Part:
-        density = 1.0 / max(w, _FLOOR)
-        for p in parts:
-            # Enough copies of one vector are a cluster of their own, up to where they meet others.
-            if p.cluster is None and p.size >= self.min_size and p.core < w:
-                p.cluster, p.mass = -1 - p.waiting[0], p.size / max(p.core, _FLOOR)
-                self.fallen.append((p.waiting[0], p.cluster))
-                p.waiting = []
-        large = [p for p in parts if p.cluster is not None]
-        out = _Part(sum(p.size for p in parts))
-        if len(large) == 1:
-            out.cluster, out.mass, out.inner = large[0].cluster, large[0].mass, large[0].inner
-        elif large or out.size >= self.min_size:
-            out.cluster = name
-            out.inner = sum(self._end(p, density, name) for p in large)
-            out.mass = sum(p.size for p in large) * density
-        for p in parts:
-            if p.cluster is not None:
-                continue
-            if out.cluster is None:
-                out.waiting += p.waiting
-            else:
-                out.mass += p.size * density
-                self.fallen += [(v, out.cluster) for v in p.waiting]
-        return out
-
-    def resolve(self, cluster: int) -> tuple[int | None, int]:
-        """(outermost chosen cluster, still open cluster) around ``cluster``."""
-        top, at = None, cluster
-        while at in self.parent:
-            top = at if at in self.chosen else top
-            at = self.parent[at]
-        return top, at
-
-
-def _merge_component(min_size: int, run: int, edges: pa.Table, nodes: pa.Table) -> pa.Table:
-    parts, root = {}, {}
-    for r in nodes.to_pylist():
-        waiting = [r["v"]] if r["cluster"] is None else []
-        parts[r["v"]] = _Part(r["size"], r["core"], r["cluster"], r["mass"], r["inner"], waiting)
-        root[r["v"]] = r["v"]
-    carried = [p.cluster for p in parts.values() if p.cluster is not None]
-    merger = _Merger(min_size)
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        return v
-
-    a, b, w, e = (values(edges, n) for n in ("a", "b", "w", "e"))
-    order = np.lexsort((e, w))
-    starts = np.nonzero(np.diff(w[order], prepend=-1.0))[0]
-    for start, stop in zip(starts, [*starts[1:], len(order)]):
-        # Edges of equal weight act at once: gather the parts each group of them joins.
-        joined: dict[int, list[int]] = {}
-        names: dict[int, int] = {}
-        for o in order[start:stop]:
-            ra, rb = find(int(a[o])), find(int(b[o]))
-            members = joined.pop(ra, [ra]) + joined.pop(rb, [rb])
-            names[ra] = min(names.pop(ra, int(e[o])), names.pop(rb, int(e[o])))
-            root[rb] = ra
-            joined[ra] = members
-        for r, members in joined.items():
-            parts[r] = merger.merge([parts.pop(m) for m in members], float(w[order[start]]), names[r])
-    rows = [("held", run, v, find(v), None, None, None, None) for v in list(root)]
-    for v, cluster in merger.fallen:
-        rows.append(("point", run, v, *merger.resolve(cluster), None, None, None))
-    for cluster in carried:
-        rows.append(("cluster", run, cluster, *merger.resolve(cluster), None, None, None))
-    for v, p in parts.items():
-        rows.append(("node", run, v, None, p.cluster, p.size, p.mass, p.inner))
-    names = [c.split()[0] for c in _ROW.split(", ")]
-    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)})
-
-
-def _tier(edges: DataFrame, limit: int, small: int, share: float) -> tuple[DataFrame, float | None] | None:
-    """(edges of the next tier with their component ``comp``, the share of edges taken,
-    null for the last tier); None when no edges are left.
-
-    Equal weights stay together. The share of edges taken is halved until every
-    component fits; few enough edges always do.
-    """
-    counts = {r.run: r.n for r in edges.groupBy("run").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    if max(counts.values()) <= limit:
-        return edges.withColumn("comp", F.lit(0).cast("bigint")), None
-    while True:
-        cutoffs = edges.groupBy("run").agg(F.percentile_approx("w", share, 10_000).alias("cutoff"), F.count("*").alias("n"))
-        cutoffs = cutoffs.withColumn("cutoff", F.when(F.col("n") > limit, F.col("cutoff")).otherwise(float("inf")))
-        taken = cut(edges.join(F.broadcast(cutoffs), "run").where("w <= cutoff").drop("cutoff", "n"), "tier")
-        comps = connected_components(taken, "run", small).withColumnsRenamed({"v": "a", "root": "comp"})
-        placed = cut(taken.join(comps, ["run", "a"]), "tier")
-        largest = placed.groupBy("run", "comp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        # A block of equal weights cannot be divided; it is taken whole once nothing lighter is left.
-        if largest <= limit or share * max(counts.values()) < 1:
-            return placed, share
-        share /= 2
-
-
-def condense(
-    tree: DataFrame, cores: DataFrame, runs: list[tuple[int, int, int]], tier_edges: int = TIER_EDGES, small: int = SMALL
-) -> DataFrame:
-    """(run, v, cluster): the chosen cluster of every node, null for noise.
-
-    ``runs`` are (run, min_cluster_size, min_samples).
-    """
-    spark = tree.sparkSession
-    sizes = {run: mcs for run, mcs, _ in runs}
-    grid = F.broadcast(spark.createDataFrame([(run, ms) for run, _, ms in runs], "run int, ms int"))
-    numbered = cut(tree.withColumn("e", F.monotonically_increasing_id()), "tree")
-    edges = numbered.join(grid, "ms").select("run", "a", "b", "w", "e")
-    nodes = cores.join(grid, "ms").select(
-        "run", "v", F.col("m").alias("size"), "core", F.lit(None).cast("bigint").alias("cluster"),
-        F.lit(0.0).alias("mass"), F.lit(0.0).alias("inner"),
-    )
-    # The node of the current tier that holds each point not yet under a cluster.
-    at = cores.join(grid, "ms").select("run", F.col("v").alias("point"), "v")
-    settled: list[DataFrame] = []
-    links: list[DataFrame] = []
-
-    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-        run = right.column("run")[0].as_py()
-        return _merge_component(sizes[run], run, left, right)
-
-    share = 0.5
-    while (taken := _tier(edges, tier_edges, small, share)) is not None:
-        tier, share = taken
-        last = share is None
-        ends = tier.select("run", "comp", F.explode(F.array("a", "b")).alias("v")).distinct()
-        group = ["run", "comp"]
-        touched = own_columns(nodes.join(ends, ["run", "v"])).groupBy(*group)
-        rows = cut(tier.groupBy(*group).cogroup(touched).applyInArrow(merge, _ROW), "merged")
-        fallen = rows.where("kind = 'point'").select("run", F.col("id").alias("v"), "top", "open")
-        held = rows.where("kind = 'held'").select("run", F.col("id").alias("v"), F.col("top").alias("to"))
-        # After the last tier, a point that never fell out of a cluster is noise.
-        settled.append(at.join(fallen, ["run", "v"], "left" if last else "inner").select("run", "point", "top", "open"))
-        links.append(rows.where("kind = 'cluster'").select("run", "id", "top", "open"))
-        if last:
-            break
-        share = min(0.5, 2 * share)  # what fitted is a better start than one half
-        left = edges.join(tier.select("run", "e"), ["run", "e"], "left_anti")
-        at = cut(_moved(at.join(fallen, ["run", "v"], "left_anti"), held, "v"), "places")
-        made = rows.where("kind = 'node'").select(
-            "run", F.col("id").alias("v"), "size", F.lit(0.0).alias("core"), F.col("open").alias("cluster"), "mass", "inner"
-        )
-        nodes = cut(nodes.join(ends, ["run", "v"], "left_anti").unionByName(made), "nodes")
-        edges = cut(_moved(_moved(left, held, "a"), held, "b"), "edges")
-    if not settled:
-        return at.select("run", F.col("point").alias("v"), F.lit(None).cast("bigint").alias("cluster"))
-    return _outermost(settled, links)
-
-
-def _moved(df: DataFrame, held: DataFrame, column: str) -> DataFrame:
-    """Replace node ``column`` by the node that holds it now."""
-    to = held.withColumnRenamed("v", column)
-    return df.join(to, ["run", column], "left").withColumn(column, F.coalesce("to", column)).drop("to")
-
-
-def _follow(df: DataFrame, later: DataFrame | None) -> DataFrame:
-    """Carry (top, open) on through what became of the open cluster in later tiers."""
-    if later is None:
-        return df
-    step = later.select("run", F.col("id").alias("open"), F.col("top").alias("_top"), F.col("open").alias("_open"))
-    out = df.join(step, ["run", "open"], "left")
-    out = out.withColumns({"top": F.coalesce("_top", "top"), "open": F.coalesce("_open", "open")})
-    return out.drop("_top", "_open")
-
-
-def _outermost(settled: list[DataFrame], links: list[DataFrame]) -> DataFrame:
-    """The outermost chosen cluster around every point, over all tiers."""
-    later, parts = None, []
-    for points, link in zip(reversed(settled), reversed(links)):
-        parts.append(_follow(points, later).select("run", F.col("point").alias("v"), F.col("top").alias("cluster")))
-        here = _follow(link, later)
-        if later is not None:
-            here = here.unionByName(later.join(link.select("run", "id"), ["run", "id"], "left_anti"))
-        later = here
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+from narrata.shared import cut
 
 
 def numbered(clusters: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.operators import blocks, density, spanning
+from narrata.operators import blocks, density, hierarchy, spanning
 from narrata.operators.blocks import BlockSettings
 from narrata.operators.components import SMALL
 from narrata.shared import cut
@@ -13,7 +13,7 @@ from narrata.shared import cut
 
 def cluster_points(
     points: DataFrame, grid: list[tuple[int, int]], settings: BlockSettings = BlockSettings(),
-    tier_edges: int = density.TIER_EDGES, small: int = SMALL,
+    part_edges: int = hierarchy.PART_EDGES, small: int = SMALL,
 ) -> DataFrame:
     """(run, post_id, cluster_label) of ``points`` (post_id, vec) for every
     (min_cluster_size, min_samples) in ``grid``; ``run`` is the pair's position.
@@ -31,7 +31,7 @@ def cluster_points(
     cores = cut(blocks.core_distances(index, near, k, samples), "cores")
     tree = spanning.spanning_edges(index, near, cores, small)
     runs = [(i, mcs, ms) for i, (mcs, ms) in enumerate(grid)]
-    found = density.numbered(density.condense(tree, cores, runs, tier_edges, small))
+    found = density.numbered(hierarchy.condense(tree, cores, runs, part_edges))
     if index.total == index.n:
         members = index.nodes.select("v", F.col("rep").alias("post_id"))
     else:

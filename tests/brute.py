@@ -44,7 +44,24 @@ def _components(nodes: list[int], w: np.ndarray, below: float) -> list[list[int]
 
 def labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> list[frozenset[int]]:
     """Chosen clusters, from the top down: cut at each distance, follow the parts."""
-    w = reachability(x, min_samples)
+    return labels_of(reachability(x, min_samples), min_cluster_size)
+
+
+def path_maxima(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
+    """For a tree, the heaviest edge between any two nodes."""
+    w = np.zeros((n, n))
+    inside = [{v} for v in range(n)]
+    for a, b, d in sorted(edges, key=lambda e: e[2]):
+        left, right = sorted(inside[a]), sorted(inside[b])
+        w[np.ix_(left, right)] = d
+        w[np.ix_(right, left)] = d
+        both = inside[a] | inside[b]
+        for v in both:
+            inside[v] = both
+    return w
+
+
+def labels_of(w: np.ndarray, min_cluster_size: int) -> list[frozenset[int]]:
     floor = 1e-12
 
     def grow(nodes: list[int], birth: float | None) -> tuple[float, list[frozenset[int]]]:
@@ -72,7 +89,7 @@ def labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> list[froze
             stability = mass - len(nodes) * birth
             return (stability, [frozenset(nodes)]) if stability >= inner else (inner, chosen)
 
-    return grow(list(range(len(x))), None)[1]
+    return grow(list(range(len(w))), None)[1]
 
 
 def _bottleneck(members: list[int], w: np.ndarray) -> float:

@@ -58,7 +58,7 @@ def test_copies(spark):
 def test_distributed_rounds_and_tiers(spark):
     """No driver-side shortcut and several tiers give the same clusters."""
     x = blobs(7, 14)
-    rows = cluster_points(frame(spark, x), [(5, 3)], TINY, tier_edges=15, small=0).collect()
+    rows = cluster_points(frame(spark, x), [(5, 3)], TINY, part_edges=15, small=0).collect()
     assert {frozenset(m) for m in clusters(rows).values()} == set(brute.labels(x, 5, 3))
 
 
