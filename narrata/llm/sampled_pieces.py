@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SLICE = 1 << 20  # characters segmented at once
 KINDS = 4096  # different words whose lattices are held at once
+COMMON = 256  # characters below this code are looked up in a table
 LONG = 64  # characters of a word handled at once; longer words are cut
 
 
@@ -71,12 +72,25 @@ class Pieces:
         keys = np.array([(n << 21) | ord(c) for n, c in nodes], np.int64)
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.fromiter(nodes.values(), np.int64)[order]
+        # Steps by common characters are looked up in a table of inner nodes; leaves share its empty last row.
+        inner = np.unique(self.keys >> 21)
+        self.row = np.full(len(piece), len(inner), np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.table = np.full((len(inner) + 1) * COMMON, -1, np.int32)
+        column = self.keys & ((1 << 21) - 1)
+        common = column < COMMON
+        self.table[self.row[self.keys[common] >> 21].astype(np.int64) * COMMON + column[common]] = self.next[common]
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Where each character leads, -1 for nowhere."""
-        key = (node << 21) | char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], -1)
+        common = char < COMMON
+        out = self.table[self.row[node].astype(np.int64) * COMMON + np.where(common, char, 0)].astype(np.int64)
+        rare = np.flatnonzero(~common)
+        if len(rare):
+            key = (node[rare] << 21) | char[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == key, self.next[at], -1)
+        return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
