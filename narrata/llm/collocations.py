@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from narrata.shared import cut, new_folder, own_columns
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 3 << 19
 MOST_WORDS = 5
 
 # What divides pieces and words.
@@ -169,7 +169,8 @@ def suffix_order_to(text: np.ndarray, depth: int) -> np.ndarray:
 def build_index(shards: DataFrame, words: DataFrame, tasks: int) -> DataFrame:
     """The index of every shard."""
     listed = shards.select("shard", F.posexplode("words").alias("nth", "w")).select("shard", (F.col("nth") + 1).alias("nth"), "w.lang", "w.word")
-    named = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", F.col("nth").cast("bigint").alias("nth"), "id")
+    # Every word is one row, so a hash table of a partition of them is small and spares sorting the long side.
+    named = listed.join(words.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).select("shard", F.col("nth").cast("bigint").alias("nth"), "id")
     return _by_shard(shards.select("shard", "symbols").repartition(tasks, "shard"), named, tasks, _index, _INDEX)
 
 
