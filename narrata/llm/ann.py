@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from narrata.llm.base import Sent
 from narrata.llm.embedding_dedup import usable
 from narrata.shared import cut
 
@@ -240,7 +242,7 @@ def search(
         return own.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     own = own.where(F.size("v") == dims["d"])
     index = fit(own, dims["n"], sample, most_lists)
-    send = spark.sparkContext.broadcast
+    send = partial(Sent, spark)
     lists = cut(own.mapInArrow(_postings(send(index), spill, copies, shade), "list bigint, first boolean, rid bigint, id bigint, v array<double>"), "postings")
     sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("own")).collect()  # at most most_lists rows
     held = np.zeros(len(index.centroids), np.int64)

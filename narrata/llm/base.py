@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.shared import cut
 
 
+class Sent:
+    """A broadcast of any object of this package.
+
+    Spark pickles what is broadcast by the names of its classes, which executors without the package cannot import; here
+    the object travels with its classes and is rebuilt once per worker.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self._sent, "rebuilt"):
+            self._sent.rebuilt = pickle.loads(self._sent.value)
+        return self._sent.rebuilt
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.base import labelled_rows
+from narrata.llm.base import Sent, labelled_rows
 
 DIMS = 48
 ONES = 6  # entries of an index vector
@@ -207,13 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     rows_of = [zlib.crc32(w.encode()) % BUCKETS for w in number]
     plain = np.concatenate((index[rows_of], index))
     model = Model(number, plain, plain)
-    sums = known.select("t").mapInArrow(_contexts(spark.sparkContext.broadcast(model)), "sums binary").collect()
+    sums = known.select("t").mapInArrow(_contexts(Sent(spark, model)), "sums binary").collect()
     total = sum((np.frombuffer(r["sums"]).reshape(-1, DIMS) for r in sums), np.zeros((len(number), DIMS)))
     size = np.linalg.norm(total, axis=1, keepdims=True)
     vectors = plain.copy()
     vectors[: len(number)] += total / np.where(size > 0, size, 1)
     model = Model(number, vectors.astype(np.float32), plain)
-    table = known.select("t", "y").mapInArrow(_featurer(spark.sparkContext.broadcast(model)), "y double, x array<double>").collect()
+    table = known.select("t", "y").mapInArrow(_featurer(Sent(spark, model)), "y double, x array<double>").collect()
     x = np.array([r["x"] for r in table]).reshape(len(table), WIDTH)
     model.network = train_network(x, np.array([r["y"] for r in table]))
     return model
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 def scorer(docs: DataFrame, model: Model):
     """A column function: the probability of label 1, from the whole text."""
-    send = docs.sparkSession.sparkContext.broadcast(model)
+    send = Sent(docs.sparkSession, model)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         numbers = Numbers(send.value.words)

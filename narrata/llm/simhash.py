@@ -90,7 +90,8 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4, block_row
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, block_rows: int = 256) -> DataFrame:
-    """(doc_id, f, component_id) per document: its fingerprint and the least id reachable by links of at most ``distance`` bits.
+    """(doc_id, f, root, component_id) per document: its fingerprint, the name of its group and the least id in it, that is,
+    reachable by links of at most ``distance`` bits.
 
     Equal fingerprints are one node of the graph, so copies cost one row.
     """
@@ -99,17 +100,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks
     roots = connected_components(close_links(nodes.select("f"), distance, blocks, block_rows))
     named = nodes.join(roots.withColumnRenamed("v", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(groups, "root").select("f", "component_id")
-    return own.join(names, "f").select("doc_id", "f", "component_id")
+    names = named.join(groups, "root").select("f", "root", "component_id")
+    return own.join(names, "f").select("doc_id", "f", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id; rows repeating an id leave one; rows without an id stay."""
-    groups = near_duplicates(docs, shingle, distance)
+    """``docs`` without the documents whose group has a smaller id; rows without an id stay.
+
+    An id may be repeated: each of its rows is judged by its own text, and of those in one group the row with the least
+    text (then the least other columns) stays.
+    """
+    groups = cut(near_duplicates(docs, shingle, distance), "groups")
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")).where("copies > 1")
+    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")).where("copies > 1").select("doc_id")
+    again = cut(again, "repeated")
     if again.isEmpty():
-        return left
-    once = left.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(gone.unionByName(again), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.join(again, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), fingerprint(F.col("row.text"), shingle).alias("f"))
+    known = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", "f", "root").distinct()
+    best = rows.join(known, ["doc_id", "f"]).groupBy("doc_id", "root").agg(F.min(F.struct("row.text", "row")).alias("least"))
+    return once.unionByName(best.select("least.row.*"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.base import fold
+from narrata.llm.base import Sent, fold
 from narrata.shared import cut
 
 SYMBOLS = 252  # byte values that can occur: all but the six white-space ones, and the space and the end
@@ -248,7 +249,7 @@ def fit_tree(windows: DataFrame, train: DataFrame, depth: int, least_share: floa
         return Automaton({b"": {}})
     shallow, least = depth - 2, max(1.0, least_share * total)
     often = windows.where(F.col("n") >= least).select("w").toLocalIterator()  # at most 1 / least_share rows
-    often = train.sparkSession.sparkContext.broadcast(np.fromiter((r["w"] for r in often), np.int64))
+    often = Sent(train.sparkSession, np.fromiter((r["w"] for r in often), np.int64))
     deep = train.select("text").mapInArrow(_count_deep(depth, often), KINDS).groupBy("w").agg(F.sum("n").alias("n"))
 
     def cuts(levels):
@@ -322,7 +323,7 @@ def score_texts(
     short = F.octet_length("word") <= FREQUENT_BYTES
     top = cut(words.where(short).orderBy(F.desc("c"), "word").limit(frequent), "frequent")
     known = {r["word"].encode(): float(r["c"]) for r in top.toLocalIterator()}
-    send = spark.sparkContext.broadcast
+    send = partial(Sent, spark)
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     kinds = "rid bigint, doc_id bigint, n_tokens bigint, hits bigint, base double, mixed double, rest array<struct<word:string,log:double>>"
     scored = cut(own.mapInArrow(_scorer(send(tree), send(known), depth, size, ends, share), kinds), "scored")

@@ -19,13 +19,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.base import labelled_rows
+from narrata.llm.base import Sent, labelled_rows
 from narrata.shared import cut
 
 CHAIN = 256
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 80
     once = known.select("t", "y").dropDuplicates()
     counts = once.select("y", F.explode(_forms_column(F.col("t"))).alias("form")).groupBy("form").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
     marks = counts.where((F.col("bad") >= SEEN) & (F.col("bad") >= PURE * F.col("n"))).orderBy(F.desc("bad"), "form").limit(20_000)
-    send = spark.sparkContext.broadcast
+    send = partial(Sent, spark)
     sentences = cut(known.select("t", "y").mapInArrow(_labelled_chains(send(frozenset(r["form"] for r in marks.collect()))), "words array<string>, tags array<int>, toxic int, draw bigint"), "sentences")
     chosen = [r for k in (1, 0) for r in sentences.where(F.col("toxic") == k).orderBy("draw").limit(chains // 2).collect()]
     field = train_field([r["words"] for r in chosen], [np.array(r["tags"]) for r in chosen])
@@ -256,7 +257,7 @@ def _summaries(send):
 
 
 def judged(field: Field, texts: list[str | None], emissions: Emissions) -> list[dict]:
-    """Score and offending spans [begin, end) of each text; offsets count characters of the lower-cased text."""
+    """Score and offending spans [begin, end) of each text, in characters of the text as it was given."""
     out = []
     for p, sizes in tagged(texts, emissions):
         scores = 1 / (1 + np.exp(-np.clip(_summary(p, sizes) @ field.document, -40, 40)))
@@ -265,8 +266,12 @@ def judged(field: Field, texts: list[str | None], emissions: Emissions) -> list[
             bad = np.flatnonzero(p[stop - n : stop] >= 0.5)
             spans = []
             if len(bad):
-                places = [m.span() for m in SPAN.finditer(texts[len(out)].lower())]
-                spans = [{"begin": places[i][0], "end": places[i][1]} for i in bad.tolist()]
+                text = texts[len(out)]
+                low = text.lower()
+                places = [m.span() for m in SPAN.finditer(low)]
+                # A few characters are longer in lower case.
+                origin = range(len(text)) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
+                spans = [{"begin": origin[places[i][0]], "end": origin[places[i][1] - 1] + 1} for i in bad.tolist()]
             out.append({"score": s, "spans": spans})
     return out
 
@@ -276,7 +281,7 @@ RESULT = "struct<score:double,spans:array<struct<begin:int,end:int>>>"
 
 def scorer(docs: DataFrame, field: Field):
     """A column function: score and offending spans of the whole text."""
-    send = docs.sparkSession.sparkContext.broadcast(field)
+    send = Sent(docs.sparkSession, field)
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

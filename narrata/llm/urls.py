@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrata.llm.base import Sent
+
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,7 +90,7 @@ def fit(labelled: DataFrame, rows: int = 4000, rounds: int = 80, rate: float = 0
 
 def scorer(rows: DataFrame, model: Model):
     """A column function of host and path: the probability of block."""
-    send = rows.sparkSession.sparkContext.broadcast(model)
+    send = Sent(rows.sparkSession, model)
 
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for hosts, paths in batches:

@@ -155,3 +155,15 @@ def test_urls(spark):
     labelled = spark.createDataFrame([(f"http://{k}{i}.example.com/{k}/{i}", int(k == "spam")) for k in ("spam", "fine") for i in range(60)], "url string, y int")
     fresh = spark.createDataFrame([(1, "http://spam99.example.com/spam/7"), (2, "http://fine99.example.com/fine/7")], "page_id bigint, url string")
     assert [r["verdict"] for r in urls.judge(fresh, rules, labelled).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_offsets_are_of_the_given_text(monkeypatch):
+    """Some characters are longer in lower case."""
+    text = "İİ hate İyou"
+    n = len(toxicity.SPAN.findall(text.lower()))
+    monkeypatch.setattr(toxicity, "tagged", lambda texts, emissions: [(np.ones(n), np.array([n]))])
+    field = toxicity.Field(np.zeros(1), np.zeros((2, 2)), 0.0)
+    field.document = np.zeros(5)
+    [judged] = toxicity.judged(field, [text], None)
+    read = [text[s["begin"] : s["end"]] for s in judged["spans"]]
+    assert len(read) == n and "hate" in read and read[-1].endswith("you") and all(w in text.split() or w in text for w in read) and " " not in "".join(read)

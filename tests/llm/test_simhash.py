@@ -72,3 +72,11 @@ def test_one_of_each_group_stays(spark):
     assert left.columns == documents(spark).columns
     ids = [r["doc_id"] for r in left.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 5, 6, 8, 9] and ids.count(None) == 2
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    x, y, z = ("some quite long text about one thing " * 4, "another text of other words entirely here " * 4, "the third one has its own words too " * 4)
+    rows = [(1, x), (5, y), (5, x), (5, y), (7, z), (7, x), (8, z)]
+    for order in (rows, rows[::-1]):
+        left = simhash.keep_one(documents(spark, order).repartition(3), shingle=3, distance=2)
+        assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, x), (5, y), (7, z)]
