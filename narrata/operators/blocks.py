@@ -1,10 +1,15 @@
 """Exact nearest-neighbour search over blocks of vectors.
 
-Points are assigned to the nearest of a bounded set of pivots, which makes cells.
-A query is sent only to the cells the triangle inequality cannot rule out, and
-both sides of a cell are hashed into parts of bounded size, so a crowded cell
-becomes many tasks and no task sees more than two blocks of rows. Pivots, radii
-and counts are the only values that reach the driver: one row per cell.
+Every so many rows, by hash, one is a *pivot*, so pivots lie as densely as the rows and their number grows with them. About
+the square root of that many *tops* are broadcast; a row looks for its pivot only among those of the nearest top. The rows
+of a pivot are a *block*, divided by hash if it is crowded. All that is known of a block is one row: its pivot, the largest
+distance of a row from it, and its size.
+
+A search first looks into each row's own block, which bounds how far its other neighbours can be. A pair of blocks can
+then be ruled out by the triangle inequality: no row of a block is nearer to a row of another than the distance of their
+pivots less what both rows lie off them. Tops rule out all their blocks at once. The nearest blocks are compared first;
+what they bring shrinks the bounds, and only pairs that are left are compared after them. Rows move once for every pair of
+blocks they are compared in, never once for every row they are compared with.
 """
 
 from __future__ import annotations
@@ -23,22 +28,22 @@ from narrata.shared import cut, own_columns
 
 @dataclass(frozen=True)
 class BlockSettings:
-    cell_rows: int = 512  # wanted rows per cell
-    max_cells: int = 2048  # bound on pivots, whatever the number of rows
+    pivot_rows: int = 1024  # a pivot for every so many rows
     block_rows: int = 16_384  # bound on rows of one side in one task
-    emit_rows: int = 20_000  # routed rows per Arrow batch
+    first: int = 4  # blocks that are compared before bounds are tightened
 
 
 @dataclass(frozen=True)
 class Index:
-    """Distinct vectors with their cell, and the cells' geometry."""
+    """Distinct vectors with their block, the blocks' geometry, and that of the tops."""
 
-    nodes: DataFrame  # v, rep, m, vec, cell
+    nodes: DataFrame  # v, rep, m, vec, block, off: the distance from the block's pivot
+    blocks: DataFrame  # block, top, pivot, radius, n
     n: int  # distinct vectors
     total: int  # vectors
-    pivots: np.ndarray
-    pivot_ids: np.ndarray
-    radius: np.ndarray
+    tops: np.ndarray
+    top_ids: np.ndarray
+    top_radius: np.ndarray
     settings: BlockSettings
 
 
@@ -72,6 +77,16 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((q - x) ** 2).sum(1))
 
 
+_WIDEN = 1 + 1e-9  # bounds give way to rounding
+
+
+def _sample(nodes: DataFrame, n: int, wanted: int) -> pa.Table:
+    """About ``wanted`` nodes by hash; no task sends more than its share of them."""
+    few = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n))) < 2 * wanted + 32).select("v", "vec", "rep")
+    rows = few.orderBy(F.xxhash64("rep"), "v").limit(wanted).select("v", "vec").toArrow()
+    return rows if rows.num_rows else nodes.select("v", "vec").limit(1).toArrow()
+
+
 def build_index(points: DataFrame, settings: BlockSettings) -> Index:
     """Index of ``points`` (post_id, vec).
 
@@ -83,74 +98,104 @@ def build_index(points: DataFrame, settings: BlockSettings) -> Index:
     ordered = nodes.repartitionByRange("rep").sortWithinPartitions("rep")
     nodes = cut(ordered.select(F.monotonically_increasing_id().alias("v"), "rep", "m", "vec"), "nodes")
     n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
-    wanted = int(min(settings.max_cells, max(1, -(-n // settings.cell_rows))))
-    sample = nodes.orderBy(F.xxhash64("rep"), "v").limit(wanted).select("v", "vec").toArrow()
-    pivots, pivot_ids = matrix(sample) if n else np.zeros((1, 1)), values(sample, "v")
+    sample = _sample(nodes, n, int(max(1, np.ceil(np.sqrt(n / settings.pivot_rows)))))
+    tops, top_ids = matrix(sample) if n else np.zeros((1, 1)), values(sample, "v")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            d2, tolerance = squared(matrix(batch), pivots)
-            cell = d2.argmin(1)
-            reach = np.sqrt(d2[np.arange(len(cell)), cell] + tolerance)
-            yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("reach", pa.array(reach))
-
-    schema = "v bigint, rep string, m bigint, vec array<double>, cell int, reach double"
-    nodes = cut(nodes.mapInArrow(assign, schema), "cells")
-    radius = np.zeros(len(pivots))
-    for row in nodes.groupBy("cell").agg(F.max("reach").alias("r")).collect():
-        radius[row.cell] = row.r
-    return Index(nodes.drop("reach"), n, total, pivots, pivot_ids, radius, settings)
-
-
-def lower_bounds(q: np.ndarray, cell: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, pivot distances): no point of a cell is closer to a row than its bound.
-
-    Two bounds hold: the distance to the pivot less the cell's radius, and the
-    distance to the plane halfway between the row's own pivot and the other one.
+            d2, tolerance = squared(matrix(batch), tops)
+            top = d2.argmin(1)
+            reach = np.sqrt(d2[np.arange(len(top)), top] + tolerance)
+            yield batch.append_column("top", pa.array(top, pa.int32())).append_column("reach", pa.array(reach))
+
+    schema = "v bigint, rep string, m bigint, vec array<double>, top int, reach double"
+    nodes = cut(nodes.mapInArrow(place, schema), "tops")
+    top_radius = np.zeros(len(tops))
+    for row in nodes.groupBy("top").agg(F.max("reach").alias("r")).collect():  # one row per top
+        top_radius[row.top] = row.r
+    nodes, blocks = _blocks(nodes.drop("reach"), top_ids, settings)
+    return Index(nodes, blocks, n, total, tops, top_ids, top_radius, settings)
+
+
+def _blocks(nodes: DataFrame, top_ids: np.ndarray, s: BlockSettings) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their block and distance from its pivot, and the blocks."""
+    chosen = (F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(s.pivot_rows)) == 0) | F.col("v").isin(top_ids.tolist())
+    pivots = own_columns(nodes.where(chosen).select("top", "v", "vec"))
+    parts = nodes.groupBy("top").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("parts"))
+    rows = nodes.join(parts, "top").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+    spread = pivots.join(own_columns(parts), "top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.append_column("cell", pa.array([], pa.int64())).append_column("off", pa.array([], pa.float64())).drop_columns(["part"])
+        order = np.argsort(values(right, "v"))
+        pm, pv = matrix(right)[order], values(right, "v")[order]
+        qm = matrix(left)
+        cell, off = np.empty(len(qm), np.int64), np.empty(len(qm))
+        for start in range(0, len(qm), 1024):
+            rows = slice(start, start + 1024)
+            found = squared(qm[rows], pm)[0].argmin(1)
+            cell[rows], off[rows] = pv[found], exact(qm[rows], pm[found])
+        return left.append_column("cell", pa.array(cell)).append_column("off", pa.array(off)).drop_columns(["part"])
+
+    schema = "v bigint, rep string, m bigint, vec array<double>, top int, cell bigint, off double"
+    rows = rows.select("v", "rep", "m", "vec", "top", "part")
+    placed = rows.groupBy("top", "part").cogroup(spread.groupBy("top", "part")).applyInArrow(nearest, schema)
+    placed = cut(placed, "cells")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("parts"))
+    placed = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("v", F.lit(2)), F.col("parts")).cast("int"))
+    blocks = placed.groupBy("top", "cell", "part").agg(F.max("off").alias("radius"), F.count("*").alias("n"))
+    centres = own_columns(pivots.select(F.col("v").alias("cell"), F.col("vec").alias("pivot")))
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()).join(centres, "cell"), "blocks")
+    names = own_columns(blocks.select("cell", "part", "block"))
+    nodes = cut(placed.join(names, ["cell", "part"]).select("v", "rep", "m", "vec", "block", "off"), "nodes")
+    return nodes, blocks.select("block", "top", "pivot", "radius", "n")
+
+
+def block_pairs(index: Index, asked: DataFrame, on: list[str]) -> DataFrame:
+    """(on, block, other, far): the blocks that ``asked`` (on, block, reach) cannot rule out.
+
+    ``reach`` is how far from the block's pivot anything of interest can be, and null for no bound; ``far`` is the least
+    distance of a row of the other block from the pivot.
     """
-    d2, tolerance = squared(q, pivots)
-    slack = np.sqrt(tolerance)
-    d = np.sqrt(d2)
-    between = np.sqrt(squared(pivots, pivots)[0])[cell]
-    own = d2[np.arange(len(cell)), cell]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        plane = np.where(between > slack, (d2 - own[:, None]) / (2.0 * between), 0.0)
-    return np.maximum(np.maximum(d - radius, plane) - slack, 0.0), d
-
-
-def emit(batch: pa.RecordBatch, wanted: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
-    """Repeat each row once per wanted cell, in batches of about ``rows`` rows."""
-    at, target = np.nonzero(wanted)
-    for start in range(0, len(at), rows):
-        part = slice(start, start + rows)
-        yield batch.take(pa.array(at[part])).append_column("target", pa.array(target[part], pa.int32()))
-
-
-def search(
-    queries: DataFrame, data: DataFrame, on: list[str], find: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
-    block_rows: int,
+    tops, radius = index.tops, index.top_radius
+    asked = asked.join(index.blocks.select("block", "pivot"), "block").select(*on, "block", F.coalesce("reach", F.lit(float("inf"))).alias("reach"), "pivot")
+
+    def near_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            d2, tolerance = squared(matrix(batch, "pivot"), tops)
+            low = np.sqrt(d2) - np.sqrt(tolerance) - radius
+            at, top = np.nonzero(low <= values(batch, "reach")[:, None] * _WIDEN + 1e-9)
+            yield batch.take(pa.array(at)).append_column("top", pa.array(top, pa.int32()))
+
+    kinds = dict(asked.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in asked.columns)
+    wide = asked.mapInArrow(near_tops, f"{schema}, top int")
+    others = own_columns(index.blocks.select("top", F.col("block").alias("other"), F.col("pivot").alias("pivot2"), "radius"))
+    apart = F.sqrt(F.aggregate(F.zip_with("pivot", "pivot2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
+    pairs = wide.join(others, "top").select(*on, "block", "other", "reach", (apart - F.col("radius")).alias("far"))
+    return pairs.where(F.col("far") <= F.col("reach") * _WIDEN + 1e-9).drop("reach")
+
+
+def compare(
+    index: Index, pairs: DataFrame, queries: DataFrame, data: DataFrame, on: list[str],
+    find: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
 ) -> DataFrame:
-    """Run ``find`` on every (query block, data block) of the cells queries are routed to.
+    """Run ``find`` on the ``queries`` of each block and the ``data`` of the blocks it is paired with in ``pairs`` (on,
+    block, other).
 
-    ``queries`` carry a ``target`` cell, ``data`` its ``cell``. The block counts
-    are one row per cell and key of ``on``, few enough to broadcast.
+    The other blocks are dealt in lots of about ``block_rows`` rows; a block's queries go to each of its lots.
     """
-
-    def parts(df: DataFrame, cell: str, name: str) -> DataFrame:
-        return df.groupBy(*on, F.col(cell).alias("cell")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-
-    keys = [*on, "cell"]
-    sizes = F.broadcast(parts(queries, "target", "_q").join(parts(data, "cell", "_x"), keys))
-
-    def place(df: DataFrame, own: str, other: str) -> DataFrame:
-        hashed = F.pmod(F.xxhash64("v"), F.col(own)).cast("int")
-        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return df.join(sizes, keys).withColumns({f"p{own}": hashed, f"p{other}": spread}).drop("_q", "_x")
-
-    q = place(queries.drop("cell").withColumnRenamed("target", "cell"), "_q", "_x")
-    x = own_columns(place(data, "_x", "_q"))
-    group = [*keys, "p_q", "p_x"]
-    return q.groupBy(*group).cogroup(x.groupBy(*group)).applyInArrow(find, schema)
+    sizes = own_columns(index.blocks.select(F.col("block").alias("other"), "n"))
+    pairs = pairs.select(*on, "block", "other").join(sizes, "other")
+    lots = pairs.groupBy(*on, "block").agg(F.ceil(F.sum("n") / index.settings.block_rows).cast("int").alias("lots"))
+    lots = cut(lots, "lots")
+    keys = [*on, "block"]
+    dealt = pairs.join(own_columns(lots), keys).select(*keys, "other", F.pmod(F.xxhash64("other"), F.col("lots")).cast("int").alias("lot"))
+    x = own_columns(data.withColumnRenamed("block", "other")).join(own_columns(dealt), [*on, "other"])
+    q = own_columns(queries).join(own_columns(lots), keys).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    group = [*keys, "lot"]
+    return q.groupBy(*group).cogroup(own_columns(x).groupBy(*group)).applyInArrow(find, schema)
 
 
 _NEAREST = "a bigint, b bigint, d double, mb bigint"
@@ -158,7 +203,10 @@ _NEAREST = "a bigint, b bigint, d double, mb bigint"
 
 def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def find(q: pa.Table, x: pa.Table) -> pa.Table:
+        if not q.num_rows or not x.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "mb": pa.array([], pa.int64())})
         qm, xm, qv, xv = matrix(q), matrix(x), values(q, "v"), values(x, "v")
+        bound = np.nan_to_num(values(q, "bound").astype(float), nan=np.inf) ** 2
         found = []
         step = max(1, 2_000_000 // max(1, len(xv)))
         for s in range(0, len(qv), step):
@@ -167,6 +215,7 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             d2[qv[rows, None] == xv[None, :]] = np.inf
             kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
             # Rounding may swap close candidates, so take all that could be among the k.
+            kth = np.minimum(kth, bound[rows] * _WIDEN)
             i, j = np.nonzero((d2 <= kth[:, None] + tolerance) & np.isfinite(d2))
             d = exact(qm[rows][i], xm[j])
             order = np.lexsort((xv[j], d, i))
@@ -183,35 +232,39 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def nearest_neighbours(index: Index, k: int) -> DataFrame:
     """(a, b, d, mb, rank): the ``k`` nearest other nodes of every node, exactly.
 
-    Every node first searches its own cell; the distance it finds there bounds
-    the cells it must still be sent to.
+    The distance of the k-th one found so far bounds the blocks a block is compared with next.
     """
-    s, pivots, radius = index.settings, index.pivots, index.radius
     order = [F.asc("d"), F.asc("b")]
-    columns = ["v", "m", "vec", "cell"]
-    data = index.nodes.select(*columns)
-    own = search(data.withColumn("target", F.col("cell")), data, [], _nearest(k), _NEAREST, s.block_rows)
-    if len(pivots) == 1:
-        return cut(first_per_group(own, ["a"], order, k, "rank"), "neighbours")
-    own = cut(first_per_group(own, ["a"], order, k), "own-cell")
-    bound = own.groupBy(F.col("a").alias("v")).agg(F.when(F.count("*") == k, F.max("d")).alias("bound"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cell = values(batch, "cell")
-            low, d = lower_bounds(matrix(batch), cell, pivots, radius)
-            reach = np.nan_to_num(values(batch, "bound").astype(float), nan=np.inf)
-            if d.shape[1] > k:  # pivots are nodes too, and the row itself may be one
-                reach = np.minimum(reach, np.partition(d, k, axis=1)[:, k] * (1 + 1e-9) + 1e-9)
-            wanted = low <= reach[:, None]
-            wanted[np.arange(len(cell)), cell] = False
-            yield from emit(batch.drop_columns(["bound", "cell"]), wanted, s.emit_rows)
-
-    # Arrow output is matched to the schema by position.
-    asking = data.join(bound, "v", "left").select("v", "m", "vec", "cell", "bound")
-    routed = asking.mapInArrow(route, "v bigint, m bigint, vec array<double>, target int")
-    other = search(cut(routed, "routed"), data, [], _nearest(k), _NEAREST, s.block_rows)
-    return cut(first_per_group(own.unionByName(other), ["a"], order, k, "rank"), "neighbours")
+    data = index.nodes.select("v", "m", "vec", "block")
+    own = index.blocks.select("block", F.col("block").alias("other"))
+
+    def search(pairs: DataFrame, bounds: DataFrame | None) -> DataFrame:
+        asking = index.nodes.select("v", "vec", "block")
+        if bounds is None:
+            asking = asking.withColumn("bound", F.lit(None).cast("double"))
+        else:
+            asking = asking.join(bounds.select("v", "bound"), "v", "left")
+        return compare(index, pairs, asking, data, [], _nearest(k), _NEAREST)
+
+    found = first_per_group(search(own, None), ["a"], order, k)
+    n_blocks = index.blocks.count()
+    if n_blocks == 1:
+        return cut(first_per_group(found, ["a"], order, k, "rank"), "neighbours")
+    pairs = None
+    for last in (False, True):
+        found = cut(found, "found")
+        bounds = found.groupBy(F.col("a").alias("v")).agg(F.when(F.count("*") == k, F.max("d")).alias("bound"))
+        bounds = cut(index.nodes.select("v", "block", "off").join(bounds, "v", "left"), "bounds")
+        reach = bounds.groupBy("block").agg(F.when(F.count("*") == F.count("bound"), F.max(F.col("off") + F.col("bound"))).alias("reach"))
+        if pairs is None:
+            pairs = cut(block_pairs(index, reach, []).where("block != other"), "pairs")
+            near = cut(first_per_group(pairs, ["block"], [F.asc("far"), F.asc("other")], index.settings.first), "near")
+            found = first_per_group(found.unionByName(search(near, bounds)), ["a"], order, k)
+            continue
+        left = pairs.join(own_columns(near.select("block", "other")), ["block", "other"], "left_anti").join(own_columns(reach), "block")
+        left = left.where(F.col("reach").isNull() | (F.col("far") <= F.col("reach") * _WIDEN + 1e-9))
+        found = found.unionByName(search(left, bounds))
+    return cut(first_per_group(found, ["a"], order, k, "rank"), "neighbours")
 
 
 def core_distances(index: Index, neighbours: DataFrame, k: int, samples: list[int]) -> DataFrame:
@@ -235,10 +288,10 @@ def core_distances(index: Index, neighbours: DataFrame, k: int, samples: list[in
     )
     whole = F.lit(index.n - 1 <= k)
     return (
-        index.nodes.select("v", "m", "cell")
+        index.nodes.select("v", "m", "block")
         .join(lists, "v", "left")
         .withColumn("near", F.coalesce("near", F.array().cast("array<struct<d:double,b:bigint,mb:bigint>>")))
         .withColumn("ms", F.explode(F.array(*[F.lit(x) for x in samples])))
         .withColumn("core", reached["core"])
-        .select("ms", "v", "m", "cell", "core", F.when(~whole, F.get("near", F.size("near") - 1)["d"]).alias("kd"))
+        .select("ms", "v", "m", "block", "core", F.when(~whole, F.get("near", F.size("near") - 1)["d"]).alias("kd"))
     )

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.operators.blocks import Index, emit, exact, lower_bounds, matrix, search, slices, squared, values
+from narrata.operators.blocks import Index, block_pairs, compare, exact, matrix, slices, squared, values
 from narrata.operators.components import SMALL, connected_components, merge_ids, small_table
-from narrata.shared import cut
+from narrata.shared import cut, own_columns
 
 _SLACK = 1 - 1e-9
 _RUSH = 4  # merge without searching while at least one in this many components is sure
@@ -45,10 +45,14 @@ def _status(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 _EDGE = "ms int, c bigint, w double, lo bigint, hi bigint, other bigint"
+_EDGE_FIELDS = ("ms", "c", "w", "lo", "hi", "other")
+_EDGE_TYPES = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 
 
 def _least_edges(q: pa.Table, x: pa.Table) -> pa.Table:
     """Least mutual-reachability edge between two blocks for each component of the queries."""
+    if not q.num_rows or not x.num_rows:
+        return pa.table({f: pa.array([], t) for f, t in zip(_EDGE_FIELDS, _EDGE_TYPES)})
     qm, xm, qv, xv = matrix(q), matrix(x), values(q, "v"), values(x, "v")
     qc, xc, qr, xr = values(q, "c"), values(x, "c"), values(q, "core"), values(x, "core")
     names, at = np.unique(qc, return_inverse=True)
@@ -69,20 +73,18 @@ def _least_edges(q: pa.Table, x: pa.Table) -> pa.Table:
         for o in order[np.unique(at[i][order], return_index=True)[1]]:
             found = (w[o], lo[o], hi[o], xc[j[o]])
             best[at[i[o]]] = min(best.get(at[i[o]], found), found)
-    ms = q.column("ms")[0].as_py() if q.num_rows else 0
+    ms = q.column("ms")[0].as_py()
     rows = [(ms, names[c], *e) for c, e in best.items()]
     columns = list(zip(*rows)) if rows else [[]] * 6
-    fields = ("ms", "c", "w", "lo", "hi", "other")
-    types = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table({f: pa.array(list(c), t) for f, c, t in zip(fields, columns, types)})
+    return pa.table({f: pa.array(list(c), t) for f, c, t in zip(_EDGE_FIELDS, columns, _EDGE_TYPES)})
 
 
-def _pivot_edges(index: Index, labels: DataFrame, seekers: DataFrame) -> DataFrame:
-    """For components without any listed edge: a bound from edges to pivots, which are nodes too."""
-    known = labels.where(F.col("v").isin(index.pivot_ids.tolist())).select("ms", "v", "c", "core").toPandas()
-    place = {v: i for i, v in enumerate(index.pivot_ids.tolist())}
+def _top_edges(index: Index, labels: DataFrame, seekers: DataFrame) -> DataFrame:
+    """For components without any listed edge: a bound from edges to tops, which are nodes too."""
+    known = labels.where(F.col("v").isin(index.top_ids.tolist())).select("ms", "v", "c", "core").toPandas()
+    place = {v: i for i, v in enumerate(index.top_ids.tolist())}
     per_ms = {
-        ms: (index.pivots[[place[v] for v in g.v]], g.c.to_numpy(), g.core.to_numpy()) for ms, g in known.groupby("ms")
+        ms: (index.tops[[place[v] for v in g.v]], g.c.to_numpy(), g.core.to_numpy()) for ms, g in known.groupby("ms")
     }
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,39 +106,31 @@ def _pivot_edges(index: Index, labels: DataFrame, seekers: DataFrame) -> DataFra
 
 def _search_least(index: Index, labels: DataFrame, bounds: DataFrame) -> DataFrame:
     """Exact least edge of each component in ``bounds`` (ms, c, limit); null is no limit."""
-    s, pivots, radius = index.settings, index.pivots, index.radius
-    vectors = index.nodes.select("v", "vec")
+    nodes = index.nodes.select("v", "vec", "off")
     seekers = labels.join(bounds, ["ms", "c"]).where(
         F.col("limit").isNull() | F.col("kd").isNull() | (F.col("kd") * _SLACK <= F.col("limit"))
-    ).join(vectors, "v")
-    seekers = cut(seekers.select("ms", "v", "c", "core", "cell", "limit", "vec"), "seekers")
+    ).join(nodes, "v")
+    seekers = cut(seekers.select("ms", "v", "c", "core", "block", "off", "limit", "vec"), "seekers")
     blind = seekers.where(F.col("limit").isNull())
     if not blind.isEmpty():
-        extra = _pivot_edges(index, labels, blind)
+        extra = _top_edges(index, labels, blind)
         seekers = seekers.join(extra, ["ms", "c"], "left").withColumn("limit", F.coalesce("limit", "bound")).drop("bound")
-    # One row per cell: the component all of its nodes belong to, if there is one.
-    same = labels.groupBy("ms", "cell").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").collect()
-    uniform = {ms: np.full(len(pivots), -1, np.int64) for ms in {r.ms for r in same}}
-    for r in same:
-        uniform[r.ms][r.cell] = r.c0
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cell, ms, c, core = (values(batch, n) for n in ("cell", "ms", "c", "core"))
-            low, _ = lower_bounds(matrix(batch), cell, pivots, radius)
-            low[np.arange(len(cell)), cell] = 0.0
-            limit = np.nan_to_num(values(batch, "limit").astype(float), nan=np.inf)
-            wanted = np.maximum(low, core[:, None]) * _SLACK <= limit[:, None]
-            for one, owner in uniform.items():
-                rows = ms == one
-                wanted[rows] &= owner[None, :] != c[rows, None]
-            yield from emit(batch.drop_columns(["cell", "limit"]), wanted, s.emit_rows)
-
-    # Arrow output is matched to the schema by position.
-    seekers = seekers.select("ms", "v", "c", "core", "vec", "cell", "limit")
-    routed = seekers.mapInArrow(route, "ms int, v bigint, c bigint, core double, vec array<double>, target int")
-    data = labels.select("ms", "v", "c", "core", "cell").join(vectors, "v")
-    found = search(cut(routed, "routed"), data, ["ms"], _least_edges, _EDGE, s.block_rows)
+        seekers = cut(seekers, "seekers")
+    # A node whose own core distance is beyond the limit has no lighter edge.
+    seekers = seekers.where(F.col("limit").isNull() | (F.col("core") * _SLACK <= F.col("limit")))
+    keys = ["ms", "block"]
+    asked = seekers.groupBy(*keys).agg(
+        F.when(F.count("*") == F.count("limit"), F.max(F.col("off") + F.col("limit"))).alias("reach"), F.min("c").alias("q0"), F.max("c").alias("q1")
+    )
+    asked = cut(asked, "asked")
+    pairs = block_pairs(index, asked.select("ms", "block", "reach"), ["ms"])
+    # Blocks whose nodes all belong to the seekers' one component hold no edge out of it.
+    whole = labels.groupBy("ms", F.col("block").alias("other")).agg(F.min("c").alias("x0"), F.max("c").alias("x1"))
+    pairs = pairs.join(own_columns(asked.select("ms", "block", "q0", "q1")), keys).join(own_columns(whole), ["ms", "other"])
+    pairs = cut(pairs.where("not (q0 = q1 and x0 = x1 and q0 = x0)").select("ms", "block", "other"), "pairs")
+    data = labels.select("ms", "v", "c", "core", "block").join(nodes.drop("off"), "v")
+    asking = seekers.select("ms", "v", "c", "core", "vec", "block")
+    found = compare(index, pairs, asking, data, ["ms"], _least_edges, _EDGE)
     return found.groupBy("ms", "c").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("edge"))
 
 
@@ -219,7 +213,7 @@ def spanning_edges(index: Index, neighbours: DataFrame, cores: DataFrame, small:
     Ties are broken by (weight, smaller node, larger node), so trees do not depend
     on row order.
     """
-    labels = cut(cores.withColumn("c", F.col("v")).select("ms", "v", "core", "kd", "cell", "c"), "components")
+    labels = cut(cores.withColumn("c", F.col("v")).select("ms", "v", "core", "kd", "block", "c"), "components")
     core = cores.select("ms", "v", "core")
     a, b = core.withColumnsRenamed({"v": "a", "core": "core_a"}), core.withColumnsRenamed({"v": "b", "core": "core_b"})
     edges = neighbours.select("a", "b", "d").join(a, "a").join(b, ["ms", "b"])

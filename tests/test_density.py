@@ -11,7 +11,7 @@ from narrata.operators.blocks import BlockSettings
 from narrata.operators.components import connected_components
 from narrata.plans.density import cluster_points
 
-TINY = BlockSettings(cell_rows=12, block_rows=8, emit_rows=50)
+TINY = BlockSettings(pivot_rows=6, block_rows=8, first=2)
 
 
 def frame(spark, x, order=None):
