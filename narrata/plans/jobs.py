@@ -6,16 +6,20 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from narrata import schemas
 from narrata.operators import blocks, collect, enrich, tags, vectors
 from narrata.operators.blocks import BlockSettings
 from narrata.operators.summary import LABEL, NOISE
+from narrata.plans import marks
 from narrata.plans.density import cluster_points
 from narrata.plans.report import build_report
 from narrata.settings import ClusterSettings, CollectSettings, Settings
 from narrata.shared import cut
-from narrata.sinks.keyed import read_if_exists, save_comments, save_posts
+from narrata.sinks.files import write_csv, write_json
+from narrata.sinks.keyed import read_if_exists, read_table, save_comments, save_posts
+from narrata.sources.landed import read_csv, read_json
 
 
 def collect_posts(
@@ -84,10 +88,11 @@ SWEEP_SIZES = (5, 10, 15, 20)
 SWEEP_SAMPLES = (None, 5, 10)
 
 
-def sweep(stored: DataFrame, s: ClusterSettings) -> DataFrame:
-    """Cluster statistics for every pair of the parameter grid."""
+def sweep(stored: DataFrame, s: ClusterSettings, reduced: bool = False) -> DataFrame:
+    """Cluster statistics for every pair of the parameter grid; ``reduced`` vectors (post_id, vec) are taken as they are."""
     pairs = [(size, samples) for size in SWEEP_SIZES for samples in SWEEP_SAMPLES]
-    found = cluster_points(reduce_vectors(stored, s), [(size, samples or size) for size, samples in pairs])
+    points = stored if reduced else reduce_vectors(stored, s)
+    found = cluster_points(points, [(size, samples or size) for size, samples in pairs])
     named = [(run, size, samples) for run, (size, samples) in enumerate(pairs)]
     names = stored.sparkSession.createDataFrame(named, "run int, min_cluster_size int, min_samples int")
     statistics = label_statistics(found, ["run"]).join(F.broadcast(names), "run")
@@ -100,6 +105,22 @@ def embed_posts(
     return vectors.embed_posts(posts, path, s.vector_size, encoder, overwrite)
 
 
+HAND_OVERS = ("table", "csv", "json")
+
+
+def _stored_posts(spark: SparkSession, path: str, hand_over: str) -> DataFrame:
+    """Posts as an earlier collection left them: the keyed table holds those of all runs, the files those of the last one."""
+    if hand_over == "table":
+        return read_table(spark, f"{path}/posts")
+    schema = T.StructType([f for f in schemas.POSTS.fields if f.name != LABEL])
+    return (read_csv if hand_over == "csv" else read_json)(spark, f"{path}/files/posts.{hand_over}", schema)
+
+
+def _write_files(path: str, name: str, rows: DataFrame) -> None:
+    write_json(rows, f"{path}/files/{name}.json")
+    write_csv(rows, f"{path}/files/{name}.csv")
+
+
 def run(
     spark: SparkSession,
     path: str,
@@ -111,25 +132,42 @@ def run(
     report: bool = True,
     encoder: vectors.EncoderFactory | None = None,
     overwrite: bool = False,
+    hand_over: str = "table",
+    resume: bool = False,
 ) -> dict[str, DataFrame]:
     """Run the chosen stages over the tables under ``path``.
 
-    ``landed`` (posts, comments) adds a collection; without it the saved tables
-    are used. Every stage hands over through a written table: ``posts`` and
-    ``comments`` by key, ``vectors`` by post, ``labels`` and ``report`` by run.
-    ``overwrite`` makes all vectors anew, with a model fitted anew. Empty and
-    tiny inputs give labels of noise and a report without clusters.
+    ``landed`` (posts, comments) adds a collection; without it the saved posts
+    are used. Every stage hands over through what it writes: ``posts`` and
+    ``comments`` by key and as JSON and CSV files, ``vectors`` by post,
+    ``labels`` and ``report`` by run, labelled posts as files. ``hand_over``
+    names the form in which later stages read the posts. ``overwrite`` makes all
+    vectors anew, with a model fitted anew. Empty and tiny inputs give labels of
+    noise and a report without clusters.
+
+    A finished stage leaves a mark under ``runs``. With ``resume`` the stages
+    that this run has finished are not done again. A stage that was cut short can
+    be repeated: it adds stored keys to no table and replaces its files.
     """
+    if hand_over not in HAND_OVERS:
+        raise ValueError(f"hand_over must be one of {', '.join(HAND_OVERS)}")
     out: dict[str, DataFrame] = {}
-    if landed is not None:
+    finished = marks.finished(spark, path, run_id) if resume else set()
+    if landed is not None and "collect" not in finished:
         posts, comments = collect_posts(*landed, settings.collect, collection_date)
+        posts = cut(posts, "posts")  # written in three forms
         save_posts(posts, f"{path}/posts")
         save_comments(comments, f"{path}/comments")
-    posts = spark.read.parquet(f"{path}/posts")
+        _write_files(path, "posts", posts)
+        _write_files(path, "comments", comments)
+        marks.finish(spark, path, run_id, "collect")
+    posts = _stored_posts(spark, path, hand_over)
     labels_path = f"{path}/labels/run={run_id}"
-    if cluster:
+    if cluster and "cluster" not in finished:
         stored = embed_posts(enrich.with_comment_text(posts), f"{path}/vectors", settings.cluster, encoder, overwrite)
         cluster_vectors(stored, settings.cluster).write.mode("overwrite").parquet(labels_path)
+        _write_files(path, "labelled_posts", attach_labels(posts, spark.read.schema(schemas.LABELS).parquet(labels_path)))
+        marks.finish(spark, path, run_id, "cluster")
     if report:
         labels = read_if_exists(spark, labels_path, schemas.LABELS)
         if labels is None:
@@ -137,6 +175,9 @@ def run(
         labelled = cut(attach_labels(posts, labels), "labelled")
         for name, table in build_report(labelled, settings.report).items():
             target = f"{path}/report/run={run_id}/{name}"
-            table.write.mode("overwrite").parquet(target)
+            if "report" not in finished:
+                table.write.mode("overwrite").parquet(target)
             out[name] = spark.read.schema(table.schema).parquet(target)
+        if "report" not in finished:
+            marks.finish(spark, path, run_id, "report")
     return out

@@ -7,6 +7,8 @@ compared with brute force in the tests.
 
 from __future__ import annotations
 
+import re
+
 from narrata.functions.stopwords import ENGLISH_STOP_WORDS
 from narrata.operators import tags
 
@@ -187,6 +189,22 @@ put_in as (select * replace (concat_ws(' ', title, {_INJECTED}[cast(seq % {len(_
     case when seq % {len(_INJECTED) + 5} = {len(_INJECTED) + 1} then 4 else score end as score,
     case when seq % {len(_INJECTED) + 5} = {len(_INJECTED) + 1} then 4 else num_comments end as num_comments) from posts)"""
 
+_RECORDS = (_TERMS, _AUTHORS, _FIRST_TITLES, _SAMPLES, _DAYS, _FLAGS)
+_RECORD_COLUMNS = """select f.cluster_label, f.size, f.flagged,
+          (select string_agg(title, chr(10) order by rank) from first_titles x where x.cluster_label = f.cluster_label) as sample_text,
+          (select string_agg(term, ',' order by term) from keyword_ranks x where x.cluster_label = f.cluster_label) as keywords,
+          (select string_agg(author, ',' order by rank) from author_ranks x where x.cluster_label = f.cluster_label) as top_authors,
+          (select string_agg(title, chr(10) order by rank) from samples x where x.cluster_label = f.cluster_label) as sample_posts,
+          (select string_agg(day || '=' || n, ',' order by day) from days x where x.cluster_label = f.cluster_label) as timeline
+          from flags f"""
+# The same records of the posts that a collection without limits keeps, with cleaned text.
+_RUN_REPORT = _q(
+    _POSTS, _WHOLE, _KEPT,
+    f"""saved as (select * replace ({_clean("title")} as title, {_clean("selftext")} as selftext) from kept)""",
+    *[re.sub(r"\bposts\b", "saved", cte) for cte in _RECORDS],
+    select=_RECORD_COLUMNS,
+)
+
 ORACLES: dict[str, str] = {
     "limited_comments": _q(
         _POSTS, _COMMENTS, _THINNED,
@@ -293,16 +311,8 @@ ORACLES: dict[str, str] = {
         select="""select (select count(distinct cluster_label) from posts where cluster_label <> -1) as clusters,
           (select count(*) from posts) as posts, (select count(*) from users) as flagged_users""",
     ),
-    "cluster_records": _q(
-        _POSTS, _TERMS, _AUTHORS, _FIRST_TITLES, _SAMPLES, _DAYS, _FLAGS,
-        select="""select f.cluster_label, f.size, f.flagged,
-          (select string_agg(title, chr(10) order by rank) from first_titles x where x.cluster_label = f.cluster_label) as sample_text,
-          (select string_agg(term, ',' order by term) from keyword_ranks x where x.cluster_label = f.cluster_label) as keywords,
-          (select string_agg(author, ',' order by rank) from author_ranks x where x.cluster_label = f.cluster_label) as top_authors,
-          (select string_agg(title, chr(10) order by rank) from samples x where x.cluster_label = f.cluster_label) as sample_posts,
-          (select string_agg(day || '=' || n, ',' order by day) from days x where x.cluster_label = f.cluster_label) as timeline
-          from flags f""",
-    ),
+    "cluster_records": _q(_POSTS, *_RECORDS, select=_RECORD_COLUMNS),
+    **{name: _RUN_REPORT for name in ("run_report", "run_from_csv", "run_from_json")},
     "new_posts": _q(
         _POSTS, _listed(False, 50, None, True),
         select="select post_id, subreddit, listing from hot_rows where post_id not in (select post_id from top_rows)",

@@ -174,8 +174,7 @@ def headline(spark, d):
     return suspicion.headline(_labelled(spark, d), REPORT)
 
 
-def cluster_records(spark, d):
-    records = report.cluster_records(_labelled(spark, d), REPORT)
+def _flat_records(records: DataFrame) -> DataFrame:
     days = F.transform("timeline", lambda x: F.concat(x["day"].cast("string"), F.lit("="), x["n"].cast("string")))
     return records.select(
         LABEL, "size", "flagged", "sample_text",
@@ -186,6 +185,10 @@ def cluster_records(spark, d):
     )
 
 
+def cluster_records(spark, d):
+    return _flat_records(report.cluster_records(_labelled(spark, d), REPORT))
+
+
 def new_posts(spark, d):
     """What inserting the hot listing adds to a table that holds the top listing."""
     rows = src.landed_posts(spark, d)
@@ -212,7 +215,7 @@ def saved_posts(spark, d):
     posts = cut(_all_posts(spark, d), "clean")
     keyed.save_posts(posts, path)
     keyed.save_posts(posts, path)
-    return keyed.read_if_exists(spark, path, posts.schema)
+    return keyed.read_table(spark, path)
 
 
 def saved_comments(spark, d):
@@ -220,7 +223,7 @@ def saved_comments(spark, d):
     comments = cut(_all_comments(spark, d), "clean")
     keyed.save_comments(comments, path)
     keyed.save_comments(comments, path)
-    return keyed.read_if_exists(spark, path, comments.schema)
+    return keyed.read_table(spark, path)
 
 
 def _subset(schema, df):
@@ -307,6 +310,27 @@ def narrative_labels(spark, d):
     return spark.read.schema(schemas.LABELS).parquet(f"{path}/labels/run=check")
 
 
+def _report_run(spark, d, hand_over):
+    """Records of two runs of the job: one collects and saves, another one reports from what was saved and given labels."""
+    path = new_folder(spark, "run")
+    landed_tables = src.landed_posts(spark, d), src.landed_comments(spark, d)
+    jobs.run(spark, path, "check", Settings(collect=WHOLE), landed_tables, RUN_DATE, cluster=False, report=False)
+    src.labels(spark, d).write.parquet(f"{path}/labels/run=check")
+    return _flat_records(jobs.run(spark, path, "check", cluster=False, hand_over=hand_over)["clusters"])
+
+
+def run_report(spark, d):
+    return _report_run(spark, d, "table")
+
+
+def run_from_csv(spark, d):
+    return _report_run(spark, d, "csv")
+
+
+def run_from_json(spark, d):
+    return _report_run(spark, d, "json")
+
+
 TIGHT = CollectSettings(communities=None, top_limit=None, hot_limit=None, max_comments_per_post=3, top_comments=3, literal_none_author=True)
 # Rules that ordinary texts never meet: every term of the tag rules, in posts chosen by their id.
 INJECTED = [*tags.MISINFORMATION_TERMS, *tags.CONSPIRACY_TERMS]
@@ -377,5 +401,6 @@ QUERIES: dict[str, Query] = {
         saved_comments, json_posts, csv_posts, csv_comments, epoch_times, token_counts, text_lengths, text_vectors,
         standardised_vectors, reduced_vectors, core_distances, density_labels, density_sweep, narrative_labels,
         limited_comments, limited_top_comments, injected_tags, relanded_listing, landed_rejects,
+        run_report, run_from_csv, run_from_json,
     )
 }

@@ -83,3 +83,52 @@ def test_missing_vectors(spark):
     posts = spark.createDataFrame([("a",), ("b",)], "post_id string")
     vectors = spark.createDataFrame([("a", [1.0])], schemas.VECTORS)
     assert [r.post_id for r in landed.without_vector(posts, vectors).collect()] == ["b"]
+
+
+def _posts(spark, ids, title="t"):
+    return spark.createDataFrame([(i, n, T0, title) for n, i in enumerate(ids)], KEYED)
+
+
+def test_two_writers_never_store_a_key_twice(spark, tmp_path):
+    """Two inserts that started from the same version: the second to finish drops what the first has stored."""
+    path, order = str(tmp_path / "posts"), [F.asc("seq")]
+    keyed.insert_or_ignore(_posts(spark, ["a", "b"]), path, "post_id", order, parts=3)
+    base = keyed.current(spark, path)
+    late = keyed._write(spark, path, _posts(spark, ["c", "d", None], "late"), "post_id", base.parts)  # not yet committed
+    assert keyed.read_table(spark, path).count() == 2
+    keyed.insert_or_ignore(_posts(spark, ["d", "e", "a", None], "early"), path, "post_id", order)
+    version = keyed.add_batch(spark, path, "post_id", base, late, base.parts, spark.createDataFrame([], KEYED).schema)
+    got = sorted(((r.post_id, r.title) for r in keyed.read_table(spark, path).collect()), key=repr)
+    assert got == sorted([("a", "t"), ("b", "t"), ("c", "late"), ("d", "early"), ("e", "early"), (None, "early")], key=repr)
+    assert version.number == 3 and late not in version.batches and len(version.batches) == 3
+
+
+def test_two_first_writers_with_other_parts(spark, tmp_path):
+    path, order = str(tmp_path / "posts"), [F.asc("seq")]
+    late = keyed._write(spark, path, _posts(spark, ["a", "b"], "late"), "post_id", 5)
+    keyed.insert_or_ignore(_posts(spark, ["b", "c"], "early"), path, "post_id", order, parts=2)
+    keyed.add_batch(spark, path, "post_id", keyed.Version(), late, 5, spark.createDataFrame([], KEYED).schema)
+    assert sorted((r.post_id, r.title) for r in keyed.read_table(spark, path).collect()) == [("a", "late"), ("b", "early"), ("c", "early")]
+    assert keyed.current(spark, path).parts == 2
+
+
+def test_rows_without_a_key_are_one(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    for _ in range(3):
+        keyed.save_posts(_posts(spark, [None, "a", None]), path)
+    assert sorted(((r.post_id, r.seq) for r in keyed.read_table(spark, path).collect()), key=repr) == sorted([(None, 0), ("a", 1)], key=repr)
+
+
+def test_inserts_read_touched_parts_only(spark, tmp_path):
+    path, order = str(tmp_path / "posts"), [F.asc("seq")]
+    for k in range(3):
+        keyed.insert_or_ignore(_posts(spark, [f"{k}-{i}" for i in range(200)]), path, "post_id", order, parts=8)
+    version = keyed.current(spark, path)
+    parts = {r.post_id: r["key_part"] for r in _posts(spark, ["1-7", "new"]).select("post_id", keyed._part_of("post_id", 8)).collect()}
+    assert keyed.touched(spark, path, _posts(spark, ["1-7"]), "post_id", version.batches, 8) == [(version.batches[1], parts["1-7"])]
+    many = keyed.touched(spark, path, _posts(spark, [f"new-{i}" for i in range(8)]), "post_id", version.batches, 8)
+    assert len(many) <= 3  # of 24, by chance
+    all_of_one = keyed.touched(spark, path, _posts(spark, [f"2-{i}" for i in range(200)]), "post_id", version.batches[2:], 8)
+    assert len(all_of_one) == 8
+    keyed.insert_or_ignore(_posts(spark, []), path, "post_id", order)
+    assert keyed.read_table(spark, path).count() == 600 and keyed.read_table(spark, str(tmp_path / "none")) is None
