@@ -116,7 +116,9 @@ def _stored_posts(spark: SparkSession, path: str, hand_over: str) -> DataFrame:
     return (read_csv if hand_over == "csv" else read_json)(spark, f"{path}/files/posts.{hand_over}", schema)
 
 
-def _write_files(path: str, name: str, rows: DataFrame) -> None:
+def _write_files(path: str, name: str, rows: DataFrame, schema: T.StructType) -> None:
+    """As JSON and CSV, in the schema's order of columns, which is how CSV is read."""
+    rows = rows.select(*[f.name for f in schema.fields if f.name in rows.columns])
     write_json(rows, f"{path}/files/{name}.json")
     write_csv(rows, f"{path}/files/{name}.csv")
 
@@ -158,15 +160,16 @@ def run(
         posts = cut(posts, "posts")  # written in three forms
         save_posts(posts, f"{path}/posts")
         save_comments(comments, f"{path}/comments")
-        _write_files(path, "posts", posts)
-        _write_files(path, "comments", comments)
+        _write_files(path, "posts", posts, schemas.POSTS)
+        _write_files(path, "comments", comments, schemas.COMMENTS)
         marks.finish(spark, path, run_id, "collect")
     posts = _stored_posts(spark, path, hand_over)
     labels_path = f"{path}/labels/run={run_id}"
     if cluster and "cluster" not in finished:
         stored = embed_posts(enrich.with_comment_text(posts), f"{path}/vectors", settings.cluster, encoder, overwrite)
         cluster_vectors(stored, settings.cluster).write.mode("overwrite").parquet(labels_path)
-        _write_files(path, "labelled_posts", attach_labels(posts, spark.read.schema(schemas.LABELS).parquet(labels_path)))
+        labelled = attach_labels(posts, spark.read.schema(schemas.LABELS).parquet(labels_path))
+        _write_files(path, "labelled_posts", labelled, schemas.POSTS)
         marks.finish(spark, path, run_id, "cluster")
     if report:
         labels = read_if_exists(spark, labels_path, schemas.LABELS)

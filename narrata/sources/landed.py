@@ -54,7 +54,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; quoted fields may span lines."""
     # An unquoted empty field is null and a quoted one is ''; the null marker is a
     # character no text holds, so the reader keeps the two apart.
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\0"}
+    # Columns are read by position; a file whose header names them otherwise is refused.
+    options = {"header": True, "enforceSchema": False, "multiLine": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\0"}
     raw = spark.read.schema(_as_stored(schema, True)).options(**options).csv(path)
     return _typed(raw, schema, arrays_from_json=True)
 

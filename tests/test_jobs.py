@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,25 @@ def _ready(spark):
     return posts.withColumn("created_utc", at), comments.withColumn("created_utc", at)
 
 
+def _encoder():
+    """Texts of one vocabulary lie together; no two distances are equal."""
+    vocabularies = WORDS
+
+    def factory():
+        def encode(texts):
+            kinds = [next((k for k, words in enumerate(vocabularies) if any(w in t for w in words)), -1) for t in texts]
+            assert -1 not in kinds, texts
+            noise = np.array([np.random.default_rng(zlib.crc32(t.encode())).normal(size=6) for t in texts])
+            return noise + np.eye(3, 6)[kinds] * np.array([30.0, 50, 90, 0, 0, 0])
+
+        return encode
+
+    return factory
+
+
+encoder = _encoder()
+
+
 def rows(out):
     return {name: sorted(map(repr, df.collect())) for name, df in out.items()}
 
@@ -40,7 +61,7 @@ def test_every_hand_over_gives_the_same_report(spark, tmp_path):
     for form in jobs.HAND_OVERS:
         path = str(tmp_path / form)
         jobs.run(spark, path, "one", SETTINGS, _ready(spark), DATE, cluster=False, report=False, hand_over=form)
-        got[form] = rows(jobs.run(spark, path, "one", SETTINGS, hand_over=form))
+        got[form] = rows(jobs.run(spark, path, "one", SETTINGS, encoder=encoder, hand_over=form))
     assert got["csv"] == got["table"] == got["json"] and got["csv"]["clusters"]
     schema = schemas.POSTS
     labelled = [landed.read_csv(spark, f"{path}/files/labelled_posts.csv", schema), landed.read_json(spark, f"{path}/files/labelled_posts.json", schema)]
@@ -51,7 +72,7 @@ def test_every_hand_over_gives_the_same_report(spark, tmp_path):
 
 
 def test_a_run_that_is_cut_short_and_resumed_equals_one_run(spark, tmp_path, monkeypatch):
-    whole = rows(jobs.run(spark, str(tmp_path / "whole"), "one", SETTINGS, _ready(spark), DATE))
+    whole = rows(jobs.run(spark, str(tmp_path / "whole"), "one", SETTINGS, _ready(spark), DATE, encoder=encoder))
     path = str(tmp_path / "cut")
 
     def stop(*args, **kwargs):
@@ -60,12 +81,12 @@ def test_a_run_that_is_cut_short_and_resumed_equals_one_run(spark, tmp_path, mon
     for broken in ("collect_posts", "cluster_vectors", "build_report"):
         with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
             m.setattr(jobs, broken, stop)
-            jobs.run(spark, path, "one", SETTINGS, _ready(spark), DATE, resume=True)
+            jobs.run(spark, path, "one", SETTINGS, _ready(spark), DATE, encoder=encoder, resume=True)
     assert marks.finished(spark, path, "one") == {"collect", "cluster"}
     with monkeypatch.context() as m:  # finished stages are not done again
         m.setattr(jobs, "collect_posts", stop)
         m.setattr(jobs, "cluster_vectors", stop)
-        assert rows(jobs.run(spark, path, "one", SETTINGS, _ready(spark), DATE, resume=True)) == whole
+        assert rows(jobs.run(spark, path, "one", SETTINGS, _ready(spark), DATE, encoder=encoder, resume=True)) == whole
         m.setattr(jobs, "save_posts", stop)
         assert rows(jobs.run(spark, path, "one", SETTINGS, resume=True)) == whole
     assert marks.finished(spark, path, "one") == {"collect", "cluster", "report"} and marks.finished(spark, path, "two") == set()
