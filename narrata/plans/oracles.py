@@ -1,8 +1,9 @@
 """DuckDB SQL equivalent to the registered queries.
 
 Written against the driver's tables, independently of the DataFrame code. A
-query that SQL cannot express (text vectors, density clustering) has none and is
-compared with brute force in the tests.
+query that SQL cannot express (text vectors, components of a reduction) has none and is
+compared with brute force in the tests. Clusters are compared for vectors reduced to as many components as they have: that
+keeps all distances, so SQL can start from the standardised vectors.
 """
 
 from __future__ import annotations
@@ -189,6 +190,98 @@ put_in as (select * replace (concat_ws(' ', title, {_INJECTED}[cast(seq % {len(_
     case when seq % {len(_INJECTED) + 5} = {len(_INJECTED) + 1} then 4 else score end as score,
     case when seq % {len(_INJECTED) + 5} = {len(_INJECTED) + 1} then 4 else num_comments end as num_comments) from posts)"""
 
+# Density clusters of the standardised vectors, from a spanning tree in the order it grows: the points that hang together
+# below a distance are neighbours in it, so every merge is a span of that order.
+_DENSITY = r"""
+scaled as (
+  select cast(vec_id as varchar) as post_id, unnest(range(len(embedding))) as i, cast(unnest(embedding) as double) as x from embeddings
+), moments as (
+  select i, avg(x) as mean, stddev_samp(x) as sd from scaled group by i
+), vectors as (
+  select post_id, array_agg(case when sd > 0 then (x - mean) / sd else 0 end order by i) as v from scaled join moments using (i) group by post_id
+), points as materialized (
+  select cast(row_number() over (order by post_id) as int) as p, post_id, v from vectors
+), pairs as materialized (
+  select a.p as a, b.p as b, list_distance(a.v, b.v) as d from points a, points b
+), cores as materialized (
+  select ms, a as p, d as core from (select distinct ms from runs),
+    (select a, d, row_number() over (partition by a order by d) as nth from pairs) where nth = ms
+), reach as materialized (
+  select x.ms, q.a, q.b, greatest(q.d, x.core, y.core) as w
+  from pairs q join cores x on x.p = q.a join cores y on y.p = q.b and y.ms = x.ms where q.a <> q.b
+), prim(ms, s, p, h, nodes) as (
+  -- a spanning tree, nearest node first; nodes: those not yet in it with their lightest edge to it
+  select ms, cast(1 as bigint), 1, cast(null as double), list({'p': b, 'w': w}) from reach where a = 1 group by ms
+  union all
+  select t.ms, t.s + 1, t.pick.p, t.pick.w,
+    (select list({'p': u.n.p, 'w': least(u.n.w, r.w)}) from (select unnest(t.nodes) as n) u join reach r on r.ms = t.ms and r.a = t.pick.p and r.b = u.n.p)
+  from (select *, list_min(list_transform(nodes, lambda n: {'w': n.w, 'p': n.p})) as pick from prim where len(nodes) > 0) t
+), tour as materialized (
+  -- in this order the points that hang together below a distance stand side by side
+  select ms, s, p, h, max(s) over (partition by ms) as n from prim
+), spans as materialized (
+  select x.ms, x.s, x.h, coalesce(max(y.s) filter (where y.s < x.s), 1) as lo, coalesce(min(y.s) filter (where y.s > x.s), any_value(x.n) + 1) - 1 as hi
+  from tour x left join tour y on y.ms = x.ms and y.h > x.h where x.h is not null group by x.ms, x.s, x.h
+), merges as materialized (
+  select distinct m.ms, m.h, m.lo, m.hi, m.hi - m.lo + 1 as size, u.lo as up_lo, u.hi as up_hi from spans m
+  left join tour l on l.ms = m.ms and l.s = m.lo and m.lo > 1 left join tour r on r.ms = m.ms and r.s = m.hi + 1
+  left join spans u on u.ms = m.ms and u.s = case when r.h is null or l.h <= r.h then m.lo else m.hi + 1 end and (l.h is not null or r.h is not null)
+), big as materialized (
+  select r.run, m.*, 1 / greatest(m.h, 1e-12) as density from merges m join runs r using (ms) where m.size >= r.least
+), held as materialized (
+  select b.run, b.lo, b.hi, any_value(b.h) as h, any_value(b.size) as size, any_value(b.density) as density, any_value(b.up_lo) as up_lo, any_value(b.up_hi) as up_hi,
+    count(c.lo) as inner_n, coalesce(sum(c.size), 0) as inner_size
+  from big b left join big c on c.run = b.run and c.up_lo = b.lo and c.up_hi = b.hi group by b.run, b.lo, b.hi
+), named(run, lo, hi, top_lo, top_hi) as (
+  select run, lo, hi, lo, hi from held where up_lo is null
+  union all
+  select h.run, h.lo, h.hi, case when u.inner_n > 1 then h.lo else n.top_lo end, case when u.inner_n > 1 then h.hi else n.top_hi end
+  from named n join held u on u.run = n.run and u.lo = n.lo and u.hi = n.hi join held h on h.run = u.run and h.up_lo = u.lo and h.up_hi = u.hi
+), clusters as materialized (
+  select n.run, n.top_lo as lo, n.top_hi as hi, any_value(t.up_lo) as up_lo, any_value(t.up_hi) as up_hi,
+    sum((h.size - case when h.inner_n = 1 then h.inner_size else 0 end) * h.density) - any_value(t.size * coalesce(u.density, 0)) as stability,
+    row_number() over (partition by n.run order by any_value(t.size), n.top_lo) as c
+  from named n join held h on h.run = n.run and h.lo = n.lo and h.hi = n.hi join held t on t.run = n.run and t.lo = n.top_lo and t.hi = n.top_hi
+  left join held u on u.run = t.run and u.lo = t.up_lo and u.hi = t.up_hi group by n.run, n.top_lo, n.top_hi
+), tree as materialized (
+  select k.run, k.c, k.stability, p.c as parent from clusters k left join named n on n.run = k.run and n.lo = k.up_lo and n.hi = k.up_hi
+  left join clusters p on p.run = n.run and p.lo = n.top_lo and p.hi = n.top_hi
+), families as materialized (
+  select t.run, t.c, any_value(t.stability) as stability, any_value(t.parent) as parent, coalesce(list(k.c) filter (where k.c is not null), []) as kids
+  from tree t left join tree k on k.run = t.run and k.parent = t.c group by t.run, t.c
+), worth(run, c, worths, inside) as (
+  -- smaller clusters first, so all inner ones are known
+  select distinct run, cast(0 as bigint), cast([] as double[]), cast(null as double) from runs
+  union all
+  select w.run, f.c, list_append(w.worths, greatest(f.stability, coalesce(list_sum(list_transform(f.kids, lambda k: w.worths[k])), 0))),
+    coalesce(list_sum(list_transform(f.kids, lambda k: w.worths[k])), 0)
+  from worth w join families f on f.run = w.run and f.c = w.c + 1
+), chosen(run, c, best) as (
+  select run, c, cast(null as bigint) from families where parent is null
+  union all
+  select f.run, f.c, case when x.best is not null then x.best when f.stability >= w.inside then f.c end
+  from chosen x join families f on f.run = x.run and f.parent = x.c join worth w on w.run = f.run and w.c = f.c
+), landed as materialized (
+  select r.run, t.s, t.p, (select min({'size': b.size, 'lo': b.lo, 'hi': b.hi}) from big b where b.run = r.run and t.s between b.lo and b.hi) as at
+  from runs r join tour t using (ms)
+), placed as materialized (
+  select l.run, l.p, x.best from landed l left join named n on n.run = l.run and n.lo = l.at.lo and n.hi = l.at.hi
+  left join clusters k on k.run = n.run and k.lo = n.top_lo and k.hi = n.top_hi left join chosen x on x.run = k.run and x.c = k.c
+), numbers as (
+  select run, best, row_number() over (partition by run order by min(p)) - 1 as number from placed where best is not null group by run, best
+), labels as materialized (
+  select l.run, q.post_id, cast(coalesce(number, -1) as int) as cluster_label from placed l join points q using (p) left join numbers using (run, best)
+)"""
+
+
+def _density(runs: list[tuple[int, int, int]], select: str) -> str:
+    values = ", ".join(map(str, runs))
+    return f"with recursive runs as (select * from (values {values}) r(run, least, ms)),{_DENSITY}{select}"
+
+
+_SWEEP = [(size, samples) for size in (5, 10, 15, 20) for samples in (None, 5, 10)]
+_SWEEP_NAMES = ", ".join(f"({i}, {size}, {samples or 'null'})" for i, (size, samples) in enumerate(_SWEEP))
+
 _RECORDS = (_TERMS, _AUTHORS, _FIRST_TITLES, _SAMPLES, _DAYS, _FLAGS)
 _RECORD_COLUMNS = """select f.cluster_label, f.size, f.flagged,
           (select string_agg(title, chr(10) order by rank) from first_titles x where x.cluster_label = f.cluster_label) as sample_text,
@@ -348,6 +441,22 @@ ORACLES: dict[str, str] = {
                          cast(unnest(embedding) as double) as x from embeddings),
         moments as (select i, avg(x) as m, stddev_samp(x) as s from cells group by 1)
         select post_id, cast(i as int) as dim, round((x - m) / s, 6) as value from cells join moments using (i)""",
+    "full_density_labels": _density([(0, 10, 5)], "select post_id, cluster_label from labels"),
+    "full_density_sweep": _density(
+        [(i, size, samples or size) for i, (size, samples) in enumerate(_SWEEP)],
+        f"""select min_cluster_size, min_samples, count_if(cluster_label >= 0) as n_clusters,
+          cast(coalesce(sum(n) filter (where cluster_label < 0), 0) as bigint) as n_noise, max(n) as largest, median(n) as median,
+          avg(n) filter (where cluster_label >= 0) as mean
+          from (select run, cluster_label, count(*) as n from labels group by 1, 2)
+          join (values {_SWEEP_NAMES}) x(run, min_cluster_size, min_samples) using (run) group by run, 1, 2""",
+    ),
+    "reduced_distances": """
+        with cells as (select cast(vec_id as varchar) as post_id, unnest(range(len(embedding))) as i,
+                         cast(unnest(embedding) as double) as x from embeddings),
+        moments as (select i, avg(x) as m, stddev_samp(x) as s from cells group by 1),
+        rows as (select post_id, array_agg((x - m) / s order by i) as v from cells join moments using (i) group by 1),
+        following as (select post_id, v, lead(post_id) over (order by post_id) as other, lead(v) over (order by post_id) as v2 from rows)
+        select post_id, other, round(list_distance(v, v2), 6) as d from following where other is not null""",
     "core_distances": """
         with near as (
           select a.vec_id, list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) as d,

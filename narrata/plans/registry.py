@@ -302,6 +302,33 @@ def density_sweep(spark, d):
     return jobs.sweep(src.vectors(spark, d), CLUSTER)
 
 
+# As many components as the vectors have: a rotation, which keeps every distance.
+FULL = ClusterSettings(components=64)
+
+
+def reduced_distances(spark, d):
+    """Distance of each reduced vector to the next one by id."""
+    rows = vectors.reduce_vectors(src.vectors(spark, d), FULL.components)
+    ordered = cut(rows.repartitionByRange("post_id").sortWithinPartitions("post_id").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    # The next row is in the same partition or the first of the next one that has rows: few rows, found by their numbers.
+    edges = ordered.select("at").groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    bounds = sorted((r["first"], r["last"]) for r in edges.collect())
+    jumps = [(last, first) for (_, last), (first, _) in zip(bounds, bounds[1:])]
+    jump = F.broadcast(spark.createDataFrame(jumps, "at bigint, to bigint"))
+    ways = ordered.join(jump, "at", "left").withColumn("next", F.coalesce("to", F.col("at") + 1))
+    other = ordered.select(F.col("at").alias("next"), F.col("post_id").alias("other"), F.col("vec").alias("vec2"))
+    apart = F.sqrt(F.aggregate(F.zip_with("vec", "vec2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
+    return ways.join(other, "next").select("post_id", "other", F.round(apart, 6).alias("d"))
+
+
+def full_density_labels(spark, d):
+    return jobs.cluster_vectors(src.vectors(spark, d), FULL)
+
+
+def full_density_sweep(spark, d):
+    return jobs.sweep(src.vectors(spark, d), FULL)
+
+
 def narrative_labels(spark, d):
     """Labels after collecting, embedding, clustering and reporting on every post."""
     landed_tables = src.landed_posts(spark, d), src.landed_comments(spark, d)
@@ -401,6 +428,6 @@ QUERIES: dict[str, Query] = {
         saved_comments, json_posts, csv_posts, csv_comments, epoch_times, token_counts, text_lengths, text_vectors,
         standardised_vectors, reduced_vectors, core_distances, density_labels, density_sweep, narrative_labels,
         limited_comments, limited_top_comments, injected_tags, relanded_listing, landed_rejects,
-        run_report, run_from_csv, run_from_json,
+        run_report, run_from_csv, run_from_json, reduced_distances, full_density_labels, full_density_sweep,
     )
 }
