@@ -441,6 +441,16 @@ ORACLES: dict[str, str] = {
                          cast(unnest(embedding) as double) as x from embeddings),
         moments as (select i, avg(x) as m, stddev_samp(x) as s from cells group by 1)
         select post_id, cast(i as int) as dim, round((x - m) / s, 6) as value from cells join moments using (i)""",
+    "text_weights": _q(
+        _COMMENTS, _TOP_COMMENTS,
+        f"""terms as (select post_id, unnest(regexp_extract_all(lower(body), '{_WORD}{{2,}}')) as term from top_comments)""",
+        f"""counts as (select post_id, cast(cast('0x' || substr(md5(term), 1, 7) as bigint) % 768 as int) as bucket, count(*) as tf
+          from terms where term not in {_STOP} group by 1, 2)""",
+        """weighted as (select post_id, bucket, tf * ln((total + 1.0) / (df + 1)) as w from counts
+          join (select bucket, count(*) as df from counts group by 1) using (bucket), (select count(distinct post_id) as total from counts))""",
+        """lengths as (select post_id, sqrt(sum(w * w)) as norm from weighted group by 1)""",
+        select="select post_id, bucket, round(case when norm > 0 then w / norm else 0 end, 6) as weight from weighted join lengths using (post_id)",
+    ),
     "full_density_labels": _density([(0, 10, 5)], "select post_id, cluster_label from labels"),
     "full_density_sweep": _density(
         [(i, size, samples or size) for i, (size, samples) in enumerate(_SWEEP)],

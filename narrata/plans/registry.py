@@ -280,6 +280,14 @@ def text_vectors(spark, d):
     return jobs.embed_posts(enrich.with_comment_text(texts), new_folder(spark, "vectors"), CLUSTER)
 
 
+def text_weights(spark, d):
+    """The weights that text vectors are made of."""
+    texts = enrich.with_comment_text(enrich.attach_top_comments(_all_posts(spark, d).select("post_id"), _all_comments(spark, d)))
+    counts = cut(vectors.term_counts(texts.where("comment_text != ''"), CLUSTER.vector_size), "terms")
+    rows = vectors.weights(counts, vectors.document_frequencies(counts)).select("post_id", F.explode("terms").alias("t"))
+    return rows.select("post_id", "t.bucket", F.round("t.weight", 6).alias("weight"))
+
+
 def standardised_vectors(spark, d):
     scaled = vectors.standardise(src.vectors(spark, d)).withColumn("x", vector_to_array("_scaled"))
     return scaled.select("post_id", F.posexplode("x").alias("dim", "x")).select("post_id", "dim", F.round("x", 6).alias("value"))
@@ -429,5 +437,6 @@ QUERIES: dict[str, Query] = {
         standardised_vectors, reduced_vectors, core_distances, density_labels, density_sweep, narrative_labels,
         limited_comments, limited_top_comments, injected_tags, relanded_listing, landed_rejects,
         run_report, run_from_csv, run_from_json, reduced_distances, full_density_labels, full_density_sweep,
+        text_weights,
     )
 }

@@ -84,3 +84,21 @@ def test_run_stages(spark, tmp_path):
     assert sorted(again["clusters"].collect()) == first
     empty = jobs.run(spark, path, "two", settings, cluster=False)
     assert empty["clusters"].count() == 0
+
+
+def test_two_batches_equal_one_corpus_within_a_version(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(f"p{i:02d}", " ".join(rng.choice(words, 8))) for i in range(30)]
+    first, all_ = spark.createDataFrame(rows[:20], POSTS), spark.createDataFrame(rows, POSTS)
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    whole = _by_id(vectors.embed_posts(all_, one, 64))
+    vectors.embed_posts(first, two, 64)
+    before = _by_id(vectors.embed_posts(all_, two, 64))  # counted, but not yet part of the model
+    assert not all(np.array_equal(before[k], whole[k]) for k in whole)
+    assert {r.version for r in spark.read.parquet(f"{two}/vectors").collect()} == {1}
+    after = _by_id(vectors.embed_posts(all_, two, 64, refresh=True))
+    assert set(after) == set(whole) and all(np.array_equal(after[k], whole[k]) for k in whole)
+    assert {r.version for r in spark.read.parquet(f"{two}/vectors").collect()} == {2}
+    again = _by_id(vectors.embed_posts(all_, two, 64, refresh=True))  # nothing is counted twice
+    assert all(np.array_equal(again[k], whole[k]) for k in whole)
