@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.shared import cut
+from narrata.shared import cut, drop
 
 SMALL = 50_000  # edge lists up to this many rows are resolved on the driver
 
@@ -60,9 +60,11 @@ def connected_components(edges: DataFrame, key: str, small: int = SMALL) -> Data
     if edges.limit(small + 1).count() <= small:
         roots = merge_ids(edges.toPandas(), key)
         return small_table(edges.sparkSession, roots, f"{key} int, v bigint, root bigint")
-    before = None
+    before, last = None, None
     while True:
         edges = cut(_star(_star(edges, key, True), key, False), "stars")
+        drop(last)
+        last = edges
         after = edges.agg(F.count("*"), F.sum(F.xxhash64(key, "a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from narrata.operators.blocks import values
 from narrata.operators.components import connected_components
-from narrata.shared import cut, own_columns
+from narrata.shared import cut, drop, own_columns
 
 PART_EDGES = 100_000  # bound on the edges of a part, and so of a task
 _FLOOR = 1e-12  # least merge distance, so copies have a finite density
@@ -366,8 +366,9 @@ def _outermost(clusters: DataFrame) -> DataFrame:
     ways = cut(clusters.select("run", "c", F.col("parent").alias("up"), F.when(F.col("chosen"), F.col("c")).alias("best")), "ways")
     while not ways.where("up is not null").isEmpty():
         above = own_columns(ways.select("run", F.col("c").alias("up"), F.col("up").alias("up2"), F.col("best").alias("best2")))
-        ways = ways.join(above, ["run", "up"], "left").select("run", "c", F.col("up2").alias("up"), F.coalesce("best2", "best").alias("best"))
+        last, ways = ways, ways.join(above, ["run", "up"], "left").select("run", "c", F.col("up2").alias("up"), F.coalesce("best2", "best").alias("best"))
         ways = cut(ways, "ways")
+        drop(last)
     return ways.select("run", "c", "best")
 
 
@@ -387,7 +388,8 @@ def _landed(rows: DataFrame) -> DataFrame:
         return df.select("run", "v", F.coalesce("top", "top2").alias("top"), F.coalesce("open", "open2").alias("open"), F.col("up2").alias("up"))
 
     while not nodes.where("up is not null").isEmpty():
-        nodes = cut(followed(nodes), "nodes")
+        last, nodes = nodes, cut(followed(nodes), "nodes")
+        drop(last)
     lifted = ways.where("v >= 0").select("run", "v", F.lit(None).cast("bigint").alias("top"), F.lit(None).cast("bigint").alias("open"), "up")
     return points.unionByName(followed(lifted).drop("up"))
 
