@@ -28,6 +28,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, overwriting. Quotes are doubled; '' and null stay distinct."""
-    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""}
+    """CSV with a header, overwriting. Quotes are doubled; '' and null stay distinct, and so does white space at either end."""
+    options = {
+        "header": True, "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
     _flat(df, arrays_as_json=True).write.mode("overwrite").options(**options).csv(path)

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,3 +134,33 @@ def test_inserts_read_touched_parts_only(spark, tmp_path):
     assert len(all_of_one) == 8
     keyed.insert_or_ignore(_posts(spark, []), path, "post_id", order)
     assert keyed.read_table(spark, path).count() == 600 and keyed.read_table(spark, str(tmp_path / "none")) is None
+
+
+def test_csv_records_cross_splits(spark, tmp_path):
+    """One file in splits of a few bytes, with records that span many of them, quotes and line breaks everywhere."""
+    rng = random.Random(4)
+    texts = ["", '"', "\n", "a,b", 'say ""', "x\r\ny", "\r", "long " * 40 + "\n" * 30, '\n"\n', None, "plain", "é "]
+    made = [(f"p{i}", rng.choice(texts), "".join(rng.choice(["a", "\n", '"', ",", "\r", "b "]) for _ in range(rng.randint(0, 60))), i) for i in range(150)]
+    schema = T.StructType([f for f in schemas.POSTS if f.name in ("post_id", "title", "selftext", "score")])
+    path = str(tmp_path / "csv")
+    files.write_csv(spark.createDataFrame(made, schema).coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            records = landed.csv_records(spark, path, "post_id,title,selftext,score")
+            assert records.count() == len(made)
+            assert sorted(landed.read_csv(spark, path, schema).collect(), key=repr) == sorted(spark.createDataFrame(made, schema).collect(), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    with pytest.raises(Exception, match="header"):
+        landed.read_csv(spark, path, T.StructType(schema.fields[::-1])).collect()
+
+
+def test_csv_of_others(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'post_id,title\r\n1,"two\r\nlines"\r\n2,\r\n3,""')
+    schema = T.StructType([schemas.POSTS["post_id"], schemas.POSTS["title"]])
+    got = sorted(landed.read_csv(spark, str(tmp_path), schema).collect())
+    assert [tuple(r) for r in got] == [("1", "two\r\nlines"), ("2", None), ("3", "")]
