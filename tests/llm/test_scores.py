@@ -167,3 +167,12 @@ def test_offsets_are_of_the_given_text(monkeypatch):
     [judged] = toxicity.judged(field, [text], None)
     read = [text[s["begin"] : s["end"]] for s in judged["spans"]]
     assert len(read) == n and "hate" in read and read[-1].endswith("you") and all(w in text.split() or w in text for w in read) and " " not in "".join(read)
+
+
+def test_labelled_urls_are_the_first_by_hash(spark):
+    known = spark.range(5000).select(F.concat(F.lit("h"), F.col("id") % 900).alias("host"), F.col("id").cast("string").alias("path"), (F.col("id") % 2).cast("double").alias("y"))
+    known = known.unionByName(known.limit(40)).repartition(7)
+    whole = known.orderBy(F.xxhash64("host", "path"), "host", "path", "y")
+    for rows in (1, 50, 3000, 9000):
+        assert urls._first_by_hash(known, rows) == whole.limit(rows).collect()
+    assert urls._first_by_hash(known.limit(0), 5) == []
