@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata import schemas
@@ -53,15 +53,19 @@ def weights(counts: DataFrame, frequencies: DataFrame) -> DataFrame:
     weight = F.col("tf") * F.coalesce("idf", F.log(F.lit(float(total + 1))))
     terms = rows.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("bucket", weight.alias("weight")))).alias("terms"))
     norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
-    unit = F.transform("terms", lambda t: F.struct(t["bucket"].alias("bucket"), F.when(F.col("norm") > 0, t["weight"] / F.col("norm")).otherwise(0.0).alias("weight")))
-    return terms.withColumn("norm", norm).select("post_id", unit.alias("terms"))
+    unit = _once(norm, lambda n: F.transform("terms", lambda t: F.struct(t["bucket"].alias("bucket"), F.when(n > 0, t["weight"] / n).otherwise(0.0).alias("weight"))))
+    return terms.select("post_id", unit.alias("terms"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row: as a column it would be put into every step of inner functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _dense(weighted: DataFrame, size: int) -> DataFrame:
-    by_bucket = F.map_from_entries("terms")
     every = F.sequence(F.lit(0), F.lit(size - 1))
-    filled = F.transform(every, lambda i: F.coalesce(F.element_at(F.col("by"), i), F.lit(0.0)).cast("float"))
-    return weighted.withColumn("by", by_bucket).select("post_id", filled.alias("embedding"))
+    filled = _once(F.map_from_entries("terms"), lambda by: F.transform(every, lambda i: F.coalesce(F.element_at(by, i), F.lit(0.0)).cast("float")))
+    return weighted.select("post_id", filled.alias("embedding"))
 
 
 _COUNTED, _VERSIONS = "batch string, bucket int, df bigint", "version int, batches array<string>"
