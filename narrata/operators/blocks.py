@@ -8,8 +8,9 @@ distance of a row from it, and its size.
 A search first looks into each row's own block, which bounds how far its other neighbours can be. A pair of blocks can
 then be ruled out by the triangle inequality: no row of a block is nearer to a row of another than the distance of their
 pivots less what both rows lie off them. Tops rule out all their blocks at once. The nearest blocks are compared first;
-what they bring shrinks the bounds, and only pairs that are left are compared after them. Rows move once for every pair of
-blocks they are compared in, never once for every row they are compared with.
+what they bring shrinks the bounds, and only pairs that are left are compared after them. Blocks that ask are dealt into
+groups, and what a group is compared with into lots, so a row moves at most once for each group or lot, however many pairs
+of blocks it is compared in. There are about ``fan`` groups and lots until a side of a task would exceed ``task_rows``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ from narrata.shared import cut, own_columns
 @dataclass(frozen=True)
 class BlockSettings:
     pivot_rows: int = 1024  # a pivot for every so many rows
-    block_rows: int = 16_384  # bound on rows of one side in one task
+    block_rows: int = 16_384  # bound on rows of a block
     first: int = 4  # blocks that are compared before bounds are tightened
+    task_rows: int = 65_536  # about the most rows of one side in one task of a comparison
+    fan: int = 8  # groups, and lots, of a comparison of everything with everything
 
 
 @dataclass(frozen=True)
@@ -184,18 +188,41 @@ def compare(
     """Run ``find`` on the ``queries`` of each block and the ``data`` of the blocks it is paired with in ``pairs`` (on,
     block, other).
 
-    The other blocks are dealt in lots of about ``block_rows`` rows; a block's queries go to each of its lots.
+    Asking blocks are dealt into groups and the blocks that a group is compared with into lots. Rows follow their block to
+    the groups or lots that it has pairs in, once each; the pairs come along, so only paired blocks are compared.
     """
+    s = index.settings
+    bound = min(s.task_rows, max(s.pivot_rows, -(-index.n // s.fan)))
+    asking = queries.groupBy(*on).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     sizes = own_columns(index.blocks.select(F.col("block").alias("other"), "n"))
-    pairs = pairs.select(*on, "block", "other").join(sizes, "other")
-    lots = pairs.groupBy(*on, "block").agg(F.ceil(F.sum("n") / index.settings.block_rows).cast("int").alias("lots"))
-    lots = cut(lots, "lots")
-    keys = [*on, "block"]
-    dealt = pairs.join(own_columns(lots), keys).select(*keys, "other", F.pmod(F.xxhash64("other"), F.col("lots")).cast("int").alias("lot"))
-    x = own_columns(data.withColumnRenamed("block", "other")).join(own_columns(dealt), [*on, "other"])
-    q = own_columns(queries).join(own_columns(lots), keys).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
-    group = [*keys, "lot"]
-    return q.groupBy(*group).cogroup(own_columns(x).groupBy(*group)).applyInArrow(find, schema)
+    group = F.pmod(F.xxhash64("block", F.lit(3)), F.lit(max(1, -(-asking // bound)))).cast("int").alias("group")
+    pairs = cut(pairs.select(*on, group, "block", "other"), "asked")
+    wanted = pairs.select(*on, "group", "other").distinct().join(sizes, "other")
+    lots = wanted.groupBy(*on, "group").agg(F.ceil(F.sum("n") / bound).cast("int").alias("lots"))
+    lot = F.pmod(F.xxhash64("other"), F.col("lots")).cast("int").alias("lot")
+    pairs = cut(pairs.join(own_columns(lots), [*on, "group"]).select(*on, "group", lot, "block", "other"), "dealt")
+    keys = [*on, "group", "lot"]
+    q = own_columns(queries).join(own_columns(pairs.select(*keys, "block").distinct()), [*on, "block"])
+    x = own_columns(data.withColumnRenamed("block", "other")).join(own_columns(pairs.select(*keys, "other").distinct()), [*on, "other"])
+    x = x.unionByName(own_columns(pairs), allowMissingColumns=True)  # a pair is a row without a node
+
+    def paired(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, asked = right.filter(pc.is_valid(right.column("v"))), right.filter(pc.is_null(right.column("v")))
+        of_row, of_query = values(rows, "other"), values(left, "block")
+        order = np.argsort(of_row, kind="stable")
+        of_row, rows = of_row[order], rows.take(pa.array(order))
+        others: dict[int, list[int]] = {}
+        for block, other in zip(asked.column("block").to_pylist(), asked.column("other").to_pylist()):
+            others.setdefault(block, []).append(other)
+        alike: dict[tuple, list[int]] = {}  # blocks paired with the same ones are compared together
+        for block, found in others.items():
+            alike.setdefault(tuple(sorted(found)), []).append(block)
+        out = [find(left.slice(0, 0), rows.slice(0, 0))]
+        for found, blocks in alike.items():
+            out.append(find(left.filter(pa.array(np.isin(of_query, blocks))), rows.filter(pa.array(np.isin(of_row, found)))))
+        return pa.concat_tables(out)
+
+    return own_columns(q).groupBy(*keys).cogroup(own_columns(x).groupBy(*keys)).applyInArrow(paired, schema)
 
 
 _NEAREST = "a bigint, b bigint, d double, mb bigint"

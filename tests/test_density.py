@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from narrata.operators import blocks, spanning
@@ -62,6 +63,33 @@ def test_distributed_rounds_and_tiers(spark):
     assert {frozenset(m) for m in clusters(rows).values()} == set(brute.labels(x, 5, 3))
 
 
+def test_a_row_moves_once_for_each_group_and_lot(spark):
+    """Every block paired with every other one: rows are sent to few tasks, not to one for every pair, and no pair is left out."""
+    x = np.random.default_rng(5).normal(size=(240, 12))
+    index = blocks.build_index(frame(spark, x), BlockSettings(pivot_rows=6, block_rows=8, first=2, fan=3))
+    names = index.blocks.select("block")
+    assert names.count() > 20
+    pairs = names.crossJoin(names.withColumnRenamed("block", "other")).where("block != other")
+
+    def seen(q, x):
+        of = [x.column("v").to_pylist()] * q.num_rows
+        return pa.table({"v": q.column("v"), "of": pa.array(of, pa.list_(pa.int64()))})
+
+    nodes = index.nodes.select("v", "block")
+    keyed = blocks.compare(index, pairs, nodes, nodes, [], seen, "v bigint, of array<bigint>").collect()
+    of_block = {r.v: r.block for r in nodes.collect()}
+    met = [(r.v, o) for r in keyed for o in r.of]
+    assert sorted(met) == sorted((a, b) for a in of_block for b in of_block if of_block[a] != of_block[b])
+
+    def sides(q, x):
+        names = q.column("lot").to_pylist() + x.column("lot").to_pylist()
+        groups = q.column("group").to_pylist() + x.column("group").to_pylist()
+        return pa.table({"v": pa.concat_arrays([*q.column("v").chunks, *x.column("v").chunks]), "group": pa.array(groups, pa.int64()), "lot": pa.array(names, pa.int64())})
+
+    sent = blocks.compare(index, pairs, nodes, nodes, [], sides, "v bigint, group bigint, lot bigint").distinct()
+    assert max(r["count"] for r in sent.groupBy("v").count().collect()) <= 2 * 6  # groups and lots are dealt by hash, about 3 of each
+
+
 def test_row_order_does_not_matter(spark):
     x = np.round(blobs(3, 20), 1)  # many equal distances
     one = cluster_points(frame(spark, x), [(8, 4)], TINY).collect()
