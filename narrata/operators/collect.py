@@ -78,10 +78,20 @@ def listings(landed: DataFrame, s: CollectSettings) -> DataFrame:
     """Both listings with ``seq``: community, then top before hot, then position.
 
     ``seq`` is computed from the row itself, so no global sort is needed.
+    Listings without limits are one pass over the landed rows.
     """
-    both = top_listing(landed, s).withColumn("_pos", F.lit(_TOP)).unionByName(
-        hot_listing(landed, s).withColumn("_pos", F.lit(_HOT))
-    )
+    if s.top_limit is None and s.hot_limit is None:
+        rows, top = of_communities(landed, s.communities), F.col("listing") == "top"
+        inside = F.lit(True)
+        if s.as_of:
+            inside = F.col("created_utc").between(*_month_until(s.as_of, dict(rows.dtypes)["created_utc"]))
+        rows = rows.where((top & inside) | (F.col("listing") == "hot"))
+        rank = F.when(top, -F.col("score").cast("bigint")).otherwise(F.col("listing_rank").cast("bigint"))
+        both = rows.withColumns({"listing_rank": rank, "_pos": F.when(top, F.lit(_TOP)).otherwise(F.lit(_HOT))})
+    else:
+        both = top_listing(landed, s).withColumn("_pos", F.lit(_TOP)).unionByName(
+            hot_listing(landed, s).withColumn("_pos", F.lit(_HOT))
+        )
     seq = (_community_position(s.communities) * 2 + F.col("_pos")).cast("bigint") * F.lit(1 << 32) + F.col("listing_rank")
     return both.withColumn("seq", seq).drop("_pos")
 
@@ -95,8 +105,9 @@ def select_posts(listed: DataFrame, s: CollectSettings) -> DataFrame:
     """
     passes = (F.col("num_comments") >= s.min_comments) & (F.col("score") >= s.min_score)
     passes = F.coalesce(passes, F.lit(False))
-    thin = listed.withColumns({c: F.when(passes, F.col(c)) for c in ("title", "selftext", "url", "flair")})
-    order = [F.asc("seq"), F.desc("score"), F.desc("num_comments"), F.asc("created_utc")]
+    texts = [c for c in ("title", "selftext", "url", "flair") if c in listed.columns]
+    thin = listed.withColumns({c: F.when(passes, F.col(c)) for c in texts}) if texts else listed
+    order = [F.asc("seq"), F.desc("score"), F.desc("num_comments"), F.asc("created_utc"), F.asc("subreddit")]
     return first_per_group(thin, ["post_id"], order, 1).where(passes)
 
 

@@ -14,7 +14,7 @@ from narrata.operators.blocks import BlockSettings
 from narrata.operators.summary import LABEL, NOISE
 from narrata.plans import marks
 from narrata.plans.density import cluster_points
-from narrata.plans.report import build_report
+from narrata.plans.report import build_report, for_report
 from narrata.settings import ClusterSettings, CollectSettings, Settings
 from narrata.shared import cut
 from narrata.sinks.files import write_csv, write_json
@@ -22,20 +22,25 @@ from narrata.sinks.keyed import read_if_exists, read_table, save_comments, save_
 from narrata.sources.landed import read_csv, read_json
 
 
+_DECIDING = ("post_id", "subreddit", "seq", "score", "num_comments", "created_utc")  # what tells which rows are kept
+
+
 def collect_posts(
     landed_posts: DataFrame, landed_comments: DataFrame, s: CollectSettings, collection_date: str
 ) -> tuple[DataFrame, DataFrame]:
     """Listings to tagged posts with their top comments, and the kept posts' comments.
 
-    Kept posts and cleaned comments are each needed twice, so both are written
-    once: the wide deduplication and the text cleaning do not run again.
+    Which posts are kept is decided on a few columns first, for the comments; the
+    posts' text then goes from its deduplication to the comments' lists in one
+    shuffle. Cleaned comments are needed twice, so they are written.
     """
     if s.month_window and s.as_of is None and collection_date is not None:
         s = replace(s, as_of=collection_date)
-    kept = cut(collect.select_posts(collect.listings(landed_posts, s), s), "kept")
+    listed = collect.listings(landed_posts, s)
+    kept = cut(collect.select_posts(listed.select(*_DECIDING), s).select("post_id", "subreddit"), "kept")
     comments = collect.project_comments(collect.comments_of_posts(landed_comments, kept, s), s, collection_date)
     comments = cut(comments, "comments")
-    posts = collect.project_posts(kept, s, collection_date)
+    posts = collect.project_posts(collect.select_posts(listed, s), s, collection_date)
     return tags.with_tags(enrich.attach_top_comments(posts, comments, s.top_comments)), comments
 
 
@@ -157,8 +162,8 @@ def run(
     finished = marks.finished(spark, path, run_id) if resume else set()
     if landed is not None and "collect" not in finished:
         posts, comments = collect_posts(*landed, settings.collect, collection_date)
-        posts = cut(posts, "posts")  # written in three forms
-        save_posts(posts, f"{path}/posts")
+        posts = cut(posts, "posts", "zstd")  # written in three forms
+        save_posts(posts, f"{path}/posts", unique=True)
         save_comments(comments, f"{path}/comments")
         _write_files(path, "posts", posts, schemas.POSTS)
         _write_files(path, "comments", comments, schemas.COMMENTS)
@@ -175,7 +180,7 @@ def run(
         labels = read_if_exists(spark, labels_path, schemas.LABELS)
         if labels is None:
             labels = spark.createDataFrame([], schemas.LABELS)
-        labelled = cut(attach_labels(posts, labels), "labelled")
+        labelled = cut(for_report(attach_labels(posts, labels)), "labelled", "zstd")
         for name, table in build_report(labelled, settings.report).items():
             target = f"{path}/report/run={run_id}/{name}"
             if "report" not in finished:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.operators import summary, suspicion
-from narrata.operators.summary import LABEL
+from narrata.operators.summary import LABEL, NOISE
 from narrata.settings import ReportSettings
 
 
@@ -40,6 +40,13 @@ def cluster_records(posts: DataFrame, s: ReportSettings) -> DataFrame:
     )
 
 
+def for_report(posts: DataFrame) -> DataFrame:
+    """What the report reads of labelled posts: texts of clustered posts only."""
+    inside = F.col(LABEL) != NOISE
+    texts = [F.when(inside, F.col(c)).alias(c) for c in ("title", "selftext")]
+    return posts.select("post_id", "seq", "author", "created_utc", *texts, LABEL)
+
+
 def build_report(posts: DataFrame, s: ReportSettings) -> dict[str, DataFrame]:
     """The report's tables: cluster records, flagged users by name, headline counts."""
     return {

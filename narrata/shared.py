@@ -28,7 +28,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/narrata/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` and read it back.
 
     The written table replaces the lineage, survives lost executors and gives
@@ -36,7 +36,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._narrata_folder = path
     return out

@@ -179,9 +179,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return reader.option("basePath", path).parquet(*[_batch(path, b) for b in version.batches]).drop(_BATCH, _PART)
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame, key: str, parts: int) -> str:
+def _write(spark: SparkSession, path: str, rows: DataFrame, key: str, parts: int, gather: bool = True) -> str:
+    """Write a batch: one file a part, or, without ``gather``, one a part and task, which spares a shuffle of the rows."""
     batch = uuid.uuid4().hex
-    rows.withColumn(_PART, _part_of(key, parts)).repartition(parts, _PART).write.partitionBy(_PART).parquet(_batch(path, batch))
+    rows = rows.withColumn(_PART, _part_of(key, parts))
+    (rows.repartition(parts, _PART) if gather else rows).write.partitionBy(_PART).parquet(_batch(path, batch), compression="zstd")
     written = _parts(spark, path, [(batch, p) for p in range(parts)], rows.schema)
     target = f"{path}/_filters/batch={batch}"
     if written is None:
@@ -199,13 +201,18 @@ def _fresh(spark: SparkSession, path: str, rows: DataFrame, key: str, batches: t
     return rows if stored is None else _without(rows, stored, key)
 
 
-def insert_or_ignore(incoming: DataFrame, path: str, key: str, order: list[Column], parts: int = PARTS) -> Version:
-    """Add the rows of ``incoming`` whose key the table at ``path`` lacks; gives the version that has them."""
+def insert_or_ignore(incoming: DataFrame, path: str, key: str, order: list[Column], parts: int = PARTS, unique: bool = False) -> Version:
+    """Add the rows of ``incoming`` whose key the table at ``path`` lacks; gives the version that has them.
+
+    ``unique`` says that no key (or missing key) comes twice in ``incoming``, so rows need not meet to find the first one,
+    and are written where they lie.
+    """
     spark = incoming.sparkSession
     base = current(spark, path)
     known = base.parts if base.number else parts
-    rows = _fresh(spark, path, first_per_group(incoming, [key], order, 1), key, base.batches, known)
-    return add_batch(spark, path, key, base, _write(spark, path, rows, key, known), known, incoming.schema)
+    first = incoming if unique else first_per_group(incoming, [key], order, 1)
+    rows = _fresh(spark, path, first, key, base.batches, known)
+    return add_batch(spark, path, key, base, _write(spark, path, rows, key, known, not unique), known, incoming.schema)
 
 
 def add_batch(spark: SparkSession, path: str, key: str, base: Version, batch: str, parts: int, schema: T.StructType) -> Version:
@@ -224,8 +231,8 @@ def add_batch(spark: SparkSession, path: str, key: str, base: Version, batch: st
         base, parts = newer, newer.parts
 
 
-def save_posts(posts: DataFrame, path: str) -> None:
-    insert_or_ignore(posts, path, "post_id", [F.asc("seq"), F.asc("created_utc")])
+def save_posts(posts: DataFrame, path: str, unique: bool = False) -> None:
+    insert_or_ignore(posts, path, "post_id", [F.asc("seq"), F.asc("created_utc")], unique=unique)
 
 
 def save_comments(comments: DataFrame, path: str) -> None:

@@ -20,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, e, p, v = (table(spark, sf_dir, n) for n in ("documents", "events", "pages", "embeddings"))
+    # Joined by the posts' key, so that rows lie by it and what groups by it later need not move the text again.
+    ids = {"documents": "doc_id", "events": "event_id", "pages": "page_id", "embeddings": "vec_id"}
+    d, e, p, v = (table(spark, sf_dir, n).withColumn("post_id", F.col(i).cast("string")) for n, i in ids.items())
     community = F.col("source")
     for source, name in COMMUNITY_OF_SOURCE.items():
         community = F.when(F.col("source") == source, name).otherwise(community)
@@ -31,11 +33,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.when(F.col("label") == BURST_LABEL, F.timestamp_add("MINUTE", F.minute("ts"), noon)).otherwise(F.col("ts"))
     flair = F.when(F.col("lang") == "fr", "Satire").when(F.col("lang") == "de", "Liberal view")
     return (
-        d.join(e, e.event_id == d.doc_id)
-        .join(p.select("page_id", "url"), F.col("page_id") == d.doc_id, "left")
-        .join(v.select("vec_id", "label"), F.col("vec_id") == d.doc_id, "left")
+        d.join(e, "post_id")
+        .join(p.select("post_id", "url"), "post_id", "left")
+        .join(v.select("post_id", "label"), "post_id", "left")
         .select(
-            F.col("doc_id").cast("string").alias("post_id"),
+            "post_id",
             community.alias("subreddit"),
             F.when(user == 0, "[deleted]").otherwise(F.concat(F.lit("user_"), user.cast("string"))).alias("author"),
             F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),

@@ -39,6 +39,20 @@ def test_top_listing_breaks_ties_by_id(spark):
     assert sorted((r.listing_rank, r.post_id) for r in got) == [(1, "p0"), (2, "p1"), (3, "p2"), (4, "p3")]
 
 
+def test_listings_without_limits_are_one_pass(spark):
+    rows = [post(f"p{i}", score=i, listing="hot" if i % 3 else "top", rank=i, age=i * 4) for i in range(12)]
+    rows += [post("x", listing=None), post("y", listing="new", rank=1), post("z", listing="hot"), post("w", None, score=None), post("v", "cats")]
+    df = spark.createDataFrame(rows, POST)
+    for s in (settings(top_limit=None, hot_limit=None), settings(top_limit=None, hot_limit=None, communities=None, as_of=None)):
+        got = collect.listings(df, s)
+        top = collect.top_listing(df, s).withColumn("_pos", F.lit(0))
+        apart = top.unionByName(collect.hot_listing(df, s).withColumn("_pos", F.lit(1)))
+        assert got.schema["listing_rank"].dataType == apart.schema["listing_rank"].dataType
+        assert sorted(map(repr, got.drop("seq").collect())) == sorted(map(repr, apart.drop("_pos").collect()))
+        assert len({r.seq >> 32 for r in got.where("post_id in ('p0', 'p1')").collect()}) == 2
+        assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_first_seen_row_decides_even_when_it_fails(spark):
     rows = [
         post("a", score=5, listing="top"), post("a", score=500, listing="hot", rank=1),  # seen below the thresholds first

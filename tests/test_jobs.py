@@ -92,6 +92,26 @@ def test_a_run_that_is_cut_short_and_resumed_equals_one_run(spark, tmp_path, mon
     assert marks.finished(spark, path, "one") == {"collect", "cluster", "report"} and marks.finished(spark, path, "two") == set()
 
 
+def test_only_needed_columns_are_written_between_stages(spark, tmp_path, monkeypatch):
+    """Which posts are kept is written without their text, the report's posts without what it does not read."""
+    seen, real = {}, jobs.cut
+
+    def cut(df, name, *more):
+        seen[name] = real(df, name, *more)
+        return seen[name]
+
+    monkeypatch.setattr(jobs, "cut", cut)
+    out = jobs.run(spark, str(tmp_path), "one", SETTINGS, _ready(spark), DATE, cluster=False, report=False)
+    labels = [(f"p{i:02d}", (-1, 0, 1, None)[i % 4]) for i in range(28)]
+    spark.createDataFrame(labels, schemas.LABELS).write.parquet(f"{tmp_path}/labels/run=one")
+    out = jobs.run(spark, str(tmp_path), "one", SETTINGS, cluster=False)
+    assert seen["kept"].columns == ["post_id", "subreddit"] and seen["posts"].count() == 30
+    got = seen["labelled"].collect()
+    assert len(got) == 30 and not {"tags", "top_comments", "url"} & set(seen["labelled"].columns)
+    assert all((r.title is None and r.selftext is None) == (r.cluster_label in (None, -1)) for r in got)
+    assert out["headline"].first().posts == 30 and {r["size"] for r in out["clusters"].collect()} == {7}
+
+
 def test_a_sweep_takes_a_reduced_matrix(spark):
     vectors = spark.createDataFrame([(f"p{i}", [float(i % 3) * 10 + i * 0.01, float(i % 7) * 0.1]) for i in range(60)], "post_id string, embedding array<double>")
     reduced = vectors.withColumnRenamed("embedding", "vec")

@@ -65,6 +65,16 @@ def test_insert_or_ignore(spark, tmp_path):
     assert got == [("a", "first"), ("b", "b"), ("c", "c")]
 
 
+def test_unique_rows_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "posts")
+    rows = spark.createDataFrame([("a", 1, T0, "a"), (None, 2, T0, "none"), ("b", 3, T0, "b")], KEYED)
+    monkeypatch.setattr(type(rows), "repartition", lambda *a: pytest.fail("moved"))
+    keyed.save_posts(rows, path, unique=True)
+    keyed.save_posts(spark.createDataFrame([("b", 0, T0, "changed"), ("c", 9, T0, "c"), (None, 0, T0, "again")], KEYED), path, unique=True)
+    got = sorted((r.post_id or "", r.title) for r in keyed.read_table(spark, path).collect())
+    assert got == [("", "none"), ("a", "a"), ("b", "b"), ("c", "c")]
+
+
 def test_orphans(spark):
     posts = spark.createDataFrame([("a",)], "post_id string")
     comments = spark.createDataFrame([("1", "a"), ("2", "z")], "comment_id string, post_id string")
