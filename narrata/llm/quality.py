@@ -169,17 +169,19 @@ def _contexts(send):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
         numbers, total = Numbers(model.words), np.zeros((len(model.words), DIMS))
+        columns = np.ascontiguousarray(model.plain.T)
         for batch in batches:
             for rows, _, sizes in _slices(batch.column("t").to_pylist(), numbers):
                 text = np.repeat(np.arange(len(sizes)), sizes)
-                near = np.zeros((len(rows), DIMS), np.float32)
-                for k in range(1, REACH + 1):
-                    inside = (text[k:] == text[:-k])[:, None]
-                    near[k:] += model.plain[rows[:-k]] * inside
-                    near[:-k] += model.plain[rows[k:]] * inside
-                own = rows < len(model.words)
-                for d in range(DIMS):
-                    total[:, d] += np.bincount(rows[own], near[own, d], len(model.words))
+                inside = {k: text[k:] == text[:-k] for k in range(1, REACH + 1)}
+                own = np.nonzero(rows < len(model.words))[0]
+                words = rows[own]
+                for d in range(DIMS):  # one at a time: all of a slice's index vectors at once are hundreds of MB
+                    near = np.zeros(len(rows), np.float32)
+                    for k, same in inside.items():
+                        near[k:] += columns[d][rows[:-k]] * same
+                        near[:-k] += columns[d][rows[k:]] * same
+                    total[:, d] += np.bincount(words, near[own], len(model.words))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return add

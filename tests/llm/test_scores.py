@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from edges import ROWS, documents, labels
 from pyspark.sql import functions as F
 
@@ -23,6 +25,33 @@ def base_of(rows, trained):
     return n, [(len(ws), sum(w in c for w in ws), math.fsum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for ws in words]
 
 
+def test_contexts_hold_little_at_once():
+    """The sums of a large slice, without the index vectors of all its tokens at once."""
+    draw = np.random.default_rng(1)
+    words = {f"w{i}": i for i in range(500)}
+    index = quality.index_vectors()
+    plain = np.concatenate((index[[zlib.crc32(w.encode()) % quality.BUCKETS for w in words]], index))
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 700, n)) for n in (0, 1, 2, 3, 150_000, 160_000)]
+
+    class Given:
+        value = quality.Model(words, plain, plain)
+
+    tracemalloc.start()
+    (out,) = quality._contexts(Given)(iter([pa.record_batch({"t": pa.array(texts)})]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.frombuffer(out.column(0)[0].as_py()).reshape(-1, quality.DIMS)
+    expected = np.zeros_like(got)
+    for text in texts:
+        rows = np.array([quality.Numbers(words)[t] >> 1 for t in text.split()], int)
+        near = np.zeros((len(rows), quality.DIMS))
+        for k in (1, 2):
+            near[k:] += plain[rows[:-k]]
+            near[:-k] += plain[rows[k:]]
+        np.add.at(expected, rows[rows < 500], near[rows < 500])
+    assert np.allclose(got, expected, atol=1e-2) and peak < 120e6
+
+
 def test_suffix_tree_edges(spark):
     docs = documents(spark)
     for frequent in (100_000, 1):
