@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from narrata.shared import cut, new_folder, own_columns
 
 SHARD_WORDS = 3 << 19
+ROWS = 1 << 18  # rows of a shard's index that are worked on at once
 MOST_WORDS = 5
 
 # What divides pieces and words.
@@ -218,15 +219,26 @@ def _inside(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - first[which] + low[which]
 
 
+def _spans(size: np.ndarray) -> Iterator[slice]:
+    """Neighbouring intervals of about ``ROWS`` rows together; one span at least."""
+    ends = np.cumsum(size)
+    cuts = np.unique(np.searchsorted(ends, np.arange(ROWS, int(size.sum()), ROWS)))
+    for a, b in zip([0, *cuts], [*cuts, len(size)]):
+        if a < b or len(size) == 0:
+            yield slice(a, b)
+
+
 class _Shard:
     """A shard's index, and the phrases that go through it as rows of (phrase, n, low, back)."""
 
     def __init__(self, row: pa.Table):
         self.ids = np.concatenate(([-1], row.column("ids").combine_chunks().flatten().to_numpy()))
-        self.forward, self.backward = (unpacked(row.column(c)[0].as_py()) for c in ("forward", "backward"))
+        self.forward = unpacked(row.column("forward")[0].as_py()).astype(np.int32)
+        backward = unpacked(row.column("backward")[0].as_py())
         # Where each row of the backward transform leads to: the place of its phrase, one word longer.
-        self.leads = np.empty(len(self.backward), np.int64)
-        self.leads[sorting(self.backward)] = np.arange(len(self.backward))
+        self.leads = np.empty(len(backward), np.int32)
+        self.leads[sorting(backward)] = np.arange(len(backward))
+        self.backward = backward.astype(np.int32)
 
     def words(self) -> np.ndarray:
         starts = np.concatenate(([0], np.cumsum(np.bincount(self.forward, minlength=len(self.ids)))))
@@ -234,6 +246,10 @@ class _Shard:
 
     def longer(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(prefix, word) and (n, low, back) of all phrases one word longer than ``live``."""
+        found = [self._longer(live[:, span]) for span in _spans(live[1])]
+        return np.concatenate([k for k, _ in found], axis=1), np.concatenate([v for _, v in found], axis=1)
+
+    def _longer(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         phrase, size, low, back = live
         which, rows = _inside(back, size)
         key = which * (len(self.ids) + 1) + self.backward[rows]
@@ -251,6 +267,9 @@ class _Shard:
 
     def around(self, live: np.ndarray) -> np.ndarray:
         """(phrase, left, right): the one word that always stands there, or -1."""
+        return np.concatenate([self._around(live[:, span]) for span in _spans(live[1])], axis=1)
+
+    def _around(self, live: np.ndarray) -> np.ndarray:
         phrase, size, low, back = live
         sides, starts = [], np.cumsum(size) - size
         for symbols, at in ((self.forward, low), (self.backward, back)):
@@ -294,6 +313,7 @@ def _extend(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
                 place, number = unbundled(state[bucket])
                 made.append(np.vstack(((bucket << _ID_BITS) + number, values[:, places[place]])))
         live = np.concatenate(made, axis=1)
+        del keys, values, made
         for bucket, places in _grouped(live[0] >> _ID_BITS):
             messages[bucket] = [None, bundled(*shard.around(live[:, places]))]
     else:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edges import ROWS, documents
 
@@ -26,6 +28,29 @@ def counted(rows):
     return counts, totals
 
 
+def test_a_shard_is_walked_in_spans(monkeypatch):
+    """The same phrases in the same order from spans of any length, holding little at once."""
+    text = np.append(np.random.default_rng(2).zipf(1.3, 400_000) % 300, 0).astype(np.int64)
+    packed = [pa.array([collocations.packed(way[collocations.suffix_order_to(way, 5) - 1])], pa.binary()) for way in (text, text[::-1])]
+    ids = pa.ListArray.from_arrays([0, 299], pa.array(np.arange(1000, 1299)))
+    shard = collocations._Shard(pa.table({"ids": ids, "forward": packed[0], "backward": packed[1]}))
+    found, peaks = [], []
+    for rows in (1 << 40, 20_000, 7):
+        monkeypatch.setattr(collocations, "ROWS", rows)
+        live = shard.words()
+        live = live[:, live[1] > 0]
+        tracemalloc.start()
+        keys, values = shard.longer(live)
+        peaks.append(tracemalloc.get_traced_memory()[1] - keys.nbytes - values.nbytes)
+        tracemalloc.stop()
+        found.append((keys, values, shard.around(live), *shard.longer(np.vstack((np.arange(keys.shape[1]), values)))))
+        none = shard.longer(live[:, :0])
+        assert none[0].shape == (2, 0) and none[1].shape == (3, 0)
+    for other in found[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(found[0], other))
+    assert peaks[1] < peaks[0]
+
+
 def by_counting(rows, least, most):
     out, (counts, totals) = [], counted(rows)
     for lang, c in counts.items():
