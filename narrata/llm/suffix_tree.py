@@ -37,7 +37,8 @@ from narrata.shared import cut
 
 SYMBOLS = 252  # byte values that can occur: all but the six white-space ones, and the space and the end
 END = 10
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20  # of text at once; the arrays worked out for a slice take tens of times as much
+KEYS_HELD = 1_500_000  # packed keys of all parts of a tally, before they are merged
 WORDS_HELD = 400_000
 KINDS = "w bigint, word string, n bigint"
 FREQUENT_BYTES = 24  # longest word in the table of frequent words
@@ -79,25 +80,37 @@ def _windows(stream: np.ndarray, real: np.ndarray, depth: int) -> tuple[np.ndarr
 
 
 class Tally:
-    """Numbers of packed keys, merged now and then; handed out when there are very many."""
+    """Numbers of packed keys, merged now and then; handed out when many are left by that."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray) -> None:
+        if not len(keys):
+            return
         self.parts.append(np.unique(keys, return_counts=True))
-        if len(self.parts) > 1 and sum(len(k) for k, _ in self.parts) > 3_000_000:
-            self.parts = [self.merged()]
+        if self.held() > KEYS_HELD:
+            self.merge()
+
+    def held(self) -> int:
+        return sum(len(k) for k, _ in self.parts)
 
     def full(self) -> bool:
-        return sum(len(k) for k, _ in self.parts) > 2_000_000
+        return len(self.parts) == 1 and self.held() > KEYS_HELD * 3 // 4
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([n for _, n in self.parts])).astype(np.int64)
+    def merge(self) -> None:
+        if len(self.parts) < 2:
+            return
+        keys, times = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        order = np.argsort(keys, kind="stable")  # each part is in order, so this merges them
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        self.parts = [(keys[first], np.add.reduceat(times[order], first))]
 
     def rows(self) -> pa.RecordBatch:
-        keys, times = self.merged()
+        self.merge()
+        ((keys, times),) = self.parts
         self.parts = []
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.string()), pa.array(times)], names=["w", "word", "n"])
 
@@ -220,7 +233,7 @@ class Automaton:
                 move[i, symbol] = child
         return move.ravel()
 
-    def logs(self, stream: np.ndarray, depth: int, piece: int = 2048) -> np.ndarray:
+    def logs(self, stream: np.ndarray, depth: int, piece: int = 512) -> np.ndarray:
         """log10 probability of every byte. The state depends on ``depth`` bytes, so pieces are read side by side."""
         n = -(-len(stream) // piece)
         padded = np.full(n * piece + depth, 32, np.uint8)

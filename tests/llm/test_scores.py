@@ -99,6 +99,65 @@ def test_suffix_tree_counts_and_states(spark):
     assert np.allclose(prob[:, :-1].sum(1) + unseen * prob[:, -1], 1, atol=1e-4)
 
 
+def test_suffix_tree_holds_little_at_once(monkeypatch):
+    """Counts and scores of many texts in one batch: the same as of all at once, in less memory."""
+    draw = np.random.default_rng(2)
+    words = np.array([f"{x:07x}" for x in draw.integers(0, 1 << 28, 5_000)])
+    texts = ["", None, *(" ".join(words[draw.integers(0, 5_000, n)]) for n in (1, 2, *[15_000] * 32)), ""]
+    depth, n = 6, len(texts)
+    batch = pa.record_batch({"rid": pa.array(range(n)), "doc_id": pa.array(range(n)), "text": pa.array(texts)})
+
+    class Given:
+        def __init__(self, value):
+            self.value = value
+
+    stream, _, real = suffix_tree._stream([(t or "").encode().split() for t in texts[:6]], depth)
+    counts: dict[bytes, dict[int, int]] = {b"": {}}
+    for p in np.flatnonzero(real).tolist():
+        for j in range(4):
+            own = counts.setdefault(stream[p - j : p].tobytes(), {})
+            own[int(stream[p])] = own.get(int(stream[p]), 0) + 1
+    tree = Given(suffix_tree.Automaton(counts))
+    known = Given({w.encode(): 5.0 for w in words.tolist()[:4_000]})
+    common = np.unique(suffix_tree._packed(stream, depth - 1)[::3])
+    passes = [
+        suffix_tree._count_shallow(depth - 2),
+        suffix_tree._count_deep(depth, Given(common)),
+        suffix_tree._count_deep(depth, Given(common[:0])),
+        suffix_tree._scorer(tree, known, depth, 9_999, 7, 0.5),
+    ]
+
+    def counted(out):
+        got: Counter = Counter()
+        for b in out:
+            keys, spoken, times = (b.column(i).to_pylist() for i in range(3))
+            for k, w, c in zip(keys, spoken, times):
+                got[k if w is None else w] += c
+        return got
+
+    def run(most=None):
+        out = []
+        for f in passes:
+            tracemalloc.start()
+            out.append(list(f(iter([batch]))))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert most is None or peak < most
+        return [*map(counted, out[:3]), [r for b in out[3] for r in b.to_pylist()]]
+
+    usual = run(80e6)
+    monkeypatch.setattr(suffix_tree, "KEYS_HELD", 50_000)  # so that counts are handed out now and then
+    often = run(80e6)
+    monkeypatch.setattr(suffix_tree, "SLICE_BYTES", 1 << 30)
+    monkeypatch.setattr(suffix_tree, "KEYS_HELD", 1 << 30)
+    whole = run()
+    assert whole[:3] == usual[:3] == often[:3] and len(whole[0]) > 10_000 and len(whole[1]) > 10_000 and not whole[2]
+    assert [r["rid"] for r in whole[3]] == list(range(n))
+    for x, y in zip(whole[3], usual[3], strict=True):
+        logs = [[r.pop("log") for r in z.pop("rest")] for z in (x, y)]
+        assert np.allclose(*logs, atol=1e-6) and np.allclose([*x.values()], [*y.values()], rtol=1e-9)
+
+
 def test_suffix_tree_beats_the_base_on_held_out_texts(spark):
     r = queries.QUERIES["op3_suffix_tree_lm"](spark, SF).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
     assert r[0] > r[1]
