@@ -35,6 +35,7 @@ class BlockSettings:
     first: int = 4  # blocks that are compared before bounds are tightened
     task_rows: int = 65_536  # about the most rows of one side in one task of a comparison
     fan: int = 8  # groups, and lots, of a comparison of everything with everything
+    stream_rows: int = 32_768  # about the most queries of a task in the search for neighbours
 
 
 @dataclass(frozen=True)
@@ -225,86 +226,256 @@ def compare(
     return own_columns(q).groupBy(*keys).cogroup(own_columns(x).groupBy(*keys)).applyInArrow(paired, schema)
 
 
-_NEAREST = "a bigint, b bigint, d double, mb bigint"
-
-
-def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def find(q: pa.Table, x: pa.Table) -> pa.Table:
-        if not q.num_rows or not x.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "mb": pa.array([], pa.int64())})
-        qm, xm, qv, xv = matrix(q), matrix(x), values(q, "v"), values(x, "v")
-        bound = np.nan_to_num(values(q, "bound").astype(float), nan=np.inf) ** 2
-        found = []
-        step = max(1, 2_000_000 // max(1, len(xv)))
-        for s in range(0, len(qv), step):
-            rows = slice(s, s + step)
-            d2, tolerance = squared(qm[rows], xm)
-            d2[qv[rows, None] == xv[None, :]] = np.inf
-            kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
-            # Rounding may swap close candidates, so take all that could be among the k.
-            kth = np.minimum(kth, bound[rows] * _WIDEN)
-            i, j = np.nonzero((d2 <= kth[:, None] + tolerance) & np.isfinite(d2))
-            d = exact(qm[rows][i], xm[j])
-            order = np.lexsort((xv[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-            found.append((qv[rows][i[keep]], j[keep], d[keep]))
-        a, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.array([], np.int64),) * 3
-        j = j.astype(np.int64)
-        return pa.table({"a": a, "b": xv[j], "d": d.astype(float), "mb": values(x, "m")[j]})
-
-    return find
+_LISTS = "group int, v bigint, m bigint, block bigint, off double, vec array<double>, b array<bigint>, d array<double>, mb array<bigint>"
+_NONE = np.iinfo(np.int64).max  # an empty place in a list
 
 
-def nearest_neighbours(index: Index, k: int) -> DataFrame:
-    """(a, b, d, mb, rank): the ``k`` nearest other nodes of every node, exactly.
+def _places(mask: np.ndarray) -> np.ndarray:
+    """As ``flatnonzero``, for masks of few true cells: eight are looked at together."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    eights = np.flatnonzero(flat.view(np.uint64))
+    of, at = np.nonzero(flat.reshape(-1, 8)[eights])
+    return eights[of] * 8 + at
+
+
+class _Lists:
+    """The queries of a group and the ``k`` nearest rows each has met, while the rows of the group pass by.
 
-    The distance of the k-th one found so far bounds the blocks a block is compared with next.
+    ``take`` gets the group's rows in order: queries (kind 0), the pairs of their blocks with others (1), data by block (2).
     """
-    order = [F.asc("d"), F.asc("b")]
-    data = index.nodes.select("v", "m", "vec", "block")
-    own = index.blocks.select("block", F.col("block").alias("other"))
 
-    def search(pairs: DataFrame, bounds: DataFrame | None) -> DataFrame:
-        asking = index.nodes.select("v", "vec", "block")
-        if bounds is None:
-            asking = asking.withColumn("bound", F.lit(None).cast("double"))
-        else:
-            asking = asking.join(bounds.select("v", "bound"), "v", "left")
-        return compare(index, pairs, asking, data, [], _nearest(k), _NEAREST)
-
-    found = first_per_group(search(own, None), ["a"], order, k)
-    n_blocks = index.blocks.count()
-    if n_blocks == 1:
-        return cut(first_per_group(found, ["a"], order, k, "rank"), "neighbours")
+    def __init__(self, k: int, group: int):
+        self.k, self.group = k, group
+        self.given: list[pa.RecordBatch] = []
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
+        self.passing: list[tuple[np.ndarray, ...]] = []  # (block, vectors, names, counts) not yet compared
+        self.queries: pa.Table | None = None
+
+    def take(self, rows: pa.RecordBatch) -> None:
+        cuts = np.searchsorted(values(rows, "kind"), [0, 1, 2, 3])
+        queries, pairs, data = (rows.slice(x, y - x) for x, y in zip(cuts, cuts[1:]))
+        if queries.num_rows:
+            self.given.append(queries)
+        if pairs.num_rows:
+            self.asked.append((values(pairs, "other"), values(pairs, "block")))
+        if data.num_rows:
+            self.passing.append((values(data, "other"), matrix(data), values(data, "v"), values(data, "m")))
+            if sum(len(x[0]) for x in self.passing) >= 4096:
+                self._compare_passing()
+
+    def _begin(self) -> None:
+        self.queries = pa.Table.from_batches(self.given).combine_chunks()
+        self.given = []
+        self.x, self.v, self.block = matrix(self.queries), values(self.queries, "v"), values(self.queries, "block")
+        self.square = (self.x * self.x).sum(1)
+        self.wide = np.hstack([self.x, np.ones((len(self.x), 1))])
+        with np.errstate(over="ignore"):
+            self.wide32 = self.wide.astype(np.float32)
+        n, k = len(self.v), self.k
+        self.d, self.b, self.m = np.full((n, k), np.inf), np.full((n, k), _NONE), np.zeros((n, k), np.int64)
+        known = self.queries.column("b").combine_chunks()
+        at = np.arange(k)[None, :] < known.value_lengths().to_numpy(zero_copy_only=False)[:, None]
+        for name, place in (("d", self.d), ("b", self.b), ("mb", self.m)):
+            place[at] = self.queries.column(name).combine_chunks().flatten().to_numpy()
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.n_found = 0
+        other, block = (np.concatenate(x) for x in zip(*self.asked)) if self.asked else (np.array([], np.int64),) * 2
+        asking: dict[int, list[int]] = {}
+        for o, a in zip(other.tolist(), block.tolist()):
+            asking.setdefault(o, []).append(a)
+        self.asking = {o: tuple(sorted(a)) for o, a in asking.items()}
+        self.all = tuple(np.unique(self.block).tolist())
+
+    def _compare_passing(self) -> None:
+        if self.queries is None:
+            self._begin()
+        of, x, v, m = (np.concatenate(c) for c in zip(*self.passing))
+        self.passing = []
+        alike: dict[tuple, list[int]] = {}  # blocks that the same blocks ask for are compared together
+        for other in np.unique(of).tolist():
+            alike.setdefault(self.asking[other], []).append(other)
+        for asking, others in alike.items():
+            rows = np.isin(of, others)
+            at = np.arange(len(self.v)) if asking == self.all else np.flatnonzero(np.isin(self.block, asking))
+            self._compare(at, x[rows], v[rows], m[rows])
+
+    def _compare(self, at: np.ndarray, x: np.ndarray, v: np.ndarray, m: np.ndarray) -> None:
+        for start in range(0, len(v), 2048):
+            some = slice(start, start + 2048)
+            short = np.isinf(self.d[at, -1])
+            if short.any():  # their lists are not full yet, so nothing bounds them
+                self._tiles(at[short], x[some], v[some], m[some], short=True)
+            if not short.all():
+                self._tiles(at[~short], x[some], v[some], m[some], short=False)
+            if short.any():
+                self._merge()
+
+    def _tiles(self, at: np.ndarray, x: np.ndarray, v: np.ndarray, m: np.ndarray, short: bool) -> None:
+        """Candidates among ``x`` for the lists of the queries ``at``, whose products fit a processor's cache."""
+        square = (x * x).sum(1)
+        most = float(self.square[at].max(initial=0.0) + square.max(initial=0.0))
+        wide = np.hstack([x, -0.5 * square[:, None]])  # q x - x x / 2, which is larger the nearer x is
+        single = not short and most < 1e30
+        wide32 = wide.astype(np.float32) if single else None
+        room, mask = np.empty((512, len(v)), np.float32), np.empty((512, len(v)), bool)
+        rough = 1.2e-7 * (wide.shape[1] + 8) * most + 1e-36  # bounds on rounding errors
+        fine = 1e-12 * most
+        last = min(self.k, len(v)) - 1
+        for start in range(0, len(at), 512):
+            rows = at[start : start + 512]
+            limit = self.d[rows, -1] ** 2 * _WIDEN
+            hits = None
+            if single:
+                floor = ((self.square[rows] - limit - rough) / 2).astype(np.float32)
+                near = np.matmul(self.wide32[rows], wide32.T, out=room[: len(rows)])
+                hits = _places(np.greater_equal(near, floor[:, None], out=mask[: len(rows)]))
+                if len(hits) > 65_536:
+                    hits = None  # too close together for single precision
+            if hits is None:
+                near = self.wide[rows] @ wide.T
+                if short:
+                    d2 = self.square[rows, None] - 2.0 * near
+                    d2[self.v[rows, None] == v[None, :]] = np.inf
+                    limit = np.partition(d2, last, axis=1)[:, last]
+                # Rounding may swap close candidates, so take all that could be among the k.
+                hits = np.flatnonzero(near >= ((self.square[rows] - limit - fine) / 2)[:, None])
+            for some in range(0, len(hits), 65_536):
+                i, j = np.divmod(hits[some : some + 65_536], len(v))
+                i = rows[i]
+                other = self.v[i] != v[j]
+                i, j = i[other], j[other]
+                d = exact(self.x[i], x[j])
+                keep = np.isfinite(d) & (d <= self.d[i, -1])
+                self.found.append((i[keep], d[keep], v[j[keep]], m[j[keep]]))
+                self.n_found += int(keep.sum())
+                if self.n_found > max(65_536, self.d.size):
+                    self._merge()
+
+    def _merge(self) -> None:
+        i, d, b, m = (np.concatenate(c) for c in zip(*self.found)) if self.found else (np.array([], np.int64),) * 4
+        self.found, self.n_found = [], 0
+        changed, i = np.unique(i, return_inverse=True)
+        n, k = len(changed), self.k
+        i = np.concatenate([np.repeat(np.arange(n), k), i])
+        d, b, m = (np.concatenate([old[changed].ravel(), new]) for old, new in ((self.d, d), (self.b, b), (self.m, m)))
+        order = np.argsort(d)
+        order = order[np.argsort(i[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
+        if (np.isfinite(d[order[1:]]) & (d[order[1:]] == d[order[:-1]]) & (i[order[1:]] == i[order[:-1]])).any():
+            order = np.lexsort((b, d, i))  # equal distances, by name
+        i = i[order]
+        order = order[np.arange(len(i)) - np.searchsorted(i, i) < k]
+        self.d[changed], self.b[changed], self.m[changed] = (c[order].reshape(n, k) for c in (d, b, m))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.passing:
+            self._compare_passing()
+        if self.queries is None:
+            self._begin()
+        self._merge()
+        for start in range(0, len(self.v), 4096):
+            part = self.queries.slice(start, 4096)
+            some = slice(start, start + 4096)
+            full = self.b[some] != _NONE
+            ends = pa.array(np.concatenate([[0], np.cumsum(full.sum(1))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c[some][full])) for c in (self.b, self.d, self.m)]
+            kept = [part.column(c).combine_chunks() for c in ("group", "v", "m", "block", "off", "vec")]
+            yield pa.RecordBatch.from_arrays(kept + lists, names=["group", "v", "m", "block", "off", "vec", "b", "d", "mb"])
+
+
+def _met(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = None
+        for batch in batches:
+            group = values(batch, "group")
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist() if len(group) else []
+            for start, stop in zip(starts, [*starts[1:], len(group)]):
+                if lists is None or lists.group != group[start]:
+                    if lists is not None:
+                        yield from lists.rows()
+                    lists = _Lists(k, int(group[start]))
+                lists.take(batch.slice(start, stop - start))
+        if lists is not None:
+            yield from lists.rows()
+
+    return pass_by
+
+
+def neighbour_lists(index: Index, k: int) -> DataFrame:
+    """(v, m, block, b, d, mb): the ``k`` nearest other nodes of every node as arrays, nearest first, exactly.
+
+    Queries lie in groups of at most about ``stream_rows`` rows. The data of the blocks that a group is compared with pass
+    by them once, so a task holds its queries and their lists, and a row moves once for each group. The distance of the
+    k-th one found so far bounds the blocks a block is compared with next.
+    """
+    s = index.settings
+    groups = max(1, -(-index.n // s.stream_rows), min(2 * s.fan, -(-index.n // s.pivot_rows)))
+    empty = [F.array().cast(t).alias(c) for c, t in (("b", "array<bigint>"), ("d", "array<double>"), ("mb", "array<bigint>"))]
+    dealt = index.nodes.repartitionByRange(groups, "block", "v")  # even groups of neighbouring blocks
+    asked = cut(dealt.select(F.spark_partition_id().alias("group"), "v", "m", "block", "off", "vec", *empty), "asked")
+    final = ["v", "m", "block", "b", "d", "mb"]
+    if k < 1:
+        return asked.select(*final)
+    asking = cut(asked.select("group", "block").distinct(), "asking")
+    data = index.nodes.select("v", "m", "vec", F.col("block").alias("other"))
+
+    def search(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.select("block", "other").join(own_columns(asking), "block"), "pairs")
+        rows = asked.withColumns({"kind": F.lit(0), "other": F.col("block")})
+        rows = rows.unionByName(own_columns(pairs).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        sent = own_columns(data).join(own_columns(pairs.select("group", "other").distinct()), "other").withColumn("kind", F.lit(2))
+        rows = rows.unionByName(sent, allowMissingColumns=True)
+        rows = rows.repartitionById(groups, "group").sortWithinPartitions("group", "kind", "other")
+        return rows.mapInArrow(_met(k), _LISTS)
+
+    own = index.blocks.select("block", F.col("block").alias("other"))
+    found = search(asked, own)
+    if index.blocks.count() == 1:
+        return cut(found.select(*final), "neighbours")
     pairs = None
     for last in (False, True):
         found = cut(found, "found")
-        bounds = found.groupBy(F.col("a").alias("v")).agg(F.when(F.count("*") == k, F.max("d")).alias("bound"))
-        bounds = cut(index.nodes.select("v", "block", "off").join(bounds, "v", "left"), "bounds")
-        reach = bounds.groupBy("block").agg(F.when(F.count("*") == F.count("bound"), F.max(F.col("off") + F.col("bound"))).alias("reach"))
-        if pairs is None:
+        bound = F.when(F.size("d") == k, F.get("d", F.lit(k - 1)))
+        reach = found.groupBy("block").agg(F.when(F.count("*") == F.count(bound), F.max(F.col("off") + bound)).alias("reach"))
+        if not last:
             pairs = cut(block_pairs(index, reach, []).where("block != other"), "pairs")
-            near = cut(first_per_group(pairs, ["block"], [F.asc("far"), F.asc("other")], index.settings.first), "near")
-            found = first_per_group(found.unionByName(search(near, bounds)), ["a"], order, k)
+            near = cut(first_per_group(pairs, ["block"], [F.asc("far"), F.asc("other")], s.first), "near")
+            found = search(found, near)
             continue
         left = pairs.join(own_columns(near.select("block", "other")), ["block", "other"], "left_anti").join(own_columns(reach), "block")
         left = left.where(F.col("reach").isNull() | (F.col("far") <= F.col("reach") * _WIDEN + 1e-9))
-        found = found.unionByName(search(left, bounds))
-    return cut(first_per_group(found, ["a"], order, k, "rank"), "neighbours")
+        found = search(found, left)
+    return cut(found.select(*final), "neighbours")
+
+
+def listed(lists: DataFrame) -> DataFrame:
+    """(a, b, d, mb, rank) of ``neighbour_lists``: a row for each neighbour."""
+    rows = lists.select(F.col("v").alias("a"), F.posexplode(F.arrays_zip("b", "d", "mb")).alias("rank", "x"))
+    return rows.select("a", "x.b", "x.d", "x.mb", (F.col("rank") + 1).alias("rank"))
+
+
+def nearest_neighbours(index: Index, k: int) -> DataFrame:
+    """(a, b, d, mb, rank): the ``k`` nearest other nodes of every node, exactly."""
+    return listed(neighbour_lists(index, k))
 
 
 def core_distances(index: Index, neighbours: DataFrame, k: int, samples: list[int]) -> DataFrame:
-    """(ms, v, core, kd) for each ``ms`` in ``samples``.
+    """(ms, v, m, block, core, kd) for each ``ms`` in ``samples``, from the rows of ``nearest_neighbours``."""
+    # At most k rows per node, so each node's list is a small array.
+    near = F.array_sort(F.collect_list(F.struct("d", "b", "mb")))
+    lists = neighbours.groupBy(F.col("a").alias("v")).agg(near.alias("near"))
+    lists = lists.select("v", *[F.col(f"near.{c}").alias(c) for c in ("b", "d", "mb")])
+    return list_cores(index, index.nodes.select("v", "m", "block").join(lists, "v", "left"), k, samples)
+
+
+def list_cores(index: Index, lists: DataFrame, k: int, samples: list[int]) -> DataFrame:
+    """(ms, v, m, block, core, kd) for each ``ms`` in ``samples``, from ``neighbour_lists``.
 
     The core distance reaches the ms-th point, the node itself and all copies
     counted; ``kd`` is the distance beyond which the neighbour list knows nothing,
     null when the list holds every other node.
     """
-    # At most k rows per node, so each node's list is a small array.
-    lists = neighbours.groupBy(F.col("a").alias("v")).agg(
-        F.array_sort(F.collect_list(F.struct("d", "b", "mb"))).alias("near")
-    )
     reached = F.aggregate(
         "near",
         F.struct(F.col("m").alias("n"), F.when(F.col("m") >= F.col("ms"), F.lit(0.0)).alias("core")),
@@ -315,9 +486,7 @@ def core_distances(index: Index, neighbours: DataFrame, k: int, samples: list[in
     )
     whole = F.lit(index.n - 1 <= k)
     return (
-        index.nodes.select("v", "m", "block")
-        .join(lists, "v", "left")
-        .withColumn("near", F.coalesce("near", F.array().cast("array<struct<d:double,b:bigint,mb:bigint>>")))
+        lists.withColumn("near", F.coalesce(F.arrays_zip("d", "b", "mb"), F.array().cast("array<struct<d:double,b:bigint,mb:bigint>>")))
         .withColumn("ms", F.explode(F.array(*[F.lit(x) for x in samples])))
         .withColumn("core", reached["core"])
         .select("ms", "v", "m", "block", "core", F.when(~whole, F.get("near", F.size("near") - 1)["d"]).alias("kd"))

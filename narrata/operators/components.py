@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.shared import cut, drop
 
 SMALL = 50_000  # edge lists up to this many rows are resolved on the driver
+TASK_EDGES = 2_000_000  # graphs of up to so many edges are resolved by one task each
 
 
 def small_table(spark: SparkSession, rows: pd.DataFrame, schema: str) -> DataFrame:
@@ -49,10 +52,27 @@ def _star(edges: DataFrame, key: str, large: bool) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(edges: DataFrame, key: str, small: int = SMALL) -> DataFrame:
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of an edge list, and the smallest node of each one's component: roots hang on smaller ones until none can."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    up = np.arange(len(names))
+    while True:
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return names, names[up]
+        up[np.maximum(a, b)] = np.minimum(a, b)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
+def connected_components(edges: DataFrame, key: str, small: int = SMALL, task: int = TASK_EDGES) -> DataFrame:
     """(key, v, root): the smallest node of every node's component.
 
-    Alternating large-star and small-star operations (Kiveris et al., 2014) turn
+    Where no graph has more than ``task`` edges, one task resolves each. Else
+    alternating large-star and small-star operations (Kiveris et al., 2014) turn
     every component into a star; each is one aggregation and one join whose
     hub rows AQE can split. Edge lists known to be short skip the rounds.
     """
@@ -60,6 +80,13 @@ def connected_components(edges: DataFrame, key: str, small: int = SMALL) -> Data
     if edges.limit(small + 1).count() <= small:
         roots = merge_ids(edges.toPandas(), key)
         return small_table(edges.sparkSession, roots, f"{key} int, v bigint, root bigint")
+    if (edges.groupBy(key).count().agg(F.max("count")).first()[0] or 0) <= task:
+
+        def resolve(x: pa.Table) -> pa.Table:
+            v, root = roots_of(x.column("a").to_numpy(), x.column("b").to_numpy())
+            return pa.table({"key": pa.array(np.full(len(v), x.column(key)[0].as_py()), pa.int32()), "v": v, "root": root})
+
+        return edges.groupBy(key).applyInArrow(resolve, "key int, v bigint, root bigint").withColumnRenamed("key", key)
     before, last = None, None
     while True:
         edges = cut(_star(_star(edges, key, True), key, False), "stars")

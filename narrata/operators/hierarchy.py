@@ -22,15 +22,17 @@ References: Campello et al. (2013); McInnes and Healy (2017); Miller and Reif (1
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.operators.blocks import values
-from narrata.operators.components import connected_components
+from narrata.operators.components import SMALL, connected_components
 from narrata.shared import cut, drop, own_columns
 
 PART_EDGES = 100_000  # bound on the edges of a part, and so of a task
@@ -300,14 +302,34 @@ def _merge_equal(joined: DataFrame, grid: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------- between parts
 
 
-def _settled(clusters: DataFrame) -> DataFrame:
+def _settled_here(clusters: pd.DataFrame) -> list[tuple[int, int, bool]]:
+    """(run, c, chosen) of a short list of clusters (run, c, parent, stability, inner)."""
+    rows = {(r.run, r.c): r for r in clusters.itertuples()}
+    up = {k: None if pd.isna(r.parent) else (r.run, int(r.parent)) for k, r in rows.items()}
+    inner = {k: float(r.inner) for k, r in rows.items()}
+    waiting = Counter(p for p in up.values() if p is not None)
+    ready = [k for k in rows if not waiting[k]]
+    for k in ready:  # grows: a cluster follows the last one inside it
+        if (p := up[k]) in rows:
+            inner[p] += max(float(rows[k].stability), inner[k])
+            waiting[p] -= 1
+            if not waiting[p]:
+                ready.append(p)
+    return [(int(k[0]), int(k[1]), up[k] is not None and bool(rows[k].stability >= inner[k])) for k in ready]
+
+
+def _settled(clusters: DataFrame, small: int = SMALL) -> DataFrame:
     """(run, c, chosen) of ``clusters`` (run, c, parent, stability, inner); a null parent is the root, never chosen.
 
     A cluster is the function x -> max(stability, inner + x) of what its open inner clusters are worth; what a cluster is
     worth reaches its parent through y -> max(low, add + y). Leaves hand their worth up; a cluster with a single open one
     inside is spliced out: its function joins the inner one's way up, and is kept to look its own worth up in the end. Of
-    neighbours on such a way only those are spliced out whose hash is less than the one below.
+    neighbours on such a way only those are spliced out whose hash is less than the one below. Up to ``small`` clusters are
+    settled on the driver.
     """
+    if clusters.limit(small + 1).count() <= small:
+        rows = _settled_here(clusters.select("run", "c", "parent", "stability", "inner").toPandas())
+        return clusters.sparkSession.createDataFrame(rows, "run int, c bigint, chosen boolean")
     low, add = F.lit(float("-inf")).alias("low"), F.lit(0.0).alias("add")
     live = cut(clusters.select("*", low, add), "live")
     worth = []  # (run, c, worth), the worth inside it
@@ -394,7 +416,9 @@ def _landed(rows: DataFrame) -> DataFrame:
     return points.unionByName(followed(lifted).drop("up"))
 
 
-def condense(tree: DataFrame, cores: DataFrame, runs: list[tuple[int, int, int]], part_edges: int = PART_EDGES) -> DataFrame:
+def condense(
+    tree: DataFrame, cores: DataFrame, runs: list[tuple[int, int, int]], part_edges: int = PART_EDGES, small: int = SMALL
+) -> DataFrame:
     """(run, v, cluster): the chosen cluster of every node, null for noise.
 
     ``runs`` are (run, min_cluster_size, min_samples). The merges of a tree are found once for all runs that share it.
@@ -437,7 +461,7 @@ def condense(tree: DataFrame, cores: DataFrame, runs: list[tuple[int, int, int]]
     if clusters.where("parent is not null").isEmpty():  # all clusters were settled inside their part
         found = landed.select("run", "v", F.col("top").alias("cluster"))
     else:
-        chosen = clusters.select("run", "c", "parent").join(_settled(clusters), ["run", "c"])
+        chosen = clusters.select("run", "c", "parent").join(_settled(clusters, small), ["run", "c"])
         best = _outermost(chosen).join(named, ["run", "c"]).select("run", F.col("id").alias("open"), "best")
         found = landed.join(best, ["run", "open"], "left").select("run", "v", F.coalesce("best", "top").alias("cluster"))
     return points.join(found, ["run", "v"], "left")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.operators.blocks import Index, block_pairs, compare, exact, matrix, slices, squared, values
@@ -21,9 +21,84 @@ from narrata.operators.components import SMALL, connected_components, merge_ids,
 from narrata.shared import cut, own_columns
 
 _SLACK = 1 - 1e-9
+_BIN_EDGES = 2_000_000  # edges of one task
 _RUSH = 4  # merge without searching while at least one in this many components is sure
 
 
+def forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, ends: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest; the order is (weight, smaller node, larger node).
+
+    ``ends`` are what the edges join, where it is not their nodes.
+    """
+    order = np.lexsort((hi, lo, w))
+    names, ends = np.unique(np.concatenate([e[order] for e in ends or (lo, hi)]), return_inverse=True)
+    a, b = ends[: len(lo)], ends[len(lo) :]
+    at = np.arange(len(order))
+    kept = [at[:0]]
+    while len(at):
+        least = np.full(len(names), len(order))
+        for end in (a, b):  # the last one written is the lightest
+            lightest = np.full(len(names), len(order))
+            lightest[end[::-1]] = np.arange(len(at))[::-1]
+            least = np.minimum(least, lightest)
+        joins = np.flatnonzero(least < len(order))
+        least = least[joins]
+        kept.append(at[np.unique(least)])
+        up = np.arange(len(names))
+        up[joins] = np.where(a[least] == joins, b[least], a[least])
+        mutual = (up[up] == np.arange(len(names))) & (up > np.arange(len(names)))
+        up[mutual] = np.flatnonzero(mutual)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b, at = a[apart], b[apart], at[apart]
+    return order[np.concatenate(kept)]
+
+
+def _listed_forest(neighbours: DataFrame, cores: DataFrame) -> DataFrame:
+    """(ms, a, b, w): edges of the neighbour lists, of which all but those that close a cycle of lighter ones may be left out.
+
+    The lightest edge of the lists out of any set of nodes closes no such cycle, so none that a round can ask for is lost.
+    Edges are dealt into bins of about ``_BIN_EDGES``, whose forests are dealt into fewer bins while that leaves out many.
+    """
+    samples = sorted(r.ms for r in cores.select("ms").distinct().collect())
+    names = [f"w{i}" for i in range(len(samples))]
+    wide = cores.groupBy("v").agg(F.max("kd").alias("kd"), *[F.max(F.when(F.col("ms") == ms, F.col("core"))).alias(n) for ms, n in zip(samples, names)])
+    wide = cut(wide, "cores")
+    ends = [own_columns(wide).withColumnsRenamed({"v": e, "kd": f"kd_{e}"} | {n: f"{n}_{e}" for n in names}) for e in ("a", "b")]
+    rows = neighbours.select("a", "b", "d").join(ends[0].drop("kd_a"), "a").join(ends[1], "b")
+    # Of two nodes that are both in the other's list one edge is enough.
+    rows = rows.where("a < b or (kd_b is not null and d >= kd_b)")
+    weights = [F.greatest("d", f"{n}_a", f"{n}_b").alias(n) for n in names]
+    rows = rows.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), *weights)
+    schema = "ms int, a bigint, b bigint, w double"
+
+    def table(ms: int, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.Table:
+        kept = forest_of(lo, hi, w)
+        return pa.table({"ms": pa.array(np.full(len(kept), ms), pa.int32()), "a": lo[kept], "b": hi[kept], "w": w[kept]})
+
+    def of_all(x: pa.Table) -> pa.Table:
+        return pa.concat_tables([table(ms, values(x, "lo"), values(x, "hi"), values(x, n)) for ms, n in zip(samples, names)])
+
+    def of_one(x: pa.Table) -> pa.Table:
+        return table(x.column("ms")[0].as_py(), values(x, "a"), values(x, "b"), values(x, "w"))
+
+    def bin_of(node: str, bins: int) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(bins)).alias("bin")
+
+    n = neighbours.count()
+    bins = max(1, -(-n // _BIN_EDGES))
+    found = cut(rows.groupBy(bin_of("lo", bins)).applyInArrow(of_all, schema), "forests")
+    while bins > 1:
+        before, n = n, max([r["count"] for r in found.groupBy("ms").count().collect()], default=0)
+        if n > 0.8 * before:
+            break
+        bins = max(1, -(-n // _BIN_EDGES))
+        found = cut(found.groupBy("ms", bin_of("a", bins)).applyInArrow(of_one, schema), "forests")
+    return found
+
+
 def _outgoing(edges: DataFrame) -> DataFrame:
     """Least edge out of each component, from the neighbour lists read both ways."""
     both = F.array(
@@ -157,28 +232,48 @@ def _round(index: Index, labels: DataFrame, edges: DataFrame) -> DataFrame:
     return known.unionByName(found).groupBy("ms", "c").agg(F.min("edge").alias("edge"))
 
 
+def _between(edges: DataFrame) -> DataFrame:
+    """Of the edges between components those that close no cycle of lighter ones: fewer than there are components.
+
+    No task gets more than ``_BIN_EDGES``; where a tree has more edges they are dealt into bins, which leave more of them.
+    """
+    edges = edges.where("ca <> cb").select("ms", "a", "b", "w", "ca", "cb")
+    most = edges.groupBy("ms").count().agg(F.max("count")).first()[0] or 0
+
+    def least(x: pa.Table) -> pa.Table:
+        kept = forest_of(values(x, "a"), values(x, "b"), values(x, "w"), (values(x, "ca"), values(x, "cb")))
+        return x.select(["ms", "lo", "hi", "w", "ca", "cb"]).take(pa.array(kept))
+
+    x = edges.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b"), "bin": F.pmod(F.xxhash64("ca"), F.lit(max(1, -(-most // _BIN_EDGES))))})
+    return x.groupBy("ms", "bin").applyInArrow(least, "ms int, lo bigint, hi bigint, w double, ca bigint, cb bigint")
+
+
+def _least_known(between: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+    """(ms, c, w, lo, hi, other): the least known edge out of each component; ``base`` (ms, v, c) tells what is in them now."""
+    roots = base.set_index(["ms", "v"])["c"]
+    now = [roots.loc[pd.MultiIndex.from_frame(between[["ms", e]])].to_numpy() for e in ("ca", "cb")]
+    both = [between.assign(c=now[i], other=now[1 - i]) for i in (0, 1)]
+    rows = pd.concat(both).query("c != other").sort_values(["w", "lo", "hi"])
+    return rows.drop_duplicates(["ms", "c"])[["ms", "c", "w", "lo", "hi", "other"]]
+
+
 def _short_rounds(index: Index, labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The remaining rounds once the components are few.
 
-    The component list lives on the driver (its length has been checked), the
-    points and edges stay in Spark and are relabelled by a broadcast map.
+    The component list lives on the driver (its length has been checked), and so do the listed edges between them, of
+    which about as many are left; the points stay in Spark and are relabelled by a broadcast map.
     """
     spark = labels.sparkSession
     base = labels.groupBy("ms", F.col("c").alias("v")).agg(F.count("*").alias("size"), F.min("kd").alias("reach")).toPandas()
     base["c"], base["reach"] = base["v"], base["reach"].astype(float).fillna(np.inf)
+    between = _between(edges).toPandas()
     tree: list[pd.DataFrame] = []
     while True:
-        roots = F.broadcast(small_table(spark, base[["ms", "v", "c"]], "ms int, v bigint, root bigint"))
-        if tree:
-            now_labels, now_edges = _relabel(labels, roots, ["c"]), _relabel(edges, roots, ["ca", "cb"])
-        else:
-            now_labels, now_edges = labels, edges
         comps = base.groupby(["ms", "c"], as_index=False).agg(size=("size", "sum"), reach=("reach", "min"))
         comps = comps[comps.groupby("ms")["c"].transform("count") > 1]
         if comps.empty:
             break
-        known = _outgoing(now_edges).select("ms", "c", "edge.*").toPandas()
-        comps = comps.merge(known, on=["ms", "c"], how="left")
+        comps = comps.merge(_least_known(between, base), on=["ms", "c"], how="left")
         comps["sure"] = comps["w"].notna() & (comps["w"] < comps["reach"] * _SLACK)
         if (comps.groupby("ms")["sure"].mean() * _RUSH >= 1).all():
             chosen = comps[comps["sure"]]
@@ -188,6 +283,8 @@ def _short_rounds(index: Index, labels: DataFrame, edges: DataFrame) -> DataFram
             unsure = rest[~rest["sure"]]
             limits = [(int(r.ms), int(r.c), None if np.isnan(r.w) else float(r.w)) for r in unsure.itertuples()]
             bounds = F.broadcast(spark.createDataFrame(limits, "ms int, c bigint, limit double"))
+            roots = F.broadcast(small_table(spark, base[["ms", "v", "c"]], "ms int, v bigint, root bigint"))
+            now_labels = _relabel(labels, roots, ["c"]) if tree else labels
             found = _search_least(index, now_labels, bounds).select("ms", "c", "edge.*").toPandas()
             chosen = pd.concat([rest[rest["w"].notna()][found.columns], found])
             chosen = chosen.sort_values(["w", "lo", "hi"]).drop_duplicates(["ms", "c"])
@@ -214,11 +311,8 @@ def spanning_edges(index: Index, neighbours: DataFrame, cores: DataFrame, small:
     on row order.
     """
     labels = cut(cores.withColumn("c", F.col("v")).select("ms", "v", "core", "kd", "block", "c"), "components")
-    core = cores.select("ms", "v", "core")
-    a, b = core.withColumnsRenamed({"v": "a", "core": "core_a"}), core.withColumnsRenamed({"v": "b", "core": "core_b"})
-    edges = neighbours.select("a", "b", "d").join(a, "a").join(b, ["ms", "b"])
-    weight = F.greatest("d", "core_a", "core_b").alias("w")
-    edges = cut(edges.select("ms", "a", "b", weight, F.col("a").alias("ca"), F.col("b").alias("cb")), "edges")
+    forest = _listed_forest(neighbours, cores)
+    edges = cut(forest.select("ms", "a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "edges")
     trees = []
     while (n := labels.agg(F.count_distinct("ms", "c")).first()[0]) > small and n > labels.select("ms").distinct().count():
         chosen = cut(_round(index, labels, edges), "chosen")

@@ -27,11 +27,11 @@ def cluster_points(
         raise ValueError(f"{index.total} points are too few for min_samples={max(samples)}")
     # Longer lists than the core distance needs settle most tree edges without another search.
     k = max(2 * max(samples), 16)
-    near = blocks.nearest_neighbours(index, k)
-    cores = cut(blocks.core_distances(index, near, k, samples), "cores")
-    tree = spanning.spanning_edges(index, near, cores, small)
+    lists = blocks.neighbour_lists(index, k)
+    cores = cut(blocks.list_cores(index, lists, k, samples), "cores")
+    tree = spanning.spanning_edges(index, blocks.listed(lists), cores, small)
     runs = [(i, mcs, ms) for i, (mcs, ms) in enumerate(grid)]
-    found = density.numbered(hierarchy.condense(tree, cores, runs, part_edges))
+    found = density.numbered(hierarchy.condense(tree, cores, runs, part_edges, small))
     if index.total == index.n:
         members = index.nodes.select("v", F.col("rep").alias("post_id"))
     else:

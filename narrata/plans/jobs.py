@@ -72,8 +72,7 @@ def core_distances(stored: DataFrame, min_samples: int) -> DataFrame:
     points = stored.select("post_id", F.col("embedding").cast("array<double>").alias("vec"))
     index = blocks.build_index(points, BlockSettings())
     k = min_samples - 1
-    near = blocks.nearest_neighbours(index, k)
-    cores = blocks.core_distances(index, near, k, [min_samples]).select("v", "core")
+    cores = blocks.list_cores(index, blocks.neighbour_lists(index, k), k, [min_samples]).select("v", "core")
     return points.join(index.nodes.select("v", "vec"), "vec").join(cores, "v").select("post_id", "core")
 
 

@@ -127,6 +127,89 @@ def test_neighbours_cores_and_tree_weight(spark):
         assert abs(t.w.sum() - brute.tree_weight(brute.reachability(x, ms))) < 1e-9
 
 
+@pytest.mark.parametrize("shift, scale, decimals", [(0.0, 1.0, 9), (0.0, 1.0, 0), (1e4, 1e-3, 9), (0.0, 1e-30, 40), (0.0, 1e18, 0)])
+def test_lists_of_rows_that_pass_by(spark, shift, scale, decimals):
+    """One list for each node, whatever task its neighbours lie in, also where distances are equal or too close for single precision."""
+    x = np.round(shift + np.random.default_rng(6).normal(size=(300, 5)) * scale, decimals)
+    index = blocks.build_index(frame(spark, x), BlockSettings(pivot_rows=20, block_rows=30, first=2, stream_rows=40))
+    k = 7
+    rows = blocks.neighbour_lists(index, k).collect()
+    of = {r.v: r for r in index.nodes.select("v", "m", "vec").collect()}
+    assert sorted(r.v for r in rows) == sorted(of)
+    names = np.array(sorted(of))
+    vec = np.array([of[v].vec for v in names])
+    for r in rows:
+        d = np.sqrt(((vec - of[r.v].vec) ** 2).sum(1))
+        near = [j for j in np.lexsort((names, d)) if names[j] != r.v][:k]
+        assert r.b == names[near].tolist() and r.d == d[near].tolist() and r.mb == [of[b].m for b in r.b]
+
+
+def test_forest_keeps_the_least_edges(spark, monkeypatch):
+    """Of what the neighbour lists hold only a forest goes into the rounds, and the tree is that of all of it."""
+    x = np.round(blobs(5, 25), 1)
+    index = blocks.build_index(frame(spark, x), TINY)
+    near = blocks.nearest_neighbours(index, 12)
+    cores = blocks.core_distances(index, near, 12, [3, 5]).cache()
+    monkeypatch.setattr(spanning, "_BIN_EDGES", 300)
+    kept = spanning._listed_forest(near, cores).toPandas()
+    core = {(r.ms, r.v): r.core for r in cores.collect()}
+    every = {(min(r.a, r.b), max(r.a, r.b)): r.d for r in near.collect()}
+    for ms in (3, 5):
+        some = kept[kept.ms == ms]
+        assert len(some) < len(every) / 2
+        lo, hi = np.array(list(every)).T
+        w = np.array([max(d, core[ms, a], core[ms, b]) for (a, b), d in every.items()])
+        least = spanning.forest_of(lo, hi, w).tolist()
+        assert {(lo[i], hi[i], w[i]) for i in least} <= set(zip(some.a, some.b, some.w))
+    tree = spanning.spanning_edges(index, near, cores).toPandas()
+    vec = np.array([r.vec for r in index.nodes.orderBy("v").collect()])
+    for ms in (3, 5):
+        d = np.sqrt(((vec[:, None] - vec[None]) ** 2).sum(-1))
+        c = np.array([core[ms, v] for v in sorted(v for m, v in core if m == ms)])
+        assert abs(tree[tree.ms == ms].w.sum() - brute.tree_weight(np.maximum(d, np.maximum(c[:, None], c[None])))) < 1e-9
+
+
+def test_forest_of_equal_weights():
+    """By definition: an edge is kept unless edges before it join its ends already."""
+    rng = np.random.default_rng(9)
+    lo, hi = (np.array(x) for x in zip(*{tuple(sorted(e)) for e in rng.integers(0, 60, (400, 2)).tolist() if e[0] != e[1]}))
+    w = rng.integers(0, 5, len(lo)).astype(float)
+    kept, root = set(), list(range(60))
+
+    def find(v):
+        return v if root[v] == v else find(root[v])
+
+    for i in np.lexsort((hi, lo, w)).tolist():
+        if find(lo[i]) != find(hi[i]):
+            root[find(lo[i])] = find(hi[i])
+            kept.add(i)
+    assert sorted(spanning.forest_of(lo, hi, w).tolist()) == sorted(kept)
+
+
+def test_few_blobs_far_apart(spark):
+    """No neighbour list leaves its blob, so the driver's rounds know no edge between components."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.1, (40, 2)) for c in (0, 50, 200)])
+    rows = cluster_points(frame(spark, x), [(5, 3)], TINY).collect()
+    assert {frozenset(m) for m in clusters(rows).values()} == set(brute.labels(x, 5, 3))
+
+
+@pytest.mark.parametrize("task", [0, 1000])
+def test_components_by_task_and_by_rounds(spark, task):
+    rng = np.random.default_rng(1)
+    edges = [(run, int(a), int(b)) for run in (0, 1) for a, b in rng.integers(0, 80, (60, 2)) if a != b]
+    want = {}
+    for run in (0, 1):
+        known = {v: v for r, a, b in edges if r == run for v in (a, b)}
+        for _ in known:
+            for r, a, b in edges:
+                if r == run:
+                    known[a] = known[b] = min(known[a], known[b])
+        want |= {(run, v): root for v, root in known.items()}
+    df = spark.createDataFrame(edges, "run int, a bigint, b bigint")
+    assert {(r.run, r.v): r.root for r in connected_components(df, "run", 0, task).collect()} == want
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components(spark, small):
     rng = np.random.default_rng(2)

@@ -92,3 +92,22 @@ def test_values_settle_in_few_rounds(spark):
 def test_no_edges(spark):
     tree, cores = frames(spark, 1, [])
     assert [tuple(r) for r in hierarchy.condense(tree, cores, [(0, 2, 1)]).collect()] == [(0, 0, None)]
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_values_settle_on_the_driver_and_by_rounds(spark, small):
+    """By definition, for random trees of clusters in two runs."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for run in (0, 1):
+        n = 40
+        parent = [None] + [int(rng.integers(max(0, c - 4), c)) for c in range(1, n)]
+        values = [(float(s), float(i)) for s, i in zip(rng.random(n), rng.random(n) * 0.2)]
+        inside = [i for _, i in values]
+        for c in reversed(range(n)):
+            want[run, c] = parent[c] is not None and values[c][0] >= inside[c]
+            if parent[c] is not None:
+                inside[parent[c]] += max(values[c][0], inside[c])
+        rows += [(run, c, parent[c], *values[c]) for c in range(n)]
+    df = spark.createDataFrame(rows, "run int, c bigint, parent bigint, stability double, inner double")
+    assert {(r.run, r.c): r.chosen for r in hierarchy._settled(df, small).collect()} == want
