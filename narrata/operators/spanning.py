@@ -56,6 +56,10 @@ def forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, ends: tuple[np.ndar
     return order[np.concatenate(kept)]
 
 
+def _bin(bins: int) -> Column:
+    return F.pmod(F.xxhash64("lo", "hi"), F.lit(bins)).alias("bin")
+
+
 def _listed_forest(neighbours: DataFrame, cores: DataFrame) -> DataFrame:
     """(ms, a, b, w): edges of the neighbour lists, of which all but those that close a cycle of lighter ones may be left out.
 
@@ -72,31 +76,28 @@ def _listed_forest(neighbours: DataFrame, cores: DataFrame) -> DataFrame:
     rows = rows.where("a < b or (kd_b is not null and d >= kd_b)")
     weights = [F.greatest("d", f"{n}_a", f"{n}_b").alias(n) for n in names]
     rows = rows.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), *weights)
-    schema = "ms int, a bigint, b bigint, w double"
+    schema = "ms int, lo bigint, hi bigint, w double"
 
     def table(ms: int, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.Table:
         kept = forest_of(lo, hi, w)
-        return pa.table({"ms": pa.array(np.full(len(kept), ms), pa.int32()), "a": lo[kept], "b": hi[kept], "w": w[kept]})
+        return pa.table({"ms": pa.array(np.full(len(kept), ms), pa.int32()), "lo": lo[kept], "hi": hi[kept], "w": w[kept]})
 
     def of_all(x: pa.Table) -> pa.Table:
         return pa.concat_tables([table(ms, values(x, "lo"), values(x, "hi"), values(x, n)) for ms, n in zip(samples, names)])
 
     def of_one(x: pa.Table) -> pa.Table:
-        return table(x.column("ms")[0].as_py(), values(x, "a"), values(x, "b"), values(x, "w"))
-
-    def bin_of(node: str, bins: int) -> Column:
-        return F.pmod(F.xxhash64(node), F.lit(bins)).alias("bin")
+        return table(x.column("ms")[0].as_py(), values(x, "lo"), values(x, "hi"), values(x, "w"))
 
     n = neighbours.count()
     bins = max(1, -(-n // _BIN_EDGES))
-    found = cut(rows.groupBy(bin_of("lo", bins)).applyInArrow(of_all, schema), "forests")
+    found = cut(rows.groupBy(_bin(bins)).applyInArrow(of_all, schema), "forests")
     while bins > 1:
         before, n = n, max([r["count"] for r in found.groupBy("ms").count().collect()], default=0)
         if n > 0.8 * before:
             break
         bins = max(1, -(-n // _BIN_EDGES))
-        found = cut(found.groupBy("ms", bin_of("a", bins)).applyInArrow(of_one, schema), "forests")
-    return found
+        found = cut(found.groupBy("ms", _bin(bins)).applyInArrow(of_one, schema), "forests")
+    return found.select("ms", F.col("lo").alias("a"), F.col("hi").alias("b"), "w")
 
 
 def _outgoing(edges: DataFrame) -> DataFrame:
@@ -233,19 +234,25 @@ def _round(index: Index, labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _between(edges: DataFrame) -> DataFrame:
-    """Of the edges between components those that close no cycle of lighter ones: fewer than there are components.
+    """Of the edges between few components those that close no cycle of lighter ones: fewer than there are components.
 
-    No task gets more than ``_BIN_EDGES``; where a tree has more edges they are dealt into bins, which leave more of them.
+    Edges are dealt into bins of about ``_BIN_EDGES``; what each leaves is dealt again until one bin takes it.
     """
-    edges = edges.where("ca <> cb").select("ms", "a", "b", "w", "ca", "cb")
-    most = edges.groupBy("ms").count().agg(F.max("count")).first()[0] or 0
+    found = edges.where("ca <> cb").select("ms", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "w", "ca", "cb")
 
     def least(x: pa.Table) -> pa.Table:
-        kept = forest_of(values(x, "a"), values(x, "b"), values(x, "w"), (values(x, "ca"), values(x, "cb")))
+        kept = forest_of(values(x, "lo"), values(x, "hi"), values(x, "w"), (values(x, "ca"), values(x, "cb")))
         return x.select(["ms", "lo", "hi", "w", "ca", "cb"]).take(pa.array(kept))
 
-    x = edges.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b"), "bin": F.pmod(F.xxhash64("ca"), F.lit(max(1, -(-most // _BIN_EDGES))))})
-    return x.groupBy("ms", "bin").applyInArrow(least, "ms int, lo bigint, hi bigint, w double, ca bigint, cb bigint")
+    last = None
+    while True:
+        most = found.groupBy("ms").count().agg(F.max("count")).first()[0] or 0
+        bins = max(1, -(-most // _BIN_EDGES))
+        dealt = found.groupBy("ms", _bin(bins))
+        found = cut(dealt.applyInArrow(least, "ms int, lo bigint, hi bigint, w double, ca bigint, cb bigint"), "between")
+        if bins == 1 or (last and bins >= last):
+            return found
+        last = bins
 
 
 def _least_known(between: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
